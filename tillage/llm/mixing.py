@@ -30,8 +30,9 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     rest = F.col("all_words") - F.coalesce(F.sum("most").over(filled.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     open_w = F.sum("w").over(filled.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     of = of.withColumn("level", rest / open_w)  # per unit of weight, if all that fill up sooner are full
-    of = of.withColumn("level", F.min(F.when(F.col("level") < F.col("most") / F.col("w"), F.col("level"))).over(every))
-    return of.select("sid", "source", "source_size", "n_rows", F.when(F.col("level").isNull() | (F.col("level") * F.col("w") >= F.col("most")), F.col("most")).otherwise(F.col("level") * F.col("w")).alias("target"))
+    # the level rises while sources fill up and falls past the first that doesn't: the highest one holds for all
+    level = F.max("level").over(every)
+    return of.select("sid", "source", "source_size", "n_rows", F.least(F.col("most"), F.col("w") * level).alias("target"))
 
 
 def _name() -> Column:
@@ -131,8 +132,8 @@ num AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM
 wt AS (SELECT *, CAST(list_extract([5, 2, 1], CAST(sid % 3 + 1 AS INT)) AS DOUBLE) AS w, source_size * 2.0::DOUBLE AS most FROM num),
 lev AS (SELECT *, sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(most) OVER (ORDER BY most / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
   sum(w) OVER (ORDER BY most / w, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_w FROM wt),
-fix AS (SELECT *, min(CASE WHEN rest / open_w < most / w THEN rest / open_w END) OVER () AS level FROM lev),
-goals AS (SELECT sid, source, source_size, CASE WHEN level IS NULL OR level * w >= most THEN most ELSE level * w END AS target FROM fix),
+fix AS (SELECT *, max(rest / open_w) OVER () AS level FROM lev),
+goals AS (SELECT sid, source, source_size, least(most, w * level) AS target FROM fix),
 stretch AS (SELECT sid, source_size, coalesce(sum(target) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / (SELECT sum(target) FROM goals) AS lo FROM goals WHERE target > 0),
 ends AS (SELECT *, coalesce(lead(lo) OVER (ORDER BY sid), 1.0) AS hi FROM stretch),
 points AS (SELECT n, (n + 0.5) * {GOLDEN}::DOUBLE - floor((n + 0.5) * {GOLDEN}::DOUBLE) AS u FROM range(0, (SELECT CAST(ceil(floor(sum(target)) / 64) AS BIGINT) FROM goals)) AS t(n)),
