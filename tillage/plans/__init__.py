@@ -1 +1,3 @@
-"""Part of the tillage package."""
+"""Queries over the parquet tables, each with its SQL; importing the package fills the registry."""
+
+from tillage.plans import composites, filters, joins, reshapes, rollups, scalars, series  # noqa: F401
