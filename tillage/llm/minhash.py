@@ -103,48 +103,95 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
 
 
-def _across(buckets: DataFrame, percent: int, least: int, most: int) -> DataFrame:
-    """Pairs of one bucket in different components whose sketches agree in at least so many bytes.
+def _grams(texts: DataFrame, words: int) -> DataFrame:
+    """id, grams: the whole shingle set of each text, as bytes of sorted 64-bit hashes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for lo in range(0, len(batch), 256):
+                part = batch.iloc[lo : lo + 256]
+                yield pd.DataFrame({"id": part["doc_id"], "grams": [s.tobytes() for s in shingle_sets(part["text"].tolist(), words)]})
+
+    return texts.mapInPandas(run, "id long, grams binary")
+
+
+def _shared(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many elements each of the other sets has of the one; none is empty, all are sorted."""
+    flat = np.concatenate(others)
+    at = np.searchsorted(one, flat)
+    at[at == len(one)] = 0
+    return np.add.reduceat(one[at] == flat, np.cumsum([0, *(len(o) for o in others[:-1])]))
 
-    buckets(key, x, y, block, id, n, component, sketch): the rows of two blocks of one bucket, or of one block twice (x = y), stand together.
-    A row gives its `most` best partners a block; cut says that it had more.
-    """
 
-    def pairs(rows: pd.DataFrame) -> pd.DataFrame | None:
-        first = (rows["block"] == rows["x"]).to_numpy()
-        second = (rows["block"] == rows["y"]).to_numpy()
-        codes = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rows), -1)
-        ids, comp, n = rows["id"].to_numpy(), rows["component"].to_numpy(), rows["n"].to_numpy()
-        i, j = np.flatnonzero(first), np.flatnonzero(second)
-        found = []
-        for a in i:
-            near = (comp[j] != comp[a]) & (100 * np.minimum(n[j], n[a]) >= percent * np.maximum(n[j], n[a]))
-            to = j[near & ((ids[j] > ids[a]) | ~second[a])]  # one block with itself: each pair once
-            if not len(to):
-                continue
-            same = (codes[to] == codes[a]).sum(1)
-            to, same = to[same >= least], same[same >= least]
-            cut = len(to) > most
-            for b in to[np.argsort(-same, kind="stable")[:most]]:
-                found.append((min(ids[a], ids[b]), max(ids[a], ids[b]), cut))
-        return pd.DataFrame(found, columns=["a", "b", "cut"]) if found else None
+def _spanning(rows: pd.DataFrame, percent: int, least: int) -> list[tuple[int, int]]:
+    """Links between left and right rows that join components which nothing here joined before; checked on whole sets.
+
+    Partners come by falling agreement of their sketches, those under `least` bytes never; a link merges its two components,
+    and pairs inside one are passed over, so there are fewer links than rows.
+    """
+    left, right = rows["left"].to_numpy(), rows["right"].to_numpy()
+    codes = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rows), -1)
+    sets = [np.frombuffer(g, np.uint64) for g in rows["grams"]]
+    n, ids, part = np.array([len(s) for s in sets]), rows["id"].to_numpy(), rows["component"].to_numpy().copy()
+    found, j = [], np.flatnonzero(right)
+    for a in np.flatnonzero(left):
+        to = j[(part[j] != part[a]) & (100 * np.minimum(n[j], n[a]) >= percent * np.maximum(n[j], n[a]))]
+        to = to[(ids[to] > ids[a]) | ~left[to]]  # a block with itself: each pair once
+        if not len(to):
+            continue
+        same = (codes[to] == codes[a]).sum(1)
+        to = to[same >= least][np.argsort(-same[same >= least], kind="stable")]
+        while len(to):
+            some, to = to[:32], to[32:]
+            both = _shared(sets[a], [sets[b] for b in some])
+            for b in some[100 * both >= percent * (n[some] + n[a] - both)]:
+                if part[b] != part[a]:
+                    found.append((min(ids[a], ids[b]), max(ids[a], ids[b])))
+                    part[part == part[b]] = part[a]
+            to = to[part[to] != part[a]]
+    return found
+
+
+def _across(dealt: DataFrame, percent: int, least: int) -> DataFrame:
+    """(a, b) links of dealt(key, kind, x, y, left, right, id, component, sketch, grams): the rows of a meeting are at most two blocks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
-        for batch in batches:  # sorted by (key, x, y); a run has two blocks at most
-            group = batch.groupby(["key", "x", "y"], sort=False)
-            for at, rows in group:
-                if held and at != held[0].attrs["at"]:
-                    if (out := pairs(pd.concat(held, ignore_index=True))) is not None:
-                        yield out
+        at = None
+
+        def links() -> pd.DataFrame:
+            return pd.DataFrame(_spanning(pd.concat(held, ignore_index=True), percent, least), columns=["a", "b"])
+
+        for batch in batches:  # sorted, so a meeting's rows stand together
+            for key, rows in batch.groupby(["key", "kind", "x", "y"], sort=False):
+                if key != at and held:
+                    yield links()
                     held = []
-                rows = rows.copy()
-                rows.attrs["at"] = at
+                at = key
                 held.append(rows)
-        if held and (out := pairs(pd.concat(held, ignore_index=True))) is not None:
-            yield out
+        if held:
+            yield links()
 
-    return buckets.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInPandas(run, "a long, b long, cut boolean")
+    placed = dealt.repartition("key", "kind", "x", "y").sortWithinPartitions("key", "kind", "x", "y")
+    return placed.mapInPandas(run, "a long, b long")
+
+
+def _meetings(placed: DataFrame) -> DataFrame:
+    """key, kind, x, y, left, right, id, component of placed(key, id, component), for the keys that hold several components.
+
+    A key's largest component need not meet itself. The other rows are dealt into blocks by a hash, each of which meets each
+    other and itself (kind 0) and each block of the largest component (kind 1).
+    """
+    per = placed.groupBy("key", "component").agg(F.count("*").alias("m"))
+    keys = per.groupBy("key").agg(F.count("*").alias("parts"), F.sum("m").alias("m"), F.max(F.struct("m", "component")).alias("top")).where("parts > 1")
+    keys = keys.select("key", F.col("top.component").alias("largest"), F.ceil((F.col("m") - F.col("top.m")) / BLOCK).alias("others"), F.ceil(F.col("top.m") / BLOCK).alias("blocks"))
+    rows = placed.join(keys, "key").withColumn("big", F.col("component") == F.col("largest"))
+    rows = rows.withColumn("block", F.expr("pmod(xxhash64(id), if(big, blocks, others))"))
+    own = F.expr("transform(sequence(0L, others - 1), j -> named_struct('kind', 0, 'x', least(block, j), 'y', greatest(block, j), 'left', block <= j, 'right', block >= j))")
+    to_big = F.expr("transform(sequence(0L, blocks - 1), k -> named_struct('kind', 1, 'x', block, 'y', k, 'left', true, 'right', false))")
+    from_big = F.expr("transform(sequence(0L, others - 1), i -> named_struct('kind', 1, 'x', i, 'y', block, 'left', false, 'right', true))")
+    met = F.explode(F.when(F.col("big"), from_big).otherwise(F.concat(own, to_big))).alias("t")
+    return rows.select("key", "id", "component", met).select("key", "t.*", "id", "component")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, bands: int = 20, rows: int = 6, slack: float = 0.15) -> DataFrame:
@@ -154,9 +201,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, bands: i
     (fewer words: the whole sequence as one). Documents are linked if 100 * intersection >= percent * union, always checked on
     full sets. Returns for each row doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (doc_id = component_id).
 
-    Equal sets fold into one representative. Representatives that share a band meet first with their bucket's hubs; then, in
-    blocks of bounded size, with all members of other components whose one-byte sketches agree in nearly enough places
-    (slack under the wanted similarity; a true link misses that about once in a million). Rounds go on until no pair is left out.
+    Equal sets fold into one representative. Representatives that share a band meet first with their bucket's hubs. In buckets
+    that then hold several components, the rows meet in blocks of bounded size, and all pairs across components whose one-byte
+    sketches agree in nearly enough places (slack under the wanted similarity; a true link misses that about once in a
+    million) are checked where they meet, until the components there are one or the pairs are used up.
     A pair of similarity 0.85 shares none of 20 bands of 6 with probability 8e-5.
 
     Defined cases: a null or empty text has an empty set and is its own component; a null doc_id is linked with nothing, its
@@ -180,22 +228,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, bands: i
     texts = scratch.save(texts, "texts")
     links = scratch.save(_verified(scratch.save(pairs, "pairs"), texts, words, percent), "links-0")
     groups = connected_components(links, scratch, "cc-0")
-    least, most, k = int(bands * rows * (percent / 100 - slack)), 8, 0
-    while True:
-        placed = members.select("key", "id", "n", "m").join(groups, "id", "left").select("key", "id", "n", "m", F.coalesce("component", "id").alias("component"))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        open_ = placed.join(mixed, "key", "left_semi").join(nodes.groupBy("id").agg(F.max("sketch").alias("sketch")), "id")
-        open_ = open_.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("long")).withColumn("block", F.expr("pmod(xxhash64(id), blocks)"))
-        dealt = open_.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "n", "component", "sketch")
-        more = scratch.save(_across(dealt, percent, least, most).groupBy("a", "b").agg(F.max("cut").alias("cut")), f"across-{k}")
-        links = scratch.save(links.union(_verified(more.select("a", "b"), texts, words, percent)).distinct(), f"links-{k + 1}")
-        groups = connected_components(links, scratch, f"cc-{k + 1}")
-        cut = not more.where("cut").isEmpty()
-        scratch.drop(f"across-{k}", f"links-{k}")
-        if not cut:
-            break
-        most, k = most * 8, k + 1
-    scratch.drop("members", "texts", "pairs")
+    placed = members.select("key", "id").join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    met = scratch.save(_meetings(placed), "meetings")
+    open_ids = met.select(F.col("id").alias("doc_id")).distinct()
+    whole = _grams(texts.join(open_ids, "doc_id", "left_semi"), words).join(nodes.groupBy("id").agg(F.max("sketch").alias("sketch")), "id")
+    more = scratch.save(_across(met.join(whole, "id"), percent, int(bands * rows * (percent / 100 - slack))), "across")
+    links = scratch.save(links.union(more).distinct(), "links-1")
+    groups = connected_components(links, scratch, "cc-1")
+    scratch.drop("members", "texts", "pairs", "meetings", "across")
     of = feat.select("doc_id", "n_shingles", "set_id").join(reps, "set_id", "left")
     # a doc_id on rows of several sets ties their representatives together
     ties = of.where("rep is not null and doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
