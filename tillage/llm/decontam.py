@@ -62,7 +62,7 @@ def contained(docs: DataFrame, benchmark: DataFrame, words: int = 5, percent: in
     wanted = items.select("item", F.explode("sketch").alias("h")).distinct()
     probes = own.select("doc_id", tokens().alias("w")).select("doc_id", F.explode(hashed(F.col("w"), words)).alias("h"))
     found = scratch.save(probes.join(wanted, "h").select("doc_id", "item").distinct(), "candidates")
-    texts = own.join(found.select("doc_id").distinct(), "doc_id").select("doc_id", spelled(tokens(), words).alias("held"))
+    texts = own.join(found.select("doc_id").distinct(), "doc_id").select("doc_id", tokens().alias("w")).select("doc_id", spelled(F.col("w"), words).alias("held"))
     pairs = texts.join(found, "doc_id").join(items.select("item", "n_item", "shingles"), "item")
     shared = F.size(F.array_intersect("shingles", "held"))
     pairs = pairs.select("doc_id", F.col("item").alias("item_id"), "n_item", shared.alias("n_shared")).where(f"100 * n_shared >= {percent} * n_item")
