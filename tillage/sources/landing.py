@@ -210,7 +210,8 @@ def js_records(texts: DataFrame) -> DataFrame:
     """
     code = F.regexp_replace("value", r"(?m)^\s*//[^\n]*$", "")
     block = texts.select(F.explode(F.regexp_extract_all(code, F.lit(r"""(?s)(\{\s*iso\s*:\s*['"].*?)(?=\{\s*iso\s*:|\z)"""), F.lit(1))).alias("b"))
-    text = lambda n: F.nullif(F.regexp_extract("b", rf"""[{{,\s]{n}\s*:\s*(?:"((?:[^"\\]|\\.)*)"|'((?:[^'\\]|\\.)*)')""", 1), F.lit(""))
+    quoted = lambda n, group: F.regexp_extract("b", rf"""[{{,\s]{n}\s*:\s*(?:"((?:[^"\\]|\\.)*)"|'((?:[^'\\]|\\.)*)')""", group)
+    text = lambda n: F.nullif(F.concat(quoted(n, 1), quoted(n, 2)), F.lit(""))
     number = lambda n: F.regexp_extract("b", rf"[{{,\s]{n}\s*:\s*(-?[0-9.]+)", 1).try_cast("double").alias(n)
     inside = lambda n: F.regexp_extract("b", rf"[{{,\s]{n}\s*:\s*\[([^\]]*)\]", 1)
     numbers = lambda n: F.transform(F.filter(F.split(inside(n), ","), lambda x: F.trim(x) != ""), lambda x: F.trim(x).try_cast("double")).alias(n)
