@@ -14,7 +14,7 @@ DATA = "/root/testdata"
 def spark():
     from tillage.session import local_session
 
-    session = local_session("tests", 8, spark__sql__shuffle__partitions="4", spark__driver__memory="6g")
+    session = local_session("tests", 4, spark__sql__shuffle__partitions="4", spark__driver__memory="6g")
     yield session
     session.stop()
 
