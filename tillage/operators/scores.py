@@ -19,6 +19,15 @@ def structural(profiles: DataFrame, weights: tuple[float, ...] = SIX) -> DataFra
     return profiles.select("iso", round_half_up(weighted(F.col("c"), list(weights)), 1).alias("score")).withColumn("label", risk_label("score"))
 
 
+def seven_components(profiles: DataFrame, rescale: float = 0.92) -> DataFrame:
+    """iso, score, label by the seven weights: the six components and the wheat share as caloric dependency, rescaled and held at 100.
+
+    The source of this score is known from its description only; which value the seventh weight takes is our reading.
+    """
+    seventh = F.least(F.lit(100.0), or_zero("w") / rescale)
+    return structural(profiles.withColumn("c", F.concat("c", F.array(seventh))), SEVEN)
+
+
 def blended(sourced: Column, heritage: Column, share: float = 0.6) -> Column:
     """A component of which part is sourced: so much of the sourced value, the rest of the older one; the older one alone where nothing is sourced."""
     return F.when(sourced.isNull(), heritage).otherwise(sourced * share + or_zero(heritage) * (1 - share))

@@ -153,6 +153,15 @@ def q_structural_score(t: Tables) -> DataFrame:
     return scores.structural(profiles(t))
 
 
+_SEVEN = rounded("0.0::DOUBLE + c[1] * 0.28::DOUBLE + c[2] * 0.18::DOUBLE + c[3] * 0.14::DOUBLE + c[4] * 0.14::DOUBLE + c[5] * 0.09::DOUBLE + c[6] * 0.09::DOUBLE + least(100.0::DOUBLE, w / 0.92::DOUBLE) * 0.08::DOUBLE", 1)
+
+
+@query(f"WITH {PROFILES}, s AS (SELECT iso, {_SEVEN} AS score FROM profiles) SELECT iso, score, {LABEL_SQL.format('score')} AS label FROM s")
+def q_seven_components(t: Tables) -> DataFrame:
+    """The later score of seven components."""
+    return scores.seven_components(profiles(t))
+
+
 @query(f"""WITH {PROFILES}, {NOWCAST}, st AS (SELECT iso, {_STRUCTURAL} AS score FROM profiles), adj AS (SELECT replace(key, 'K-', 'N') AS iso, adjustment FROM nowcast),
 h AS (SELECT iso, score, coalesce(adjustment, 0.0::DOUBLE) AS adjustment FROM st LEFT JOIN adj USING (iso)) SELECT *, least(100.0::DOUBLE, greatest(0.0::DOUBLE, {rounded('score + adjustment', 1)})) AS headline FROM h""")
 def q_headline_score(t: Tables) -> DataFrame:
