@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -100,7 +100,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
                 yield part.loc[good, ["a", "b"]]
 
     sides = [texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab"]
-    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
+    return pairs.join(sides[0].hint("merge"), "a").join(sides[1].hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
 
 
 def _grams(texts: DataFrame, words: int) -> DataFrame:
@@ -152,28 +152,39 @@ def _spanning(rows: pd.DataFrame, percent: int, least: int) -> list[tuple[int, i
     return found
 
 
-def _across(dealt: DataFrame, percent: int, least: int) -> DataFrame:
-    """(a, b) links of dealt(key, kind, x, y, left, right, id, component, sketch, grams): the rows of a meeting are at most two blocks."""
+def _near(rows: pd.DataFrame, least: int) -> pd.DataFrame:
+    """The rows that have a partner on the other side, in another component, whose sketch agrees in at least so many bytes."""
+    left, right, part = rows["left"].to_numpy(), rows["right"].to_numpy(), rows["component"].to_numpy()
+    codes = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rows), -1)
+    j, keep = np.flatnonzero(right), np.zeros(len(rows), bool)
+    for a in np.flatnonzero(left):
+        to = j[part[j] != part[a]]
+        to = to[(codes[to] == codes[a]).sum(1) >= least]
+        keep[to] = True
+        keep[a] |= len(to) > 0
+    return rows.loc[keep, MEETING]
+
+
+MEETING = ["key", "kind", "x", "y", "left", "right", "id", "component"]
+
+
+def _met(dealt: DataFrame, one: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """one() of each meeting of dealt(key, kind, x, y, ...); the rows of a meeting are at most two blocks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         at = None
-
-        def links() -> pd.DataFrame:
-            return pd.DataFrame(_spanning(pd.concat(held, ignore_index=True), percent, least), columns=["a", "b"])
-
         for batch in batches:  # sorted, so a meeting's rows stand together
             for key, rows in batch.groupby(["key", "kind", "x", "y"], sort=False):
                 if key != at and held:
-                    yield links()
+                    yield one(pd.concat(held, ignore_index=True))
                     held = []
                 at = key
                 held.append(rows)
         if held:
-            yield links()
+            yield one(pd.concat(held, ignore_index=True))
 
-    placed = dealt.repartition("key", "kind", "x", "y").sortWithinPartitions("key", "kind", "x", "y")
-    return placed.mapInPandas(run, "a long, b long")
+    return dealt.repartition("key", "kind", "x", "y").sortWithinPartitions("key", "kind", "x", "y").mapInPandas(run, schema)
 
 
 def _meetings(placed: DataFrame) -> DataFrame:
@@ -202,9 +213,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, bands: i
     full sets. Returns for each row doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (doc_id = component_id).
 
     Equal sets fold into one representative. Representatives that share a band meet first with their bucket's hubs. In buckets
-    that then hold several components, the rows meet in blocks of bounded size, and all pairs across components whose one-byte
-    sketches agree in nearly enough places (slack under the wanted similarity; a true link misses that about once in a
-    million) are checked where they meet, until the components there are one or the pairs are used up.
+    that then hold several components, the rows meet in blocks of bounded size. A first pass keeps those with a partner in
+    another component whose one-byte sketch agrees in nearly enough places (slack under the wanted similarity; a true link
+    misses that about once in a million); a second one has their whole sets and checks such pairs until the components there
+    are one or the pairs are used up.
     A pair of similarity 0.85 shares none of 20 bands of 6 with probability 8e-5.
 
     Defined cases: a null or empty text has an empty set and is its own component; a null doc_id is linked with nothing, its
@@ -216,7 +228,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, bands: i
     feat = scratch.save(features(docs, words, bands, rows), "features")
     usable = feat.where("n_shingles > 0 and doc_id is not null")
     reps = scratch.save(usable.groupBy("set_id").agg(F.min("doc_id").alias("rep")), "reps")
-    nodes = feat.join(reps.select(F.col("rep").alias("doc_id"), "set_id"), ["doc_id", "set_id"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "sketch")
+    nodes = feat.join(reps.select(F.col("rep").alias("doc_id"), "set_id").hint("merge"), ["doc_id", "set_id"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "sketch")
+    nodes = scratch.save(nodes, "nodes")
     spread = nodes.select(F.explode("bands").alias("key"), "id", "n").distinct()
     hubs = spread.groupBy("key").agg(F.count("*").alias("m"), *(F.min(F.col("id").bitwiseXOR(F.lit(h))).bitwiseXOR(F.lit(h)).alias(f"hub{k}") for k, h in enumerate(HUBS))).where("m > 1")
     members = scratch.save(spread.join(hubs, "key"), "members")
@@ -224,18 +237,22 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, bands: i
     met = members.select("id", "n", F.explode(F.array_distinct(F.array(*(f"hub{k}" for k in range(len(HUBS)))))).alias("hub")).where("id <> hub").distinct()
     met = met.join(sizes.select(F.col("id").alias("hub"), F.col("n").alias("n_hub")), "hub").where(f"100 * least(n, n_hub) >= {percent} * greatest(n, n_hub)")
     pairs = met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
     texts = scratch.save(texts, "texts")
     links = scratch.save(_verified(scratch.save(pairs, "pairs"), texts, words, percent), "links-0")
     groups = connected_components(links, scratch, "cc-0")
     placed = members.select("key", "id").join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    met = scratch.save(_meetings(placed), "meetings")
+    least = int(bands * rows * (percent / 100 - slack))
+    sketches = nodes.groupBy("id").agg(F.max("sketch").alias("sketch"))
+    met = _met(_meetings(placed).join(sketches, "id"), lambda g: _near(g, least), "key long, kind int, x long, y long, left boolean, right boolean, id long, component long")
+    met = scratch.save(met, "meetings")
     open_ids = met.select(F.col("id").alias("doc_id")).distinct()
-    whole = _grams(texts.join(open_ids, "doc_id", "left_semi"), words).join(nodes.groupBy("id").agg(F.max("sketch").alias("sketch")), "id")
-    more = scratch.save(_across(met.join(whole, "id"), percent, int(bands * rows * (percent / 100 - slack))), "across")
+    whole = _grams(texts.join(open_ids.hint("merge"), "doc_id", "left_semi"), words).join(sketches, "id")
+    more = _met(met.join(whole.hint("merge"), "id"), lambda g: pd.DataFrame(_spanning(g, percent, least), columns=["a", "b"]), "a long, b long")
+    more = scratch.save(more, "across")
     links = scratch.save(links.union(more).distinct(), "links-1")
     groups = connected_components(links, scratch, "cc-1")
-    scratch.drop("members", "texts", "pairs", "meetings", "across")
+    scratch.drop("members", "texts", "pairs", "meetings", "across", "nodes")
     of = feat.select("doc_id", "n_shingles", "set_id").join(reps, "set_id", "left")
     # a doc_id on rows of several sets ties their representatives together
     ties = of.where("rep is not null and doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))

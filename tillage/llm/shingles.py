@@ -25,7 +25,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def _power(base: int, n: int) -> np.ndarray:
     held = _powers.get(base)
     if held is None or len(held) < n:
-        steps = np.full(max(n, 1 << 20), base, np.uint64)
+        steps = np.full(max(n, 1 << 19), base, np.uint64)
         steps[0] = 1
         _powers[base] = held = np.multiply.accumulate(steps)
     return held[:n]
@@ -47,7 +47,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(starts, bounds)
 
 
-def shingle_sets(texts: list[str | None], n: int, block: int = 2 << 20) -> Iterator[np.ndarray]:
+def shingle_sets(texts: list[str | None], n: int, block: int = 1 << 18) -> Iterator[np.ndarray]:
     """For each text its distinct n-word shingles as sorted hashes; fewer words: the whole sequence as one; none: empty."""
     part: list[bytes] = []
     size = 0
