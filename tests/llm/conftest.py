@@ -1,46 +1,9 @@
 from __future__ import annotations
 
 import random
-import re
 
 import pytest
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-def words_of(text: str | None) -> list[str]:
-    """Words as the contract states them: A-Z lower-cased, split at ASCII white space."""
-    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
-    return WORD.findall(lower)
-
-
-def shingles_of(text: str | None, n: int) -> set[tuple[str, ...]]:
-    w = words_of(text)
-    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
-
-
-def components_of(texts: dict[int, set], linked) -> dict[int, int]:
-    """Smallest id reachable, by trying all pairs."""
-    root = {i: i for i in texts}
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    ids = sorted(texts)
-    for k, a in enumerate(ids):
-        for b in ids[k + 1 :]:
-            if linked(texts[a], texts[b]):
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    return {i: find(i) for i in ids}
-
-
-def prose(rng: random.Random, n: int, vocabulary: int = 400) -> list[str]:
-    return [f"w{rng.randrange(vocabulary)}" for _ in range(n)]
-
-
 @pytest.fixture
 def rng() -> random.Random:
     return random.Random(7)

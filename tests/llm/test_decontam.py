@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 import re
 
-from conftest import prose
+from plain import prose
 
 from tillage.llm import decontam
 

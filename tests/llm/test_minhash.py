@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
-from conftest import components_of, prose, shingles_of
+from plain import components_of, prose, shingles_of
 
 from tillage.llm import minhash, shingles
 

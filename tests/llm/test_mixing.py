@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
-from conftest import words_of
+from plain import words_of
 
 from tillage.llm import mixing
 

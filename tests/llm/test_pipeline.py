@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import components_of, shingles_of
+from plain import components_of, shingles_of
 from pyspark.sql import functions as F
 from test_decontam import brute as leaks
 from test_minhash import similar
