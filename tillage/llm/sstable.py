@@ -257,13 +257,16 @@ def write_shards(docs: DataFrame, folder: str, scratch: Scratch, tokenizer: str,
 
 
 def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
-    """Reads the shards of a manifest back: a row per document with its place in the shard, length and crc32 of its ids."""
+    """Reads the shards of a manifest back: a row per document with its place, length and crc32 of its ids.
+
+    The place counts from the shard's begin, or from base where the manifest has it (ids of all shards before).
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, root = open_fs(folder)
         for batch in batches:
-            for path in batch["path"]:
-                rows, start = [], 0
+            for path, base in zip(batch["path"], batch["base"].tolist()):
+                rows, start = [], base
                 with store.open_input_file(f"{root}/{path}") as file:
                     reader = Reader(file)
                     for key, value in reader:
@@ -275,7 +278,8 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
                             rows = []
                 yield _frame(rows)
 
-    spread = manifest.select("path").repartition(max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "path")
+    base = F.col("base") if "base" in manifest.columns else F.lit(0)
+    spread = manifest.select("path", base.cast("long").alias("base")).repartition(max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "path")
     return spread.mapInPandas(run, ROWS).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -309,4 +313,4 @@ def token_table(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2,
     manifest = write_shards(docs, folder, scratch, tokenizer or default_tokenizer(), end_id, shard_bytes)
     before = Window.orderBy("partition", "seq").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.select("path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
-    return read_shards(manifest, folder).join(placed, "path").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32", F.col("path").alias("shard"))
+    return read_shards(placed, folder).select("doc_id", "start", "n_tokens", "ids_crc32", F.col("path").alias("shard"))
