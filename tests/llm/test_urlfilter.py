@@ -64,6 +64,41 @@ def test_segmentation_is_the_cheapest_split():
     assert u.segmented("onlinecasino") == ("online", "casino")
 
 
+def test_listed_words_are_split_off_inside_unknown_text():
+    for name, words in {"luckypoker": "lucky poker", "megaporn": "mega porn", "superslots": "super slots", "royalcasinoclub": "royal casino club", "megacasinonight": "mega casino night", "essex": "essex", "roads": "roads", "downloads": "downloads"}.items():
+        assert u.segmented(name) == tuple(words.split())
+    for words in (u.LISTED, u.Words({"other": 5})):
+        for w in u.UNWANTED:
+            if len(w) > 3:
+                assert u.segmented(f"zqvkj{w}", words) == ("zqvkj", w) and u.segmented(f"zqvkj{w}yhwub", words) == ("zqvkj", w, "yhwub")
+
+
+def test_words_are_learned_from_all_pages(spark):
+    text = "<html><style>p{unseen:0}</style><p>Hot chat in Essex: roads &amp; downloads, <b>lucky</b> threads für payday loans fast</html>"
+    rows = [(k, f"http://site{k}.info/royal/", text) for k in range(3)] + [(10, "http://mega-club.info/", "<p>Mega-club luckypoker"), (11, "http://luckypoker.info/", "luckypoker")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    counts = u.vocabulary(df)
+    assert counts["roads"] == counts["royal"] == 3 and counts["mega"] == counts["club"] == counts["luckypoker"] == 1 and not {"unseen", "html", "style", "amp", "für", "in"} & set(counts)
+    words = u.Words({w: n for w, n in counts.items() if w != "luckypoker"})
+    for name, want in {"hotsexchat": "hot sex chat", "luckypoker": "lucky poker", "luckyads": "lucky ads", "paydayloansfast": "payday loans fast", "essex": "essex", "essexroads": "essex roads", "downloads": "downloads", "threads": "threads"}.items():
+        assert u.segmented(name, words) == tuple(want.split()), name
+
+
+def test_the_bound_of_the_vocabulary_keeps_the_most_widespread(spark, monkeypatch):
+    monkeypatch.setattr(u, "VOCABULARY", 2)
+    df = spark.createDataFrame([(k, f"http://s{k}.info/", "alpha beta" + " gamma delta" * (k == 0)) for k in range(2)], "page_id long, url string, html string")
+    assert u.vocabulary(df) == {"alpha": 2, "beta": 2}
+
+
+def test_planted_hosts_are_blocked_and_clean_ones_are_not(spark):
+    planted, clean = ["luckypoker", "royalcasinoclub", "megacasinonight", "megaporn", "superslots", "hotsexchat"], ["essex", "roads", "downloads", "middlesexcounty"]
+    text = "<p>hot chat roads essex downloads middlesex county</p>"
+    rows = [(k, f"http://{h}.info/p", text) for k, h in enumerate(planted + clean)] + [(100 + k, f"http://plain{k}garden.info/p", text) for k in range(20)]
+    out = {r.page_id: r.verdict for r in u.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [out[k] for k in range(len(planted))] == ["block"] * len(planted)
+    assert all(out[k] == "allow" for k in out if k >= len(planted))
+
+
 def test_defined_cases(spark):
     urls = [(None, "http://a.info/"), (1, "http://" + "casino" * 3000 + "/" + "x/" * 20_000), (2, "http://a.info/"), (2, "http://a.info/"), (3, None)]
     assert len(u.judge(pages(spark, urls)).collect()) == 5

@@ -9,9 +9,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillage.llm.common import Scratch
+
 #: The rules, as (host, path, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: Words that mark a host as unwanted when they stand in its name; they label the hosts that the model learns from.
@@ -47,35 +50,85 @@ def _costs() -> dict[str, float]:
 
 
 COSTS = _costs()
-LONGEST = max(map(len, COSTS))
+#: Costs of parts that are no known word: by letter (those under SHORT letters nearly as SHORT), by part, and for splitting a name that leaves such parts.
+#: So a listed word of four letters or more wins inside unknown text; three letters (essex, roads) do so beside known words only.
+LETTER, SHORT, UNKNOWN, SPLIT = math.log(26), 3, 2.1, 4.4
+#: As many learned words go to the tasks at most: those that most hosts use.
+VOCABULARY = 100_000
+
+
+class Words:
+    """A unigram model of names: the listed words, and, with counts, as likely as all of them together, learned ones."""
+
+    def __init__(self, counts: dict[str, int] | None = None):
+        self.costs = COSTS
+        if counts:
+            total, chance = sum(counts.values()), {w: math.exp(-c) for w, c in COSTS.items()}
+            self.costs = {w: -math.log((chance.get(w, 0.0) + counts.get(w, 0) / total) / 2) for w in chance | counts}
+        self.longest = max(map(len, self.costs))
+        self.segmented = lru_cache(1 << 16)(self._segmented)
+
+    def _segmented(self, name: str) -> tuple[str, ...]:
+        best = [0.0] + [math.inf] * len(name)
+        back = [0] * (len(name) + 1)
+        for end in range(1, len(name) + 1):
+            for begin in range(end):
+                length = end - begin
+                if length < len(name):
+                    cost = UNKNOWN + LETTER * max(length, SHORT) - max(0, SHORT - length) / 2
+                else:
+                    cost = UNKNOWN + LETTER * length - SPLIT
+                if length <= self.longest:
+                    cost = min(cost, self.costs.get(name[begin:end], cost))
+                if best[begin] + cost < best[end]:
+                    best[end], back[end] = best[begin] + cost, begin
+        words, end = [], len(name)
+        while end:
+            words.append(name[back[end] : end])
+            end = back[end]
+        return tuple(reversed(words))
+
+
+LISTED = Words()
+
+
+def segmented(name: str, words: Words = LISTED) -> tuple[str, ...]:
+    """The most likely words of a name under the unigram model (Viterbi); a span that is no known word costs by its letters."""
+    return words.segmented(name)
 
 
-@lru_cache(1 << 16)
-def segmented(name: str) -> tuple[str, ...]:
-    """The most likely words of a name under the unigram model (Viterbi); a span that is no known word costs by its letters."""
-    best = [0.0] + [math.inf] * len(name)
-    back = [0] * (len(name) + 1)
-    for end in range(1, len(name) + 1):
-        for begin in range(end):
-            word = name[begin:end]
-            cost = COSTS.get(word, 10.0 + len(word)) if end - begin <= LONGEST else 10.0 + len(word)
-            if best[begin] + cost < best[end]:
-                best[end], back[end] = best[begin] + cost, begin
-    words, end = [], len(name)
-    while end:
-        words.append(name[back[end] : end])
-        end = back[end]
-    return tuple(reversed(words))
-
-
-def _label_words(label: str) -> tuple[str, ...]:
+def vocabulary(pages: DataFrame) -> dict[str, int]:
+    """On how many hosts each word of the pages stands, for the VOCABULARY most widespread words.
+
+    Words are whole runs of letters and digits that are three or more of a-z, from the text of html (tags, scripts and styles taken out), paths
+    and labels of hosts with hyphens. A host does not speak for its own labels, so that its name on its pages makes it no word.
+    Of words that tie at the bound all are left out, so the driver and the tasks get no more.
+    """
+    host, path = parts(F.col("url"))
+    html = F.col("html") if "html" in pages.columns else F.lit("")
+    text = F.regexp_replace(F.lower(F.coalesce(html, F.lit(""))), r"(?s)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;", " ")
+    split = pages.select(host.alias("host"), F.lower(path).alias("path"), text.alias("text")).withColumn("labels", F.split("host", r"\."))
+    hyphens = F.filter("labels", lambda x: x.contains("-"))
+    found = F.split(F.concat_ws(" ", "text", "path", hyphens), r"[^\p{L}\p{N}]+")
+    found = F.array_except(F.array_distinct(F.filter(found, lambda w: w.rlike("^[a-z]{3,63}$"))), "labels")
+    spread = split.select("host", F.explode(found).alias("word")).distinct().groupBy("word").agg(F.count("*").alias("n"))
+    spread = Scratch(pages.sparkSession, "urlfilter").save(spread, "words")
+    room, least = VOCABULARY, None
+    for r in sorted(spread.groupBy("n").agg(F.count("*").alias("words")).collect(), reverse=True):  # distinct counts: at most the root of twice their sum
+        if r["words"] > room:
+            break
+        room, least = room - r["words"], r["n"]
+    return {} if least is None else {r["word"]: r["n"] for r in spread.where(F.col("n") >= least).collect()}
+
+
+def _label_words(label: str, words: Words) -> tuple[str, ...]:
     # a label has 63 characters at most; a longer one is cut at 64s so that the time stays linear
-    return tuple(w for k in range(0, len(label), 64) for w in segmented(label[k : k + 64]))
+    return tuple(w for k in range(0, len(label), 64) for w in segmented(label[k : k + 64], words))
 
 
-def features(host: str, path: str) -> list[str]:
+def features(host: str, path: str, words: Words = LISTED) -> list[str]:
     """Segmented words of the host's labels, marked h:, and path tokens, marked p: (digits as one token)."""
-    out = [f"h:{w}" for label in re.split(r"[^a-z0-9]+", host) if label for w in _label_words(label)]
+    out = [f"h:{w}" for label in re.split(r"[^a-z0-9]+", host) if label for w in _label_words(label, words)]
     return out + [f"p:{'#' if t.isdigit() else t}" for t in re.split(r"[^a-z0-9]+", path.lower()) if t]
 
 
@@ -91,20 +144,20 @@ def weak_label(tokens: list[str]) -> int:
     return int(any(t[2:] in UNWANTED for t in tokens if t.startswith("h:")))
 
 
-def learn(pages: DataFrame) -> np.ndarray | None:
+def learn(pages: DataFrame, counts: Broadcast) -> np.ndarray | None:
     """Log odds by token bucket, and last the prior's: multinomial naive Bayes over the distinct urls of the whole table.
 
-    Counts are gathered in BUCKETS fixed buckets, so what the driver gets has a bound. None for a table without hosts.
+    counts holds what vocabulary() found.     Counts are gathered in BUCKETS fixed buckets, so what the driver gets has a bound. None for a table without hosts.
     """
     host, path = parts(F.col("url"))
     urls = pages.select(host.alias("host"), path.alias("path")).where("host <> ''").distinct()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = np.zeros((2, BUCKETS), np.int64)
-        docs = np.zeros(2, np.int64)
+        docs, words = np.zeros(2, np.int64), Words(counts.value)
         for batch in batches:
             for h, p in zip(batch["host"], batch["path"]):
-                tokens = features(h, p)
+                tokens = features(h, p, words)
                 y = weak_label(tokens)
                 docs[y] += 1
                 for t in tokens:
@@ -128,23 +181,27 @@ def learn(pages: DataFrame) -> np.ndarray | None:
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict, log_odds for each row of pages(page_id, url).
+    """page_id, host, path, rule, verdict, log_odds for each row of pages(page_id, url, html).
 
-    The longest fitting rule decides; else the classifier: host names are split into words by unigram Viterbi, and multinomial
-    naive Bayes over host words and path tokens blocks at log odds above 0. It learns from all pages, hosts with an unwanted
-    word being the class to block.
+    The longest fitting rule decides; else the classifier: host names are split into words by unigram Viterbi, the words being the
+    listed ones and those of all pages, and multinomial naive Bayes over host words and path tokens blocks at log odds above 0. It
+    learns from all pages, hosts with an unwanted word being the class to block.
 
     Defined cases: null urls and urls without :// have empty host and path, no rule, and are allowed; very long hosts and paths are
-    used whole; null page_ids and repeated rows come out as they are; extra columns are ignored; an empty table gives no rows.
+    used whole; null page_ids and repeated rows come out as they are; extra columns are ignored, and html may be missing; an empty table gives no rows.
     """
-    odds = learn(pages)
+    counts = pages.sparkSession.sparkContext.broadcast(vocabulary(pages))
+    odds = learn(pages, counts)
 
     @F.pandas_udf("double")
-    def log_odds(host: pd.Series, path: pd.Series) -> pd.Series:
+    def log_odds(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        words = Words(counts.value)
+
         def one(h: str, p: str) -> float:
-            return float(odds[-1] + sum(odds[bucket(t)] for t in features(h, p))) if odds is not None and h else -math.inf
+            return float(odds[-1] + sum(odds[bucket(t)] for t in features(h, p, words))) if odds is not None and h else -math.inf
 
-        return pd.Series([one(h, p) for h, p in zip(host, path)], dtype="float64")
+        for host, path in batches:
+            yield pd.Series([one(h, p) for h, p in zip(host, path)], dtype="float64")
 
     host, path = parts(F.col("url"))
     split = pages.select("page_id", host.alias("host"), path.alias("path"))
