@@ -63,6 +63,35 @@ def test_recall_on_vectors_without_structure(spark):
     assert hit / (60 * 20) >= 0.9
 
 
+def recall(spark, x, step=200, k=20):
+    """The share of the k places that hold a row as good as the k-th best by trying all."""
+    df = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    found, hit = {}, 0
+    for r in nearest(df, df.where(f"vec_id % {step} = 0"), k=k).collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    for q in range(0, len(x), step):
+        s = x.astype(np.float64) @ x[q].astype(np.float64)
+        s[q] = -np.inf
+        hit += int((s[found[q]] >= np.sort(s)[-k] - 1e-9).sum())
+    return hit / (len(found) * k)
+
+
+def test_recall_on_vectors_of_unequal_length_and_with_a_third_equal(spark):
+    draw = np.random.default_rng(6)
+    x = draw.standard_normal((12_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    lengths = np.exp(0.5 * draw.standard_normal((len(x), 1)))
+    assert recall(spark, (x * lengths).astype(np.float32)) >= 0.95
+    x[draw.permutation(len(x))[:4000]] = x[1]
+    assert recall(spark, x.astype(np.float32)) >= 0.95
+    assert recall(spark, (x * lengths).astype(np.float32)) >= 0.95
+
+
+def test_trees_climb_until_so_many_different_rows_are_found():
+    x = np.random.default_rng(2).standard_normal((600, 16))
+    assert all(300 <= len(rows) < 600 for rows in Forest(x, 32, 16, 3).candidates(x[:20], 300, 3))
+
+
 def test_inner_product_is_not_cosine(spark):
     df = frame(spark, [(0, [1.0, 1.0]), (1, [1.0, 1.1]), (2, [10.0, 0.0])])
     assert nearest(df, df.where("vec_id = 0"), k=1).collect()[0].vec_id == 2
