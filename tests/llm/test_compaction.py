@@ -53,6 +53,18 @@ def test_empty_table(spark, documents):
     assert store.version() >= 1 and store.manifest().count() == 0
 
 
+def test_query_on_an_empty_table(spark, documents, tmp_path):
+    from tillage.llm.queries import op8_compaction
+
+    documents([], extra=False).write.parquet(str(tmp_path / "documents.parquet"))
+    out = op8_compaction(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "text_md5", "lang", "source", "n_chars"] and out.collect() == []
+    store = sharded(documents([]), Scratch(spark, "t-empty-read").root)
+    empty = store.read()
+    store.append(documents([(1, "a")]))
+    assert empty.collect() == [] and empty.dtypes == store.read().dtypes and rows(store.read()) == [(1, "a", "s")]
+
+
 def test_added_columns(spark, documents):
     store = ShardStore(spark, Scratch(spark, "t-columns").root)
     store.append(documents([(1, "a")], extra=False))

@@ -20,7 +20,7 @@ class ShardStore:
     within a factor of fanout) into one run of files of about target_bytes; both end by committing the next manifest version.
     A version is a folder of its own plus a marker file that is created with "fail if it exists": of two writers one wins, and
     readers only see whole versions. Files that no kept version names are removed by vacuum().
-    A run is listed by one row per shard; the driver sees one row per run.
+    A run is listed by one row per shard; the driver sees one row per run. The columns of a store without runs are kept beside them.
     """
 
     def __init__(self, spark: SparkSession, root: str, target_bytes: int = 64 << 20, fanout: int = 4):
@@ -73,6 +73,8 @@ class ShardStore:
     def append(self, arrivals: DataFrame, batch: str | None = None) -> int:
         """Writes arrivals as small shards and commits them; with batch, each value of that column is a run of its own."""
         base, name = self.version(), uuid.uuid4().hex[:12]
+        if not self.manifest(base).head(1):  # what read() gives while there are no runs
+            arrivals.drop(*([batch] if batch else [])).limit(0).write.mode("overwrite").parquet(f"{self.root}/columns")
         if batch is None:
             runs = [f"run-{name}"]
             arrivals.write.parquet(f"{self.root}/data/{runs[0]}")
@@ -133,7 +135,10 @@ class ShardStore:
         rows = self.manifest(version)
         runs = [r["run"] for r in rows.select("run").distinct().collect()]
         if not runs:
-            raise ValueError("the store is empty")
+            if not self.fs.exists(hadoop_path(self.spark, f"{self.root}/columns")[1]):
+                raise ValueError("nothing has been appended to the store")
+            none = self.spark.createDataFrame([], self.spark.read.parquet(f"{self.root}/columns").schema)
+            return none.select(F.lit("").alias("shard"), "*", F.lit("").alias("run"), F.lit(0).alias("tier"))
         data = self.spark.read.schema(self._schema(runs)).parquet(*(f"{self.root}/data/{n}" for n in runs))
         return data.withColumn("shard", F.regexp_extract("_metadata.file_path", r"/data/(.*)$", 1)).join(rows.select("shard", "run", "tier"), "shard")
 
@@ -142,7 +147,7 @@ def sharded(docs: DataFrame, root: str, arrivals: int = 8, target_bytes: int = 6
     """documents appended as so many arrivals (by hash of doc_id and text) and compacted until no tier is full.
 
     Defined cases: nulls in any column, empty and long texts and repeated rows are kept as they are; extra columns are kept;
-    an empty table gives a store of one empty version.
+    an empty table gives a store of one empty version, which reads as no rows of its columns.
     """
     store = ShardStore(docs.sparkSession, root, target_bytes, fanout)
     arrival = F.expr(f"pmod(xxhash64(doc_id, text), {arrivals})")
