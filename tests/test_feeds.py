@@ -300,6 +300,17 @@ def test_zip_and_worksheet(spark, tmp_path):
     assert {(r.row, r.col, r.value) for r in cells.collect()} == {(4, 0, "one"), (4, 27, "2.5")}
 
 
+def test_each_zip_of_a_folder_is_a_task_of_its_own(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        with zipfile.ZipFile(tmp_path / "in" / f"{k}.zip", "w") as z:
+            z.writestr("x.csv", f"a,b\n{k},y\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    landing.land_zip(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert len(list((tmp_path / "out").glob("part-*"))) == 3 and spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+    assert sorted(r.a for r in landing.csv_rows(spark, str(tmp_path / "out")).collect()) == ["0", "1", "2"]
+
+
 def test_dashboard_records(spark):
     js = """const X = [\n// don't trip on this\n{iso:"NLD", name:"Netherlands", region:'Europe', fdrs:30, c:[10,20,30,40,50,60], f2030:35, w:80.5, net:-12, imports:['Soy','Maize'], suppliers:["Brazil"], supPct:[40]},\n{iso:'US-AL', name:'Alabama', region:'US', fdrs:41, c:[1,2,3,4,5,6], imports:[], suppliers:[], supPct:[]}\n];"""
     out = by(landing.js_records(texts(spark, js)), "iso")

@@ -84,9 +84,10 @@ def find_column(df: DataFrame, *names: str) -> str | None:
 
 
 def land_zip(spark: SparkSession, path: str, folder: str, wanted: str = r"\.csv$", encoding: str = "utf-8") -> DataFrame:
-    """Text lines of the first member whose name fits (else the first .csv) of a ZIP file, written to a folder and read from it.
+    """Text lines of the first member whose name fits (else the first .csv) of a ZIP file, or of each in a folder, written to a folder and read from it.
 
-    A ZIP member is one stream, so it is one task's work, line by line; what comes after reads the folder in parallel.
+    A ZIP member is one stream, so an archive is one task's work, line by line; of a folder of archives each is a task and a file of its own,
+    held whole while it is read. What comes after reads the folder in parallel.
     """
     import re
 
@@ -108,7 +109,13 @@ def land_zip(spark: SparkSession, path: str, folder: str, wanted: str = r"\.csv$
 
     if not exists(spark, path):
         return spark.createDataFrame([], "value string")
-    spark.read.format("binaryFile").load(path).select("content").mapInPandas(lines, "value string").coalesce(1).write.mode("overwrite").text(folder)
+    apart = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(apart)
+    spark.conf.set(apart, "1b")  # no two archives in a task, nor in a file
+    try:
+        spark.read.format("binaryFile").load(path).select("content").mapInPandas(lines, "value string").write.mode("overwrite").text(folder)
+    finally:
+        spark.conf.set(apart, before)
     return spark.read.text(folder)
 
 
