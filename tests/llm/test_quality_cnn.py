@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 import zlib
 
@@ -75,7 +76,61 @@ def test_chunks_cover_every_byte():
 
 
 def test_scores_do_not_depend_on_the_batch():
-    rows = texts(random.Random(4), 40)
-    net = q.train([t for _, t, _ in rows], np.array([y for *_, y in rows], np.float32), 0.5, steps=20)
-    alone = np.array([q.scores(net, [t])[0] for _, t, _ in rows])
-    assert np.allclose(alone, q.scores(net, [t for _, t, _ in rows]), atol=1e-5)
+    rows = texts(random.Random(4), 40) + [(40, "", 0), (41, "x" * 3000, 0), (42, "é" * 999, 1)]
+    given = [t for _, t, _ in rows]
+    net = q.train(given, np.array([y for *_, y in rows], np.float32), 0.5, steps=20)
+    alone = [q.scores(net, [t])[0] for t in given]
+    for size in (2, 3, 7, 16, 43):
+        assert [s for lo in range(0, 43, size) for s in q.scores(net, given[lo : lo + size])] == alone
+    assert list(q.scores(net, given[::-1])) == alone[::-1]
+
+
+def plain_logit(net, text):
+    """One window, one filter at a time."""
+    data = text.encode()
+    n = max(1, math.ceil((len(data) - q.SHARED) / (q.CHUNK - q.SHARED)))
+    data += bytes(n * (q.CHUNK - q.SHARED) + q.SHARED - len(data))
+    tops = []
+    for c in range(n):
+        chunk = data[c * (q.CHUNK - q.SHARED) :][: q.CHUNK]
+        again = [float(i >= 3 and any(chunk[i - 3 : i + 1]) and any(i - 3 - lag >= 0 and chunk[i - 3 - lag : i + 1 - lag] == chunk[i - 3 : i + 1] for lag in range(3, q.LAGS + 1))) for i in range(q.CHUNK)]
+        seen = np.array([[*net.embed[b], r] for b, r in zip(chunk, again)], np.float64)
+        tops.append([max(0.0, max((seen[p : p + q.WIDTH].ravel() * f).sum() for p in range(0, q.CHUNK - q.WIDTH + 1, q.STEP)) + b) for f, b in zip(net.filters.T.astype(np.float64), net.bias)])
+    tops = np.array(tops)
+    return float(np.concatenate([tops.max(0), tops.mean(0)]) @ net.dense + net.base[0])
+
+
+def some_net(filters=3):
+    rng = np.random.default_rng(8)
+    net = q.new_net(filters, rng)
+    net.dense, net.bias, net.base = (rng.standard_normal(n).astype(np.float32) for n in (2 * filters, filters, 1))
+    return net
+
+
+def test_forward_pass_equals_a_plain_one():
+    net, given = some_net(), ["", "short", "abcabcabc " * 90, "".join(random.Random(6).choice("abcdé ") for _ in range(1500))]
+    want = [1 / (1 + math.exp(-plain_logit(net, t))) for t in given]
+    assert np.allclose(q.scores(net, given), want, atol=1e-5)
+
+
+def test_gradient_equals_small_differences():
+    net, given = some_net(), ["ab cd " * 30, "".join(random.Random(7).choice("abcdef ") for _ in range(700))]
+    labels, weight = np.array([1.0, 0.0]), np.array([1.5, 0.5])
+    grad = q.gradient(net, given, labels, weight)
+
+    def loss():
+        p = q.scores(net, given)
+        return float((-weight * np.log(np.where(labels == 1, p, 1 - p))).mean())
+
+    rng = np.random.default_rng(9)
+    for name, g in grad.items():
+        value, d = getattr(net, name), 2e-3
+        places = np.argwhere(g != 0)
+        for at in map(tuple, rng.permutation(places)[:6]):
+            held = value[at]
+            value[at] = held + d
+            up = loss()
+            value[at] = held - d
+            down = loss()
+            value[at] = held
+            assert abs((up - down) / (2 * d) - g[at]) < 0.05 * abs(g[at]) + 2e-3, (name, at)

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: Bytes of a chunk and what neighbours share; bytes under a filter, its step; channels of a byte, the last of which says "repeats".
 CHUNK, SHARED, WIDTH, STEP, CHANNELS, LAGS = 512, 32, 16, 4, 8, 32
 POSITIONS = (CHUNK - WIDTH) // STEP + 1
+#: Chunks that are multiplied at once; always so many, so that a chunk's values never depend on its company.
+TILE = 64
 SCORES = "doc_id string, held_out boolean, score double, predicted int"
 
 
@@ -22,9 +24,7 @@ class Net:
     filters: np.ndarray  # WIDTH * CHANNELS x F
     bias: np.ndarray  # F
     dense: np.ndarray  # 2 F: of the maxima over all chunks and of the mean of each chunk's maxima
-    base: float
-    center: np.ndarray  # 2 F and 2 F: the pooled values' mean and spread on the sample
-    spread: np.ndarray
+    base: np.ndarray  # 1
 
 
 def chunked(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -64,9 +64,11 @@ def windows(net: Net, chunks: np.ndarray) -> np.ndarray:
 def pooled(net: Net, chunks: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
     """Each chunk's maxima of all filters, and where they stand."""
     tops, where = [], []
-    for lo in range(0, len(chunks), 64):
-        w = windows(net, chunks[lo : lo + 64])
-        y = (w.reshape(-1, WIDTH * CHANNELS) @ net.filters).reshape(len(w), POSITIONS, -1)
+    for lo in range(0, len(chunks), TILE):
+        n = min(TILE, len(chunks) - lo)
+        tile = chunks[lo : lo + n] if n == TILE else np.concatenate([chunks[lo:], np.zeros((TILE - n, CHUNK), np.uint8)])
+        w = windows(net, tile)
+        y = (w.reshape(-1, WIDTH * CHANNELS) @ net.filters).reshape(TILE, POSITIONS, -1)[:n]
         tops.append(y.max(1))
         if keep:
             where.append(y.argmax(1))
@@ -74,9 +76,15 @@ def pooled(net: Net, chunks: np.ndarray, keep: bool = False) -> tuple[np.ndarray
 
 
 def combined(tops: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Each text's maxima over all its chunks, and the means of its chunks' maxima."""
     return np.concatenate([np.maximum.reduceat(tops, at[:-1]), np.add.reduceat(tops, at[:-1]) / np.diff(at)[:, None]], 1)
 
 
+def logits(net: Net, feat: np.ndarray) -> np.ndarray:
+    """The last layer, added up row by row in double precision, so that it is the same in any batch."""
+    return (feat.astype(np.float64) * net.dense.astype(np.float64)).sum(1) + float(net.base[0])
+
+
 def scores(net: Net, texts: list[str | None]) -> np.ndarray:
     """One probability of label 1 for each whole text."""
     out = []
@@ -87,62 +95,69 @@ def scores(net: Net, texts: list[str | None]) -> np.ndarray:
             size += len(texts[hi] or "") + 1
             hi += 1
         chunks, at = chunked(texts[lo:hi])
-        z = (combined(pooled(net, chunks)[0], at) - net.center) / net.spread @ net.dense + net.base
-        out.append(1 / (1 + np.exp(-np.clip(z.astype(np.float64), -40, 40))))
+        z = logits(net, combined(pooled(net, chunks)[0], at))
+        out.append(1 / (1 + np.exp(-np.clip(z, -40, 40))))
         lo = hi
     return np.concatenate(out) if out else np.empty(0)
 
 
-def train(texts: list[str], labels: np.ndarray, prior: float, filters: int = 32, steps: int = 240, batch: int = 32, rate: float = 0.004, seed: int = 5) -> Net:
-    """Adam on the log loss for about so many steps, three rounds at least, classes weighted evenly; in the end the base moves by the log odds of prior, label 1's share of all labels.
+def gradient(net: Net, texts: list[str], labels: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean weighted log loss, by each parameter.
 
     Only a chunk's strongest window of each filter gets a gradient, so going back costs little beside going forth.
     """
+    f = len(net.bias)
+    chunks, at = chunked(texts)
+    tops, where = pooled(net, chunks, keep=True)
+    doc = np.repeat(np.arange(len(texts)), np.diff(at))
+    feat = combined(tops, at)
+    p = 1 / (1 + np.exp(-np.clip(logits(net, feat), -30, 30)))
+    dz = ((p - labels) * weight / len(texts)).astype(np.float32)
+    grad = {"dense": feat.T @ dz, "base": dz.sum(keepdims=True)}
+    dfeat = dz[:, None] * net.dense
+    dtops = dfeat[doc, f:] / np.diff(at)[doc][:, None]
+    dtops += np.where(tops == feat[doc, :f], dfeat[doc, :f], 0)
+    dtops *= tops > 0
+    grad["bias"] = dtops.sum(0)
+    gfilters, gembed = np.zeros_like(net.filters), np.zeros_like(net.embed)
+    w = windows(net, chunks)
+    rows = np.arange(len(chunks))
+    for j in range(f):
+        live = rows[dtops[:, j] != 0]
+        if not len(live):
+            continue
+        d = dtops[live, j]
+        gfilters[:, j] = d @ w[live, where[live, j]]
+        under = chunks[live[:, None], where[live, j][:, None] * STEP + np.arange(WIDTH)]
+        back = d[:, None, None] * net.filters[:, j].reshape(WIDTH, CHANNELS)[None, :, :-1]
+        np.add.at(gembed, under.ravel(), back.reshape(-1, CHANNELS - 1))
+    return grad | {"filters": gfilters, "embed": gembed}
+
+
+def new_net(filters: int, rng: np.random.Generator) -> Net:
+    draw = lambda *shape: rng.standard_normal(shape)
+    return Net((draw(256, CHANNELS - 1) * 0.5).astype(np.float32), (draw(WIDTH * CHANNELS, filters) / 8).astype(np.float32), np.zeros(filters, np.float32), np.zeros(2 * filters, np.float32), np.zeros(1, np.float32))
+
+
+def train(texts: list[str], labels: np.ndarray, prior: float, filters: int = 32, steps: int = 240, batch: int = 32, rate: float = 0.004, seed: int = 5) -> Net:
+    """Adam on the log loss for about so many steps, three rounds at least, classes weighted evenly; in the end the base moves by the log odds of prior, label 1's share of all labels."""
     rng = np.random.default_rng(seed)
-    f = filters
-    net = Net((rng.standard_normal((256, CHANNELS - 1)) * 0.5).astype(np.float32), (rng.standard_normal((WIDTH * CHANNELS, f)) / 8).astype(np.float32), np.zeros(f, np.float32), np.zeros(2 * f, np.float32), 0.0, np.zeros(2 * f, np.float32), np.ones(2 * f, np.float32))
+    net = new_net(filters, rng)
     weight = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum())) * len(labels)
-    params = {"embed": net.embed, "filters": net.filters, "bias": net.bias, "dense": net.dense, "base": np.zeros(1, np.float32)}
-    moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in params.items()}
+    moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in vars(net).items()}
     step, epochs = 0, max(3, -(-steps * batch // len(texts)))
     for epoch in range(epochs):
         order = rng.permutation(len(texts))
         for lo in range(0, len(texts), batch):
             part = order[lo : lo + batch]
-            chunks, at = chunked([texts[i] for i in part])
-            tops, where = pooled(net, chunks, keep=True)
-            doc = np.repeat(np.arange(len(part)), np.diff(at))
-            feat = combined(tops, at)
-            z = feat @ net.dense + params["base"][0]
-            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            dz = ((p - labels[part]) * weight[part] / len(part)).astype(np.float32)
-            grad = {"dense": feat.T @ dz, "base": dz.sum(keepdims=True)}
-            dfeat = dz[:, None] * net.dense
-            dtops = dfeat[doc, f:] / np.diff(at)[doc][:, None]
-            dtops += np.where(tops == feat[doc, :f], dfeat[doc, :f], 0)
-            dtops *= tops > 0
-            grad["bias"] = dtops.sum(0)
-            gfilters, gembed = np.zeros_like(net.filters), np.zeros_like(net.embed)
-            w = windows(net, chunks)
-            rows = np.arange(len(chunks))
-            for j in range(f):
-                live = rows[dtops[:, j] != 0]
-                if not len(live):
-                    continue
-                d = dtops[live, j]
-                gfilters[:, j] = d @ w[live, where[live, j]]
-                under = chunks[live[:, None], where[live, j][:, None] * STEP + np.arange(WIDTH)]
-                back = d[:, None, None] * net.filters[:, j].reshape(WIDTH, CHANNELS)[None, :, :-1]
-                np.add.at(gembed, under.ravel(), back.reshape(-1, CHANNELS - 1))
-            grad |= {"filters": gfilters, "embed": gembed}
             step += 1
             lr = rate * (1 - epoch / epochs)
-            for k, g in grad.items():
+            for k, g in gradient(net, [texts[i] for i in part], labels[part], weight[part]).items():
                 m, v = moments[k]
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
-                params[k] -= lr * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
-    net.base = float(params["base"][0]) + float(np.log(prior / (1 - prior)))
+                setattr(net, k, getattr(net, k) - (lr * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)).astype(np.float32))
+    net.base = net.base + np.float32(np.log(prior / (1 - prior)))
     return net
 
 
