@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import functools
 import math
+import random
 import re
+import time
 
 import pytest
 
@@ -38,10 +41,11 @@ def test_learns_unwanted_hosts_and_their_company(spark):
 
 def test_verdict_is_bayes_over_the_tokens(spark):
     urls = [(k, f"http://{'casino' if k % 3 == 0 else 'garden'}{k % 7}.info/p{k % 5}/x") for k in range(60)]
-    tokens = [u.features(*re.match("http://([^/]*)(/.*)", url).groups()) for _, url in urls]
-    y = [u.weak_label(t) for t in tokens]
+    by_url = {url: u.features(*re.match("http://([^/]*)(/.*)", url).groups()) for _, url in urls}
+    tokens = [by_url[url] for _, url in urls]
+    y = [u.weak_label(t) for t in by_url.values()]  # what is learned from is distinct urls
     counts = [{}, {}]
-    for t, c in zip(tokens, y):
+    for t, c in zip(by_url.values(), y):
         for w in t:
             counts[c][u.bucket(w)] = counts[c].get(u.bucket(w), 0) + 1
     seen = set(counts[0]) | set(counts[1])
@@ -53,17 +57,48 @@ def test_verdict_is_bayes_over_the_tokens(spark):
 
 
 def test_segmentation_is_the_cheapest_split():
-    def cheapest(s):
-        if not s:
-            return 0.0
-        return min(u.COSTS.get(s[:k], 10.0 + k) + cheapest(s[k:]) for k in range(1, len(s) + 1))
-
-    for name in ("onlinecasino", "bestblog", "xqzt", "newsforum", "gamesx"):
+    def cost(word, name):
+        short = max(0, u.SHORT - len(word))
+        unknown = u.UNKNOWN + u.LETTER * len(word) - u.SPLIT if word == name else u.UNKNOWN + u.LETTER * (len(word) + short) - short / 2
+        return min(u.COSTS.get(word, math.inf), unknown)
+
+    @functools.cache
+    def cheapest(s, name):
+        return min((cost(s[:k], name) + cheapest(s[k:], name) for k in range(1, len(s) + 1)), default=0.0)
+
+    rng = random.Random(3)
+    names = ["onlinecasino", "bestblog", "xqzt", "newsforum", "gamesx", "a", "ab", "xxadsx"] + ["".join(rng.choice([*u.UNWANTED, *u.COMMON, "q", "xz", "vbnm"]) for _ in range(rng.randrange(1, 4))) for _ in range(60)]
+    for name in names:
         words = u.segmented(name)
-        assert "".join(words) == name and sum(u.COSTS.get(w, 10.0 + len(w)) for w in words) == pytest.approx(cheapest(name))
+        assert "".join(words) == name and sum(cost(w, name) for w in words) == pytest.approx(cheapest(name, name)), name
     assert u.segmented("onlinecasino") == ("online", "casino")
 
 
+def test_known_splits_and_long_names():
+    for name, want in {"bestcasinosite0": "best casino site 0", "24casino7": "24 casino 7", "freewin2020slots": "free win 2020 slots", "bücher": "bücher", "": ""}.items():
+        assert u.segmented(name) == tuple(want.split()), name
+    assert u.host_words("m.casino-win.example.com") == ["m", "casino", "win", "example", "com"]
+    name, begun = "bestcasino" * 20_000, time.monotonic()  # far over any label's length: one pass, no cut
+    assert u.segmented(name) == ("best", "casino") * 20_000 and time.monotonic() - begun < 60
+    assert u.segmented("q" * 63 + "casino") == ("q" * 63, "casino")
+
+
+def test_learns_from_what_pages_say_not_only_from_names(spark):
+    """Labels come from the texts of two thirds of the hosts; urls of the others, without text, are told by the company of their words and paths."""
+    rng, rows = random.Random(11), []
+    bad, good = ["zorbex", "quanti", "velmor"], ["tundral", "pimsey", "ockham"]
+    for k in range(180):
+        y, held = k % 2, k % 3 == 1
+        text = rng.choice(["poker and slots, bets at the casino, jackpot", "viagra pills, cheap pharma, pills"]) if y else "apples in the garden and a river, the town sells one of its slots"
+        host = f"{rng.choice(bad if y else good)}{k}.info"
+        rows.append((k, f"http://{host}/{rng.choice(['spin', 'order'] if y else ['recipe', 'walks'])}/{k}", "" if held else f"<p>{text}</p>"))
+    df = spark.createDataFrame([r for r in rows if r[0] % 3 != 1] + [(r[0], r[1], None) for r in rows if r[0] % 3 == 1], "page_id long, url string, html string")
+    out = {r.page_id: r.verdict for r in u.judge(df).collect()}
+    learned = [out[k] == ("block" if k % 2 else "allow") for k in out if k % 3 != 1]
+    held = [out[k] == ("block" if k % 2 else "allow") for k in out if k % 3 == 1]
+    assert len(held) == 60 and sum(learned) / len(learned) > 0.95 and sum(held) / len(held) > 0.9  # either class alone: 0.5
+
+
 def test_listed_words_are_split_off_inside_unknown_text():
     for name, words in {"luckypoker": "lucky poker", "megaporn": "mega porn", "superslots": "super slots", "royalcasinoclub": "royal casino club", "megacasinonight": "mega casino night", "essex": "essex", "roads": "roads", "downloads": "downloads"}.items():
         assert u.segmented(name) == tuple(words.split())

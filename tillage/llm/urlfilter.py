@@ -17,7 +17,7 @@ from tillage.llm.common import Scratch
 
 #: The rules, as (host, path, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: Words that mark a host as unwanted when they stand in its name; they label the hosts that the model learns from.
+#: Words that mark a host as unwanted when they stand in its name, or a page when its text is full of them; they label what the model learns from.
 UNWANTED = tuple("ads adult bets betting casino crack drugs escort gambling jackpot keygen loans nude payday pills pharma poker porn sex slots spam torrent viagra warez xxx".split())
 #: Common words of web names, most common first, which the segmentation knows besides.
 COMMON = tuple("www blog news the of and to in for on with home page index site web shop store online info about world life art music game games tech data book books house health food travel school city car cars sport sports media photo video mail forum wiki docs help support cloud code open green blue red new best top my your we it is at by from all one day time work land park river east west north south free farm win cheap credit bonus track".split())
@@ -55,6 +55,8 @@ COSTS = _costs()
 LETTER, SHORT, UNKNOWN, SPLIT = math.log(26), 3, 2.1, 4.4
 #: As many learned words go to the tasks at most: those that most hosts use.
 VOCABULARY = 100_000
+#: A page is about unwanted things if one of so many words of its text is an unwanted one.
+DENSE = 100
 
 
 class Words:
@@ -69,19 +71,21 @@ class Words:
         self.segmented = lru_cache(1 << 16)(self._segmented)
 
     def _segmented(self, name: str) -> tuple[str, ...]:
-        best = [0.0] + [math.inf] * len(name)
-        back = [0] * (len(name) + 1)
+        best, back = [0.0] + [math.inf] * len(name), [0] * (len(name) + 1)
+        run, run_at = math.inf, 0  # the best begin of an unknown part of SHORT letters or more that ends here, less its letters' cost so far
         for end in range(1, len(name) + 1):
-            for begin in range(end):
-                length = end - begin
-                if length < len(name):
-                    cost = UNKNOWN + LETTER * max(length, SHORT) - max(0, SHORT - length) / 2
-                else:
-                    cost = UNKNOWN + LETTER * length - SPLIT
-                if length <= self.longest:
-                    cost = min(cost, self.costs.get(name[begin:end], cost))
+            begin = end - SHORT
+            if begin >= 0 and best[begin] - LETTER * begin < run:
+                run, run_at = best[begin] - LETTER * begin, begin
+            best[end], back[end] = run + UNKNOWN + LETTER * end, run_at
+            for begin in range(max(0, end - self.longest, end - len(name)), end):
+                cost = self.costs.get(name[begin:end], math.inf)
+                if end - begin < SHORT:
+                    cost = min(cost, UNKNOWN + LETTER * SHORT - (SHORT - end + begin) / 2)
                 if best[begin] + cost < best[end]:
                     best[end], back[end] = best[begin] + cost, begin
+        if UNKNOWN + LETTER * len(name) - SPLIT < best[-1]:
+            return (name,)
         words, end = [], len(name)
         while end:
             words.append(name[back[end] : end])
@@ -93,8 +97,23 @@ LISTED = Words()
 
 
 def segmented(name: str, words: Words = LISTED) -> tuple[str, ...]:
-    """The most likely words of a name under the unigram model (Viterbi); a span that is no known word costs by its letters."""
-    return words.segmented(name)
+    """The most likely words of a name under the unigram model (Viterbi), digits apart; a span that is no known word costs by its letters.
+
+    The time is linear in the name, whatever its length.
+    """
+    return tuple(w for run in re.findall(r"\d+|\D+", name) for w in (words.segmented(run) if not run.isdigit() else (run,)))
+
+
+def page_text(pages: DataFrame) -> Column:
+    """Lower-cased text of html, tags, scripts and styles taken out."""
+    html = F.col("html") if "html" in pages.columns else F.lit("")
+    return F.regexp_replace(F.lower(F.coalesce(html, F.lit(""))), r"(?s)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;", " ")
+
+
+def about_unwanted(text: Column) -> Column:
+    """Whether a page's text is about what the unwanted words name: two of them at least, and one word in DENSE is one."""
+    hits = F.regexp_extract_all(text, F.lit(rf"(?<![\p{{L}}\p{{N}}])({'|'.join(UNWANTED)})(?![\p{{L}}\p{{N}}])"), 1)
+    return (F.size(F.array_distinct(hits)) >= 2) & (F.size(hits) * DENSE >= F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+")))
 
 
 def vocabulary(pages: DataFrame) -> dict[str, int]:
@@ -105,31 +124,32 @@ def vocabulary(pages: DataFrame) -> dict[str, int]:
     Of words that tie at the bound all are left out, so the driver and the tasks get no more.
     """
     host, path = parts(F.col("url"))
-    html = F.col("html") if "html" in pages.columns else F.lit("")
-    text = F.regexp_replace(F.lower(F.coalesce(html, F.lit(""))), r"(?s)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;", " ")
-    split = pages.select(host.alias("host"), F.lower(path).alias("path"), text.alias("text")).withColumn("labels", F.split("host", r"\."))
+    split = pages.select(host.alias("host"), F.lower(path).alias("path"), page_text(pages).alias("text")).withColumn("labels", F.split("host", r"\."))
     hyphens = F.filter("labels", lambda x: x.contains("-"))
     found = F.split(F.concat_ws(" ", "text", "path", hyphens), r"[^\p{L}\p{N}]+")
     found = F.array_except(F.array_distinct(F.filter(found, lambda w: w.rlike("^[a-z]{3,63}$"))), "labels")
     spread = split.select("host", F.explode(found).alias("word")).distinct().groupBy("word").agg(F.count("*").alias("n"))
-    spread = Scratch(pages.sparkSession, "urlfilter").save(spread, "words")
+    scratch = Scratch(pages.sparkSession, "urlfilter")
+    spread = scratch.save(spread, "words")
     room, least = VOCABULARY, None
     for r in sorted(spread.groupBy("n").agg(F.count("*").alias("words")).collect(), reverse=True):  # distinct counts: at most the root of twice their sum
         if r["words"] > room:
             break
         room, least = room - r["words"], r["n"]
-    return {} if least is None else {r["word"]: r["n"] for r in spread.where(F.col("n") >= least).collect()}
+    found = {} if least is None else {r["word"]: r["n"] for r in spread.where(F.col("n") >= least).collect()}
+    scratch.drop("words")
+    return found
 
 
-def _label_words(label: str, words: Words) -> tuple[str, ...]:
-    # a label has 63 characters at most; a longer one is cut at 64s so that the time stays linear
-    return tuple(w for k in range(0, len(label), 64) for w in segmented(label[k : k + 64], words))
+def host_words(host: str, words: Words = LISTED) -> list[str]:
+    """Segmented words of all labels of a host."""
+    return [w for name in re.findall(r"[^\W_]+", host) for w in segmented(name, words)]
 
 
 def features(host: str, path: str, words: Words = LISTED) -> list[str]:
-    """Segmented words of the host's labels, marked h:, and path tokens, marked p: (digits as one token)."""
-    out = [f"h:{w}" for label in re.split(r"[^a-z0-9]+", host) if label for w in _label_words(label, words)]
-    return out + [f"p:{'#' if t.isdigit() else t}" for t in re.split(r"[^a-z0-9]+", path.lower()) if t]
+    """Segmented words of the host's labels, marked h:, and path tokens, marked p:; digits as one token."""
+    tokens = [f"h:{w}" for w in host_words(host, words)] + [f"p:{t}" for t in re.findall(r"[a-z0-9]+", path.lower())]
+    return [t[:2] + "#" if t[2:].isdigit() else t for t in tokens]
 
 
 def bucket(token: str) -> int:
@@ -140,25 +160,28 @@ def bucket(token: str) -> int:
 
 
 def weak_label(tokens: list[str]) -> int:
-    """1 if a segmented word of the host is an unwanted one."""
+    """1 if a segmented word of the host is an unwanted one, whatever its pages say."""
     return int(any(t[2:] in UNWANTED for t in tokens if t.startswith("h:")))
 
 
 def learn(pages: DataFrame, counts: Broadcast) -> np.ndarray | None:
     """Log odds by token bucket, and last the prior's: multinomial naive Bayes over the distinct urls of the whole table.
 
-    counts holds what vocabulary() found.     Counts are gathered in BUCKETS fixed buckets, so what the driver gets has a bound. None for a table without hosts.
+    A url's class is to block if a page of it is about unwanted things (its text, not its url, says so) or if its host's name holds an
+    unwanted word. counts holds what vocabulary() found. Token counts are gathered in BUCKETS fixed buckets, so what the driver gets
+    has a bound. None for a table without hosts.
     """
     host, path = parts(F.col("url"))
-    urls = pages.select(host.alias("host"), path.alias("path")).where("host <> ''").distinct()
+    urls = pages.select(host.alias("host"), path.alias("path"), about_unwanted(page_text(pages)).cast("int").alias("about")).where("host <> ''")
+    urls = urls.groupBy("host", "path").agg(F.max("about").alias("about"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = np.zeros((2, BUCKETS), np.int64)
         docs, words = np.zeros(2, np.int64), Words(counts.value)
         for batch in batches:
-            for h, p in zip(batch["host"], batch["path"]):
+            for h, p, about in zip(batch["host"], batch["path"], batch["about"]):
                 tokens = features(h, p, words)
-                y = weak_label(tokens)
+                y = max(int(about), weak_label(tokens))
                 docs[y] += 1
                 for t in tokens:
                     table[y, bucket(t)] += 1
@@ -181,11 +204,11 @@ def learn(pages: DataFrame, counts: Broadcast) -> np.ndarray | None:
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict, log_odds for each row of pages(page_id, url, html).
+    """page_id, host, path, rule, verdict, log_odds, host_words for each row of pages(page_id, url, html).
 
     The longest fitting rule decides; else the classifier: host names are split into words by unigram Viterbi, the words being the
     listed ones and those of all pages, and multinomial naive Bayes over host words and path tokens blocks at log odds above 0. It
-    learns from all pages, hosts with an unwanted word being the class to block.
+    learns from all pages (see learn); what it scores is the url alone.
 
     Defined cases: null urls and urls without :// have empty host and path, no rule, and are allowed; very long hosts and paths are
     used whole; null page_ids and repeated rows come out as they are; extra columns are ignored, and html may be missing; an empty table gives no rows.
@@ -193,18 +216,19 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     counts = pages.sparkSession.sparkContext.broadcast(vocabulary(pages))
     odds = learn(pages, counts)
 
-    @F.pandas_udf("double")
-    def log_odds(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.pandas_udf("log_odds double, host_words string")
+    def scored(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         words = Words(counts.value)
 
-        def one(h: str, p: str) -> float:
-            return float(odds[-1] + sum(odds[bucket(t)] for t in features(h, p, words))) if odds is not None and h else -math.inf
+        def one(h: str, p: str) -> float | None:
+            return float(odds[-1] + sum(odds[bucket(t)] for t in features(h, p, words))) if odds is not None and h else None
 
         for host, path in batches:
-            yield pd.Series([one(h, p) for h, p in zip(host, path)], dtype="float64")
+            of = [one(h, p) for h, p in zip(host, path)]
+            yield pd.DataFrame({"log_odds": pd.array(of, "Float64"), "host_words": [" ".join(host_words(h, words)) for h in host]})
 
     host, path = parts(F.col("url"))
     split = pages.select("page_id", host.alias("host"), path.alias("path"))
     name, verdict = ruled(F.col("host"), F.col("path"), rules)
-    out = split.withColumn("rule", name).withColumn("by_rule", verdict).withColumn("log_odds", log_odds("host", "path"))
-    return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("log_odds") > 0, "block").otherwise("allow")).alias("verdict"), F.when(F.col("log_odds") > float("-inf"), F.col("log_odds")).alias("log_odds"))
+    out = split.withColumn("rule", name).withColumn("by_rule", verdict).withColumn("s", scored("host", "path"))
+    return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("s.log_odds") > 0, "block").otherwise("allow")).alias("verdict"), "s.log_odds", "s.host_words")
