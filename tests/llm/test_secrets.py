@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -70,5 +71,27 @@ def test_every_match_is_among_the_candidates(pieces):
         flags = re.ASCII | (re.IGNORECASE if rule.either_case else 0)
         query = secrets.trigram_query(rule.pattern)
         if re.search(rule.pattern, text, flags):
-            seg = secrets.Segment([text], sorted({g for a in query or () for g in a}))
-            assert list(seg.candidates(query)) == [0]
+            assert secrets.Segment([text]).candidates(query) == [0]
+
+
+def test_postings_are_those_of_a_plain_index(monkeypatch):
+    monkeypatch.setattr(secrets.Segment, "PIECE", 64)  # texts in several pieces
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(PIECES) for _ in range(rng.randrange(12))) for _ in range(80)] + ["", "é" * 200, "AB"]
+    seg, want = secrets.Segment(texts), {}
+    for i, t in enumerate(texts):
+        low = t.lower()
+        for k in range(len(low) - 2):
+            if low[k : k + 3].isascii():
+                want.setdefault(low[k : k + 3], set()).add(i)
+    assert {g: set(seg.postings(g).tolist()) for g in want} == want and not len(seg.postings("zzz"))
+    a, b, c = (set(seg.postings(g).tolist()) for g in ("pas", "ass", "tok"))
+    assert set(seg.candidates(frozenset([frozenset(["pas", "ass"]), frozenset(["tok"])]))) == a & b | c
+
+
+@pytest.mark.parametrize("run", ["a", "eyJ", "deadbeef", "xoxb-", "bearer ", "ghp_", "secret", "-----BEGIN ", "AKIA", "Z", "a://", "a:", "password="])
+def test_every_rule_is_linear_in_long_runs(run):
+    text = "https://x " + run * (1_000_000 // len(run)) + " ://u"
+    begun = time.monotonic()
+    secrets.find_secrets([text], secrets.BASE + secrets.MORE)
+    assert time.monotonic() - begun < 20
