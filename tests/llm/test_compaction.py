@@ -4,7 +4,7 @@ import pytest
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import functions as F
 
-from tillage.llm.common import Scratch
+from tillage.llm.common import Scratch, hadoop_path
 from tillage.llm.compaction import ShardStore, sharded
 
 
@@ -70,3 +70,46 @@ def test_added_columns(spark, documents):
     store.append(documents([(1, "a")], extra=False))
     store.append(documents([(2, "b")], extra=False).withColumn("new", F.lit(3)))
     assert {r.doc_id: r.new for r in store.read().collect()} == {1: None, 2: 3}
+
+
+def test_clashing_columns_are_kept(spark, documents):
+    df = documents([(k, f"t{k}") for k in range(40)], extra=False).withColumns({"shard": F.lit("a"), "run": F.col("doc_id"), "Tier": F.lit(2), "arrival": F.lit("b"), "arrival_": F.lit("c"), "_metadata_": F.lit("d")})
+    out = sharded(df, Scratch(spark, "t-clash").root).read()
+    assert out.columns == ["shard_", *df.columns, "run_", "tier_"]
+    assert sorted(map(str, out.select(*df.columns).collect())) == sorted(map(str, df.collect()))
+    assert out.where("shard_ like 'run-%' and run_ = substring_index(shard_, '/', 1)").count() == 40
+
+
+def test_a_writer_that_dies_leaves_no_version(spark, documents):
+    store = ShardStore(spark, Scratch(spark, "t-dies").root)
+    store.append(documents([(1, "a")]))
+    half = hadoop_path(spark, f"{store.root}/committed/begun-00000002-x")[1]
+    store.fs.create(half, False).close()  # begun, not filled, not renamed
+    assert store.version() == 1 and store.read().count() == 1
+    assert store.append(documents([(2, "b")])) == 2 and store.read().count() == 2
+    store.vacuum(age_seconds=-60)
+    assert not store.fs.exists(half) and store.read().count() == 2
+
+
+def test_vacuum_spares_what_a_writer_has_yet_to_commit(spark, documents):
+    store = ShardStore(spark, Scratch(spark, "t-two").root)
+    for k in range(4):
+        store.append(documents([(k, "t")]).coalesce(1))
+    documents([(9, "t")]).write.parquet(f"{store.root}/data/run-other")  # another writer's run, before its commit
+    base = store.version()
+    store.compact()
+    assert store.vacuum() == 4 and store.version() == base + 1
+    names = lambda f: [s.getPath().getName() for s in store.fs.listStatus(hadoop_path(spark, f"{store.root}/{f}")[1])]
+    assert len([n for n in names("manifest") if not n.startswith(".")]) == 1 and [n for n in names("committed") if n.isdigit()] == ["00000005"]
+    assert store.commit(store.manifest().union(store._listed(["run-other"])), store.version()) == 6
+    assert sorted(r.doc_id for r in store.read().collect()) == [0, 1, 2, 3, 9]
+
+
+def test_of_two_writers_one_wins(spark, documents):
+    store = ShardStore(spark, Scratch(spark, "t-race").root)
+    store.append(documents([(1, "a")]))
+    rows = store.manifest()
+    assert store.commit(rows, 1) == 2
+    with pytest.raises(Py4JJavaError):
+        store.commit(rows, 1)
+    assert store.version() == 2 and store.read().count() == 1

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +19,9 @@ class ShardStore:
 
     append() writes arrivals as a new run of small shards; compact() merges `fanout` or more runs of similar size (one tier: sizes
     within a factor of fanout) into one run of files of about target_bytes; both end by committing the next manifest version.
-    A version is a folder of its own plus a marker file that is created with "fail if it exists": of two writers one wins, and
-    readers only see whole versions. Files that no kept version names are removed by vacuum().
+    A version is a folder of its own plus a marker file that holds the folder's name. The marker is written under another name and
+    renamed without overwriting: of two writers one wins, and a writer that dies leaves no half-made version. vacuum() removes what
+    the newest version no longer needs.
     A run is listed by one row per shard; the driver sees one row per run. The columns of a store without runs are kept beside them.
     """
 
@@ -37,22 +39,30 @@ class ShardStore:
         names = [s.getPath().getName() for s in self.fs.listStatus(folder)]
         return max((int(n) for n in names if n.isdigit()), default=0)
 
+    def _name(self, version: int) -> str:
+        marker = self.fs.open(hadoop_path(self.spark, f"{self.root}/committed/{version:08d}")[1])
+        name = marker.readUTF()
+        marker.close()
+        return name
+
     def manifest(self, version: int | None = None) -> DataFrame:
         version = self.version() if version is None else version
         if not version:
             return self.spark.createDataFrame([], MANIFEST)
-        with_name = self.fs.open(hadoop_path(self.spark, f"{self.root}/committed/{version:08d}")[1])
-        name = with_name.readUTF()
-        with_name.close()
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest/{name}")
+        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest/{self._name(version)}")
 
     def commit(self, rows: DataFrame, base: int) -> int:
         """Makes rows the manifest of version base + 1; fails if another writer has made that version."""
         name = f"{base + 1:08d}-{uuid.uuid4().hex}"
         rows.coalesce(1).write.parquet(f"{self.root}/manifest/{name}")
-        out = self.fs.create(hadoop_path(self.spark, f"{self.root}/committed/{base + 1:08d}")[1], False)
+        marker, begun = (hadoop_path(self.spark, f"{self.root}/committed/{n}")[1] for n in (f"{base + 1:08d}", f"begun-{name}"))
+        out = self.fs.create(begun, False)
         out.writeUTF(name)
         out.close()
+        jvm = self.spark._jvm
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        no_overwriting = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        files.rename(begun, marker, no_overwriting)
         return base + 1
 
     def _listed(self, runs: list[str]) -> DataFrame:
@@ -98,14 +108,15 @@ class ShardStore:
         rows = self.manifest(base)
         runs = rows.groupBy("tier", "run").agg(F.sum("n_bytes").alias("n_bytes"), F.sum("n_rows").alias("n_rows"))
         full = runs.groupBy("tier").agg(F.count("*").alias("n")).where(F.col("n") >= self.fanout).orderBy("tier").limit(1)
-        merge = runs.join(full, "tier").select("run", "n_bytes").collect()  # a row per run: their number is fanout - 1 a tier, and arrivals
+        merge = runs.join(full, "tier").select("run", "n_bytes", "n_rows").collect()  # a row per run: their number is fanout - 1 a tier, and arrivals
         if not merge:
             return False
         names, total = [r["run"] for r in merge], sum(r["n_bytes"] for r in merge)
         out = f"run-{uuid.uuid4().hex[:12]}"
         data = self.spark.read.schema(self._schema(names)).parquet(*(f"{self.root}/data/{n}" for n in names))
         files = max(1, math.ceil(total / self.target))
-        data.coalesce(files).write.parquet(f"{self.root}/data/{out}")
+        even = math.ceil(sum(r["n_rows"] for r in merge) / files)
+        data.coalesce(files).write.option("maxRecordsPerFile", max(1, even)).parquet(f"{self.root}/data/{out}")
         self.commit(rows.where(~F.col("run").isin(names)).union(self._listed([out])), base)
         return True
 
@@ -118,40 +129,78 @@ class ShardStore:
             n += 1
         return n
 
-    def vacuum(self) -> int:
-        """Removes runs that the newest version doesn't name, and older versions' manifests; returns how many runs went."""
-        live = {r["run"] for r in self.manifest().select("run").distinct().collect()}
+    def vacuum(self, keep: int = 1, age_seconds: float = 86_400.0) -> int:
+        """Keeps the last so many versions; removes the others' manifests, and the runs that they name and no kept version does.
+
+        What no version names is left of a writer that died, or of one that has yet to commit: it goes only at that age. Returns how
+        many runs went. The driver sees a row per run.
+        """
+        newest = self.version()
+        folder = lambda name: [s for s in (self.fs.listStatus(hadoop_path(self.spark, f"{self.root}/{name}")[1]) if self.fs.exists(hadoop_path(self.spark, f"{self.root}/{name}")[1]) else [])]
+        markers = [s for s in folder("committed") if s.getPath().getName().isdigit()]
+        versions = {int(s.getPath().getName()): s for s in markers}
+        names = {v: self._name(v) for v in versions}
+        runs = {v: {r["run"] for r in self.manifest(v).select("run").distinct().collect()} for v in versions}
+        kept = {v for v in versions if v > newest - keep}
+        live = {r for v in kept for r in runs[v]}
+        past = {r for v in versions if v not in kept for r in runs[v]} - live
+        old = {names[v] for v in versions if v not in kept}
+        stale = lambda s: s.getModificationTime() < 1000 * (time.time() - age_seconds)
         gone = 0
-        for s in self.fs.listStatus(hadoop_path(self.spark, f"{self.root}/data")[1]):
-            if s.getPath().getName() not in live:
+        for s in folder("data"):
+            name = s.getPath().getName()
+            if name in past or (name not in live and stale(s)):
+                gone += self.fs.delete(s.getPath(), True)
+        # markers go before the manifests they name, so no reader finds a version without its manifest
+        for s in [versions[v] for v in versions if v not in kept] + [s for s in folder("committed") if s.getPath().getName().startswith("begun-") and stale(s)]:
+            self.fs.delete(s.getPath(), False)
+        for s in folder("manifest"):
+            if s.getPath().getName() in old or (s.getPath().getName() not in names.values() and stale(s)):
+                self.fs.delete(s.getPath(), True)
+        for s in folder("incoming"):
+            if stale(s):
                 self.fs.delete(s.getPath(), True)
-                gone += 1
         return gone
 
     # --- readers
 
     def read(self, version: int | None = None) -> DataFrame:
-        """All rows of a version, with run, tier and shard."""
+        """All rows of a version, with run, tier and shard; a table that has such a column itself keeps it, and the added one gets a _ behind its name."""
         rows = self.manifest(version)
         runs = [r["run"] for r in rows.select("run").distinct().collect()]
         if not runs:
             if not self.fs.exists(hadoop_path(self.spark, f"{self.root}/columns")[1]):
                 raise ValueError("nothing has been appended to the store")
             none = self.spark.createDataFrame([], self.spark.read.parquet(f"{self.root}/columns").schema)
-            return none.select(F.lit("").alias("shard"), "*", F.lit("").alias("run"), F.lit(0).alias("tier"))
+            shard, run, tier = free_names(none.columns, "shard", "run", "tier")
+            return none.select(F.lit("").alias(shard), "*", F.lit("").alias(run), F.lit(0).alias(tier))
         data = self.spark.read.schema(self._schema(runs)).parquet(*(f"{self.root}/data/{n}" for n in runs))
-        return data.withColumn("shard", F.regexp_extract("_metadata.file_path", r"/data/(.*)$", 1)).join(rows.select("shard", "run", "tier"), "shard")
+        shard, run, tier = free_names(data.columns, "shard", "run", "tier")
+        placed = rows.select(F.col("shard").alias(shard), F.col("run").alias(run), F.col("tier").alias(tier))
+        return data.withColumn(shard, F.regexp_extract("_metadata.file_path", r"/data/(.*)$", 1)).join(placed, shard)
+
+
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """The names, each with as many _ behind it as it takes to be none of the taken ones."""
+    held, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name in held:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def sharded(docs: DataFrame, root: str, arrivals: int = 8, target_bytes: int = 64 << 20, fanout: int = 4) -> ShardStore:
     """documents appended as so many arrivals (by hash of doc_id and text) and compacted until no tier is full.
 
-    Defined cases: nulls in any column, empty and long texts and repeated rows are kept as they are; extra columns are kept;
+    Defined cases: nulls in any column, empty and long texts and repeated rows are kept as they are; extra columns are kept, whatever
+    their names (see read);
     an empty table gives a store of one empty version, which reads as no rows of its columns.
     """
     store = ShardStore(docs.sparkSession, root, target_bytes, fanout)
     arrival = F.expr(f"pmod(xxhash64(doc_id, text), {arrivals})")
-    store.append(docs.withColumn("arrival__", arrival), batch="arrival__")
+    (name,) = free_names(docs.columns, "arrival")
+    store.append(docs.withColumn(name, arrival), batch=name)
     store.compact_all()
     store.vacuum()
     return store
