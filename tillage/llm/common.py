@@ -61,3 +61,13 @@ def ascii_lower(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """The names, each with as many _ behind it as it takes to be none of the taken ones."""
+    held, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name in held:
+            name += "_"
+        out.append(name)
+    return out

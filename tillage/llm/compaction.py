@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillage.llm.common import hadoop_path
+from tillage.llm.common import free_names, hadoop_path
 
 MANIFEST = "run string, tier int, shard string, n_rows long, n_bytes long, min_id long, max_id long"
 
@@ -180,16 +180,6 @@ class ShardStore:
         return data.withColumn(shard, F.regexp_extract("_metadata.file_path", r"/data/(.*)$", 1)).join(placed, shard)
 
 
-def free_names(taken: list[str], *names: str) -> list[str]:
-    """The names, each with as many _ behind it as it takes to be none of the taken ones."""
-    held, out = {t.lower() for t in taken}, []
-    for name in names:
-        while name in held:
-            name += "_"
-        out.append(name)
-    return out
-
-
 def sharded(docs: DataFrame, root: str, arrivals: int = 8, target_bytes: int = 64 << 20, fanout: int = 4) -> ShardStore:
     """documents appended as so many arrivals (by hash of doc_id and text) and compacted until no tier is full.
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillage.llm.common import WORD, Scratch
+from tillage.llm.common import WORD, Scratch, free_names
 
 #: Fraction of the golden ratio: slot n lies at the fraction of (n + 0.5) times this.
 GOLDEN = 0.6180339887498949
 #: Slots ranked together; rows of a source laid out together.
 RUN, PILE = 1 << 16, 4096
+#: Words of a block at least, and blocks of a mix: its blocks grow with it, so its schedule does not.
+LEAST_WORDS, SLOTS = 64, 1 << 18
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -53,49 +57,58 @@ def laid_out(sized: DataFrame, goals: DataFrame, seed: int) -> DataFrame:
     return named.join(offsets, ["sid", "pile"]).withColumn("start", F.col("offset") + F.col("inner")).drop("pile", "offset", "inner", "h")
 
 
-def schedule(goals: DataFrame, block_words: int, cap: float, scratch: Scratch) -> DataFrame:
-    """slot, sid, rank (within the source), start and words of the block that the slot takes from its source's line, unrolled.
+def schedule(goals: DataFrame, block_words: int, scratch: Scratch) -> DataFrame:
+    """slot, sid, rank (within the source), source_size, start and words of the block that the slot takes from its source's line, unrolled.
 
     Slot n goes to the source whose stretch of the cumulative targets holds the fraction of (n + 0.5) * golden ratio, so any run
     of slots holds each source in nearly its share. Block rank of a source begins at rank * block_words; the line begins anew
-    when it ends, and stops at cap times its length. The source's stretches are found by range bins: a slot's bin holds the
-    few sources that begin in it or before it.
+    when it ends. A source's last block is cut where its target ends; where its slots fall short of the target (by the few blocks
+    that the points are uneven, or because the source is smaller than a block), blocks at the schedule's end make up for it.
+    The source's stretches are found by range bins: a slot's bin holds the few sources that begin in it or before it.
     """
     spark = goals.sparkSession
     total = goals.agg(F.sum("target")).first()[0] or 0.0
     slots = -(-int(total) // block_words)
     running = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
-    ends = goals.where("target > 0").withColumn("lo", F.coalesce(F.sum("target").over(running), F.lit(0.0)) / F.lit(total or 1.0))
+    goals = goals.where("target > 0").withColumn("reach", F.floor("target"))
+    ends = goals.withColumn("lo", F.coalesce(F.sum("target").over(running), F.lit(0.0)) / F.lit(total or 1.0))
     ends = ends.withColumn("hi", F.coalesce(F.lead("lo").over(Window.orderBy("sid")), F.lit(1.0)))
     bins = 1024
-    ends = ends.select("sid", "source_size", "lo", "hi", F.explode(F.expr(f"sequence(cast(lo * {bins} as long), cast(least(hi * {bins}, {bins - 1}) as long))")).alias("bin"))
+    ends = ends.select("sid", "source_size", "reach", "lo", "hi", F.explode(F.expr(f"sequence(cast(lo * {bins} as long), cast(least(hi * {bins}, {bins - 1}) as long))")).alias("bin"))
     points = spark.range(slots).withColumn("u", (F.col("id") + 0.5) * GOLDEN).withColumn("u", F.col("u") - F.floor("u")).withColumn("bin", (F.col("u") * bins).cast("long"))
-    drawn = points.join(ends, "bin").where("u >= lo and u < hi").select(F.col("id").alias("slot"), "sid", "source_size", F.floor(F.col("id") / RUN).alias("run"))
+    drawn = points.join(ends, "bin").where("u >= lo and u < hi").select(F.col("id").alias("slot"), "sid", "source_size", "reach", F.floor(F.col("id") / RUN).alias("run"))
     drawn = scratch.save(drawn, "drawn")
     earlier = Window.partitionBy("sid").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    counts = drawn.groupBy("sid", "run").count().select("sid", "run", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("base"))
+    runs = drawn.groupBy("sid", "run").count()
+    counts = runs.select("sid", "run", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("base"))
     ranked = drawn.withColumn("inner", F.row_number().over(Window.partitionBy("sid", "run").orderBy("slot")) - 1).join(counts, ["sid", "run"])
-    ranked = ranked.withColumn("rank", F.col("base") + F.col("inner")).withColumn("start", F.col("rank") * block_words)
-    words = F.least(F.lit(block_words), F.floor(F.col("source_size") * F.lit(cap)) - F.col("start"))
-    return ranked.withColumn("words", words).where("words > 0").select("slot", "sid", "rank", "source_size", "start", "words")
+    ranked = ranked.select("slot", "sid", "source_size", "reach", (F.col("base") + F.col("inner")).alias("rank"))
+    short = goals.join(runs.groupBy("sid").agg(F.sum("count").alias("had")), "sid", "left").withColumn("had", F.coalesce("had", F.lit(0)))
+    short = short.where(F.col("had") * block_words < F.col("reach")).withColumn("rank", F.explode(F.expr(f"sequence(had, (reach - 1) div {block_words})")))
+    closing = short.select((F.row_number().over(Window.orderBy(F.col("rank") - F.col("had"), "sid")) + (slots - 1)).cast("long").alias("slot"), "sid", "source_size", "reach", "rank")
+    placed = ranked.unionByName(closing).withColumn("start", F.col("rank") * block_words)
+    return placed.withColumn("words", F.least(F.lit(block_words), F.col("reach") - F.col("start"))).where("words > 0").select("slot", "sid", "rank", "source_size", "start", "words")
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block_words: int = 64, seed: int = 17) -> DataFrame:
-    """How many words a mix takes of each document: doc_id, source, size, source_size, target, taken.
+def _digest() -> Column:
+    return F.md5(F.coalesce("text", F.lit("")))
 
-    size: words (runs of other than white space) of the whole text. Each source's rows are shuffled by a hash into one line of
-    words, cut into equal blocks; the schedule's slots take a source's blocks in turn. taken is at most cap times size, and a
-    source's sum differs from its target by a few blocks. Reruns agree.
 
-    Defined cases: null text: size 0, taken 0; null source: a source of its own, last; null doc_id and rows that repeat a doc_id
-    are rows like others; extra columns are ignored; no words at all: target and taken 0; an empty table gives no rows.
-    """
-    scratch = Scratch(docs.sparkSession, "mixing")
+def _row_key(digest: str = "digest") -> Column:
+    """Equal for rows of the same doc_id, source and text's digest; never null."""
+    known = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
+    return F.md5(F.concat_ws("\x1f", known("doc_id"), known("source"), digest).cast("binary"))
+
+
+def _taken(docs: DataFrame, scratch: Scratch, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block_words: int | None = None, seed: int = 17) -> DataFrame:
+    """What mixed() returns, and digest."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), F.md5(F.coalesce("text", F.lit(""))).alias("digest")), "sized")
+    sized = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), _digest().alias("digest")), "sized")
     goals = scratch.save(targets(sized, weights, share, cap), "goals")
+    if block_words is None:
+        block_words = max(LEAST_WORDS, math.ceil((goals.agg(F.sum("target")).first()[0] or 0.0) / SLOTS))
     line = scratch.save(laid_out(sized, goals, seed), "line")
-    slots = schedule(goals, block_words, cap, scratch)
+    slots = schedule(goals, block_words, scratch)
     # a block lies in two cells of its source's line at most, or at the line's end and its beginnings
     at = slots.select("sid", "source_size", (F.col("start") % F.col("source_size")).alias("p"), "words")
     parts = at.withColumn("part", F.explode(F.expr("""transform(sequence(0L, (p + words - 1) div source_size),
@@ -107,24 +120,45 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float =
     sums = met.groupBy("sid", "start").agg(F.sum(F.greatest(over, F.lit(0))).alias("taken")).withColumn("some", F.lit(True))
     out = line.withColumn("some", F.col("size") > 0).join(sums, ["sid", "start", "some"], "left")
     names = goals.select("sid", "source")
-    return out.drop("source").join(names, "sid").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    return out.drop("source").join(names, "sid").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "digest")
+
+
+def mixed(docs: DataFrame, **args) -> DataFrame:
+    """How many words a mix takes of each document: doc_id, source, size, source_size, target, taken.
+
+    size: words (runs of other than white space) of the whole text. Each source's rows are shuffled by a hash into one line of
+    words, cut into equal blocks (of block_words, or as many words as make SLOTS blocks of the mix, LEAST_WORDS at least); the
+    schedule's slots take a source's blocks in turn. taken is at most cap times size, and a source's sum is its target, rounded
+    down. Reruns agree. Arguments: weights, share, cap, block_words, seed.
+
+    Defined cases: null text: size 0, taken 0; null source: a source of its own, last; null doc_id and rows that repeat a doc_id
+    are rows like others; extra columns are ignored; no words at all: target and taken 0; an empty table gives no rows.
+    """
+    return _taken(docs, Scratch(docs.sparkSession, "mixing"), **args).drop("digest")
 
 
 def materialized(docs: DataFrame, **args) -> DataFrame:
     """documents as the mix takes them: each row as often as its taken words make whole copies, rounded; rows not taken go.
 
     A source's line is taken round by round, so only the document at which the mix stops is rounded; the others are taken whole.
-    Rows without doc_id stay once.
+    Rows of the same doc_id, source and text are taken together: they share their copies by how often each stands in the table.
+    Null doc_ids and repeated rows are in the mix like others; columns keep their names, whatever they are; an empty table gives no rows.
     """
-    copies = mixed(docs.where("doc_id is not null"), **args).where("size > 0").groupBy("doc_id", "size").agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("copies__"))
-    copies = copies.groupBy(F.col("doc_id").alias("id__")).agg(F.max("copies__").alias("copies__"))
-    taken = docs.join(copies, docs["doc_id"] == F.col("id__"), "left")
-    times = F.when(docs["doc_id"].isNull(), F.lit(1)).otherwise(F.coalesce("copies__", F.lit(0)))
-    return taken.withColumn("copy__", F.explode(F.array_repeat(F.lit(1), times))).select(*(docs[c] for c in docs.columns))
-
-
-#: DuckDB SQL of the query's rows: the same schedule, with each line in one window.
-ORACLE = f"""
+    scratch = Scratch(docs.sparkSession, "mixing")
+    key, n, copies, m, one = free_names(docs.columns, "row_key", "rows", "copies", "same", "copy")
+    of = _taken(docs, scratch, **args).where("size > 0").groupBy(_row_key().alias(key)).agg(F.count("*").alias(n), F.round(F.sum("taken") / F.first("size")).cast("int").alias(copies))
+    of = scratch.save(of, "copies")
+    (digest,) = free_names(docs.columns, "digest")
+    keyed = docs.withColumn(digest, _digest()).withColumn(key, _row_key(digest)).drop(digest).join(of.where(F.col(copies) > 0), key)
+    out = keyed.where(F.col(n) == 1).select(*docs.columns, copies)
+    if not of.where(F.col(n) > 1).isEmpty():
+        folded = keyed.where(F.col(n) > 1).groupBy(*docs.columns, n, copies).agg(F.count("*").alias(m))
+        out = out.unionByName(folded.select(*docs.columns, F.round(F.col(copies) * F.col(m) / F.col(n)).cast("int").alias(copies)))
+    return out.withColumn(one, F.explode(F.array_repeat(F.lit(1), F.col(copies)))).select(*docs.columns)
+
+
+#: DuckDB SQL of the query's rows, with each line in one window: its blocks, in turn, are the line up to the target.
+ORACLE = """
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, md5(coalesce(text, '')) AS digest FROM documents),
 per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
@@ -134,15 +168,10 @@ lev AS (SELECT *, sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(most) OV
   sum(w) OVER (ORDER BY most / w, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_w FROM wt),
 fix AS (SELECT *, max(rest / open_w) OVER () AS level FROM lev),
 goals AS (SELECT sid, source, source_size, least(most, w * level) AS target FROM fix),
-stretch AS (SELECT sid, source_size, coalesce(sum(target) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / (SELECT sum(target) FROM goals) AS lo FROM goals WHERE target > 0),
-ends AS (SELECT *, coalesce(lead(lo) OVER (ORDER BY sid), 1.0) AS hi FROM stretch),
-points AS (SELECT n, (n + 0.5) * {GOLDEN}::DOUBLE - floor((n + 0.5) * {GOLDEN}::DOUBLE) AS u FROM range(0, (SELECT CAST(ceil(floor(sum(target)) / 64) AS BIGINT) FROM goals)) AS t(n)),
-drawn AS (SELECT sid, source_size, row_number() OVER (PARTITION BY sid ORDER BY n) - 1 AS rank FROM points JOIN ends ON u >= lo AND u < hi),
-reach AS (SELECT sid, any_value(source_size) AS source_size, least(max(rank + 1) * 64, 2 * any_value(source_size)) AS words FROM drawn GROUP BY sid),
 line AS (SELECT sized.*, goals.sid, goals.source_size, goals.target,
   coalesce(sum(size) OVER (PARTITION BY goals.sid ORDER BY md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || digest), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM sized JOIN goals ON sized.source IS NOT DISTINCT FROM goals.source)
-SELECT doc_id, line.source AS source, size, line.source_size AS source_size, target,
-  CAST(size * (coalesce(words, 0) // greatest(line.source_size, 1)) + greatest(0, least(start + size, coalesce(words, 0) % greatest(line.source_size, 1)) - start) AS BIGINT) AS taken
-FROM line LEFT JOIN reach USING (sid)
+SELECT doc_id, source, size, source_size, target,
+  CAST(size * (CAST(floor(target) AS BIGINT) // greatest(source_size, 1)) + greatest(0, least(start + size, CAST(floor(target) AS BIGINT) % greatest(source_size, 1)) - start) AS BIGINT) AS taken
+FROM line
 """
