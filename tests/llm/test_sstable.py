@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import io
+import json
 import struct
 import zlib
 
@@ -51,6 +52,32 @@ def test_encoder_gives_the_tokenizers_ids_for_any_text(text):
     assert np.frombuffer(ENCODER(text), "<u2").tolist() == ENCODER.whole.encode(text, add_special_tokens=False).ids
 
 
+def test_only_the_known_definition_takes_the_quick_way(tmp_path):
+    spec = json.loads(open(sstable.default_tokenizer(), encoding="utf-8").read())
+    assert sstable.by_pieces(spec) and ENCODER.fast
+    other = json.loads(json.dumps(spec))
+    other["normalizer"]["normalizers"].pop(0)
+    assert not sstable.by_pieces(other)
+    for part, value in (("pre_tokenizer", {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}), ("post_processor", {"type": "x"}), ("model", spec["model"] | {"dropout": 0.1})):
+        assert not sstable.by_pieces(spec | {part: value})
+    (tmp_path / "other.json").write_text(json.dumps(spec | {"normalizer": {"type": "Lowercase"}}))
+    encode = sstable.Encoder(str(tmp_path / "other.json"))
+    assert not encode.fast and np.frombuffer(encode("Two  Words"), "<u2").tolist() == encode.whole.encode("Two  Words", add_special_tokens=False).ids
+
+
+def test_tasks_follow_the_size(spark, documents):
+    scratch = Scratch(spark, "t-tasks")
+    manifest = sstable.write_shards(documents([(k, "some words " * 50) for k in range(400)]), scratch.path("s"), scratch, sstable.default_tokenizer(), task_bytes=5000)
+    assert 40 <= manifest.select("partition").distinct().count() <= 44
+
+
+def test_equal_rows_are_dealt_to_many_tasks(spark, documents):
+    scratch = Scratch(spark, "t-equal")
+    manifest = sstable.write_shards(documents([(5, "the same text")] * 300 + [(6, "t")]).repartition(6), scratch.path("s"), scratch, sstable.default_tokenizer())
+    rows = [r.n_docs for r in manifest.collect()]
+    assert sum(rows) == 301 and max(rows) < 150
+
+
 def test_table_matches_the_tokenizer(documents, tokenizer, rng):
     rows = [(k * 7 - 30, t) for k, t in enumerate(TEXTS)] + [(10_000 + k, " ".join(f"word{rng.randrange(999)}" for _ in range(rng.randrange(300)))) for k in range(60)]
     out = sstable.token_table(documents(rows), shard_bytes=4000)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import bisect
+import json
+import math
 import re
 import struct
 import uuid
@@ -29,15 +31,32 @@ ROWS = "path string, doc_id string, start long, n_tokens long, ids_crc32 long"
 
 # --- tokens -----------------------------------------------------------------------------------------------------------
 
-#: The pre-tokenizer's split as the tokenizer file states it (a fixed value).
+#: The definition, beside vocabulary and merges, of the kind of tokenizer whose pieces can be encoded one by one.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+BY_PIECES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [{"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+    "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False},
+}
+
+
+def by_pieces(spec: dict) -> bool:
+    """Whether a tokenizer file says, in all its parts, what Encoder's quick way does; its added tokens must begin with <|."""
+    model = {k: v for k, v in spec["model"].items() if k not in ("vocab", "merges")}
+    return {**{k: spec.get(k) for k in BY_PIECES}, "model": model} == BY_PIECES and all(t["content"].startswith("<|") for t in spec["added_tokens"])
 
 
 class Encoder:
     """Ids of whole texts, the same as the tokenizer's encode(); pieces between white space are looked up in a bounded cache.
 
     Text in Latin-1 is normal under NFC, and its pieces don't touch across ASCII white space; any other text, text with the
-    tokenizer's special strings and any tokenizer of another kind go to encode() itself.
+    tokenizer's special strings and any tokenizer that isn't defined as BY_PIECES go to encode() itself.
     """
 
     def __init__(self, path: str, width: str = "<u2", cache: int = 400_000):
@@ -46,8 +65,8 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         self.width, self.limit = width, cache
         self.model, self.split = self.whole.model, regex.compile(SPLIT)
-        spec = self.whole.to_str()
-        self.fast = '"end_of_word_suffix":"</w>"' in re.sub(r"\s", "", spec[-4000:] + spec[:4000]) and '"Lowercase"' in spec[:4000]
+        with open(path, encoding="utf-8") as file:
+            self.fast = by_pieces(json.load(file))
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in plain]
         self.shown = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
@@ -218,10 +237,11 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def write_shards(docs: DataFrame, folder: str, scratch: Scratch, tokenizer: str, end_id: int = 2, shard_bytes: int = 64 << 20) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, scratch: Scratch, tokenizer: str, end_id: int = 2, shard_bytes: int = 64 << 20, task_bytes: int = 128 << 20) -> DataFrame:
     """Encodes whole texts and writes them in ascending doc_id order as shards in a shared folder; returns the manifest, saved.
 
-    A range of keys is one task; it rolls to a new shard at shard_bytes, so its memory does not grow. Names are unique to the
+    A range of keys is one task; there are as many as texts of task_bytes make, and no fewer than the session's shuffle partitions,
+    so that a task and what a lost executor costs stay the same size. A task rolls to a new shard at shard_bytes, so its memory does not grow. Names are unique to the
     attempt, and only the manifest says which files count, so a task that runs again leaves no harm. Null text: empty;
     null doc_id: first; rows that repeat a doc_id stay together or in neighbouring shards, ordered by a hash of the text.
     """
@@ -250,9 +270,11 @@ def write_shards(docs: DataFrame, folder: str, scratch: Scratch, tokenizer: str,
             rows.append((part, seq, path, *writer.close()))
         yield pd.DataFrame(rows, columns=["partition", "seq", "path", "n_docs", "n_tokens", "n_bytes"])
 
-    keyed = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("doc_id").cast("long").alias("k"), F.xxhash64("text").alias("h"))
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = keyed.repartitionByRange(parts, F.asc_nulls_first("k"), "h").sortWithinPartitions(F.asc_nulls_first("k"), "h")
+    keyed = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("doc_id").cast("long").alias("k"), F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("u"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / task_bytes))
+    order = F.asc_nulls_first("k"), F.asc("h"), F.asc("u")  # u splits rows of one id and text, however many they are
+    ordered = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     return scratch.save(ordered.select("doc_id", "text").mapInPandas(run, MANIFEST), "manifest")
 
 
@@ -279,7 +301,7 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
                 yield _frame(rows)
 
     base = F.col("base") if "base" in manifest.columns else F.lit(0)
-    spread = manifest.select("path", base.cast("long").alias("base")).repartition(max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "path")
+    spread = manifest.select("path", base.cast("long").alias("base")).repartition(max(1, manifest.count()))  # a shard is a task
     return spread.mapInPandas(run, ROWS).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
