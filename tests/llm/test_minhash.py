@@ -60,6 +60,42 @@ def test_null_ids_and_repeated_rows(documents):
     assert {(d, c) for d, _, c, _ in out if d is not None} == {(5, 2), (2, 2), (9, 2), (7, 7)}
 
 
+def test_a_doc_id_on_different_texts_is_linked_by_each(documents, rng):
+    t1, t2, t3 = (prose(rng, n) for n in (60, 140, 90))
+    near = lambda t: " ".join([*t[:-1], "other"])
+    rows = [(5, " ".join(t1)), (5, " ".join(t2)), (5, " ".join(t2).upper()), (9, near(t1)), (7, near(t2)), (3, near(t3)), (8, " ".join(t3)), (8, near(t2)), (20, "x y z"), (4, " ".join(t3)), (30, "x y z"), (30, "q r s t")]
+    out = minhash.near_duplicates(documents(rows)).collect()
+    assert len(out) == len(rows) and {r.doc_id: r.component_id for r in out} == {5: 3, 9: 3, 7: 3, 3: 3, 8: 3, 4: 3, 20: 20, 30: 20}
+    huge = (1 << 62) + 5
+    out = minhash.near_duplicates(documents([(huge, "a b c d"), (huge, "e f g h"), (huge + 1, "e f g h"), (-7, "a b c d")])).collect()
+    assert {(r.doc_id, r.component_id) for r in out} == {(huge, -7), (huge + 1, -7), (-7, -7)}
+
+
+def test_deduplicate_keeps_other_texts_of_an_id(documents):
+    rows = [(5, "one text of five words here"), (5, "quite another text of the same id"), (5, "quite another text of the same id"), (9, "one text of five words here")]
+    assert sorted((r.doc_id, r.text) for r in minhash.deduplicate(documents(rows)).collect()) == sorted(set(rows[:2]))
+
+
+@pytest.mark.parametrize("together, hot_keys", [(1, 10**9), (4, 5), (10**9, 1)])
+def test_split_joins_are_left_joins(spark, monkeypatch, together, hot_keys):
+    from tillage.llm import common
+
+    monkeypatch.setattr(common, "TOGETHER", together)
+    monkeypatch.setattr(common, "HOT_KEYS", hot_keys)
+    many = spark.createDataFrame([(i % 3 if i % 5 else None, i) for i in range(90)] + [(7, 100), (8, None)], "k long, v long")
+    one = spark.createDataFrame([(k, f"n{k}") for k in (0, 1, 7, 9)] + [(None, "none")], "k long, name string")
+    assert sorted(map(str, common.split_join(many, one, "k", "v").collect())) == sorted(map(str, many.join(one, "k", "left").collect()))
+
+
+def test_hot_buckets_and_hubs_are_dealt_to_cells(documents, rng, monkeypatch):
+    from tillage.llm import common
+
+    monkeypatch.setattr(common, "TOGETHER", 4)
+    monkeypatch.setattr(common, "HOT_KEYS", 10**6)
+    rows = list(enumerate(variants(rng, prose(rng, 100), 60, 3) + ["the same text of all"] * 30))
+    assert got(minhash.near_duplicates(documents(rows))) == brute(rows)
+
+
 def test_empty_table_and_very_long_text(documents, rng):
     assert minhash.near_duplicates(documents([])).collect() == []
     long = " ".join(prose(rng, 60_000, 50_000))
