@@ -40,19 +40,52 @@ def trailing(points: DataFrame, keys: list[str], order: str, value: str, short:
     return out.withColumn("short_mean", F.col("short_sum") / F.least(F.col("n"), F.lit(short))).withColumn("long_mean", F.col("long_sum") / F.col("n"))
 
 
+def trailing_in(values: str, short: int = 7, long: int = 30) -> dict[str, Column]:
+    """What trailing() gives, of a column that holds each key's known values as an array, newest first."""
+    exact = F.transform(F.col(values), lambda x: x.cast("decimal(20,4)"))
+    total = lambda k: F.aggregate(F.slice(exact, 1, k), F.lit(0).cast("decimal(30,4)"), lambda a, x: (a + x).cast("decimal(30,4)")).cast("double")
+    n = F.least(F.size(values), F.lit(long))
+    out = {"n": n, "short_sum": F.when(n > 0, total(short)), "long_sum": F.when(n > 0, total(long))}
+    return out | {"short_mean": out["short_sum"] / F.least(n, F.lit(short)), "long_mean": out["long_sum"] / n}
+
+
+def rain_change(t: dict[str, Column], short: int = 7, long: int = 30) -> Column:
+    """The short sum of trailing values against its share of the long one; null with fewer than `long` points or a baseline of at most 1."""
+    return round_half_up(percent_change(t["short_sum"], F.when(t["n"] >= long, t["long_sum"] * F.lit(short / long)), above=1.0), 1)
+
+
+def river_change(t: dict[str, Column]) -> Column:
+    """The short mean of trailing values against the long one."""
+    return round_half_up(percent_change(t["short_mean"], t["long_mean"]), 1)
+
+
+def _named(t: DataFrame) -> dict[str, Column]:
+    return {c: F.col(c) for c in ("n", "short_sum", "long_sum", "short_mean", "long_mean")}
+
+
 def rain_anomaly(points: DataFrame, keys: list[str], order: str, value: str, short: int = 7, long: int = 30) -> DataFrame:
-    """trailing() with anomaly_pct: the short sum against its share of the long one; null with fewer than `long` points or a baseline of at most 1."""
-    t = trailing(points, keys, order, value, short, long).withColumn("baseline", F.when(F.col("n") >= long, F.col("long_sum") * F.lit(short / long)))
-    return t.withColumn("anomaly_pct", round_half_up(percent_change("short_sum", "baseline", above=1.0), 1))
+    """trailing() with anomaly_pct: see rain_change()."""
+    t = trailing(points, keys, order, value, short, long)
+    return t.withColumn("anomaly_pct", rain_change(_named(t), short, long))
 
 
 def river_anomaly(points: DataFrame, keys: list[str], order: str, value: str, least: int = 14, flood_above: float = 75.0) -> DataFrame:
     """keys, short_mean, anomaly_pct and flood_flag of keys with enough points: 7-point mean against the mean of up to 30."""
     t = trailing(points, keys, order, value).where(F.col("n") >= least)
-    t = t.withColumn("anomaly_pct", round_half_up(percent_change("short_mean", "long_mean"), 1))
+    t = t.withColumn("anomaly_pct", river_change(_named(t)))
     return t.withColumn("flood_flag", known(F.col("anomaly_pct") > flood_above))
 
 
+def flow_change(first: Column, last: Column, last_places: int = 0) -> Column:
+    """Change from the first to the last value, which is rounded before; null if an end is missing or 0."""
+    last = round_half_up(last, last_places)
+    return F.when((first != 0) & (last != 0), round_half_up((last - first) / first * 100.0, 1))
+
+
+def flow_label(change: Column, low: float = -25.0, high: float = 50.0) -> Column:
+    return F.when(change < low, "low").when(change > high, "high").otherwise("normal")
+
+
 def first_to_last(rows: DataFrame, keys: list[str], order: list[str], value: str, low: float = -25.0, high: float = 50.0, last_places: int = 0) -> DataFrame:
     """keys, first, last, change_pct and anomaly: low, normal or high.
 
@@ -60,8 +93,8 @@ def first_to_last(rows: DataFrame, keys: list[str], order: list[str], value: str
     """
     at, kept = F.struct(*order), rows.where(F.col(value).isNotNull())
     out = kept.groupBy(*keys).agg(F.min_by(value, at).alias("first"), round_half_up(F.max_by(value, at), last_places).alias("last"))
-    out = out.withColumn("change_pct", F.when((F.col("first") != 0) & (F.col("last") != 0), round_half_up((F.col("last") - F.col("first")) / F.col("first") * 100.0, 1)))
-    return out.withColumn("anomaly", F.when(F.col("change_pct") < low, "low").when(F.col("change_pct") > high, "high").otherwise("normal"))
+    out = out.withColumn("change_pct", flow_change(F.col("first"), F.col("last"), last_places))
+    return out.withColumn("anomaly", flow_label(F.col("change_pct"), low, high))
 
 
 def indexed(points: DataFrame, keys: list[str], order: str, value: str, out: str = "index") -> DataFrame:

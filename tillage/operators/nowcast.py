@@ -35,17 +35,21 @@ COMPONENTS = (
 )
 
 
-def signals(feeds: dict[str, DataFrame]) -> DataFrame:
+def signals(feeds: dict[str | tuple[str, ...], DataFrame]) -> DataFrame:
     """One row for each key of the spine feeds, with the columns of all feeds; null where a feed lacks the key.
 
     Each feed has a row per key. Their rows are stacked and grouped once by key, which costs one shuffle however many feeds
-    there are, where a chain of joins would cost one each.
+    there are, where a chain of joins would cost one each. A tuple of names stands for a table that holds columns of several
+    feeds; a column `spine` says which of its rows bring keys in, else all do if one of the feeds does.
     """
     stacked = []
-    for feed, columns in FEEDS.items():
-        if feed in feeds:
-            own = [F.col(c).cast(kind).alias(c) for c, kind in columns.items()]
-            stacked.append(feeds[feed].select("key", F.lit(feed in SPINE).alias("spine__"), *own))
+    for name, table in feeds.items():
+        names = (name,) if isinstance(name, str) else name
+        if any(n not in FEEDS for n in names):
+            continue
+        own = [F.col(c).cast(kind).alias(c) for n in names for c, kind in FEEDS[n].items() if c in table.columns]
+        spine = F.col("spine") if "spine" in table.columns else F.lit(any(n in SPINE for n in names))
+        stacked.append(table.select("key", spine.alias("spine__"), *own))
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), stacked)
     for columns in FEEDS.values():
         rows = rows.withColumns({c: F.lit(None).cast(kind) for c, kind in columns.items() if c not in rows.columns})
@@ -67,10 +71,10 @@ def _shortfall(staple: str) -> Column:
     return F.when(gap > 95, 3.0).when(gap > 80, 2.0).when((gap > 60) & (made < 200), 1.0).otherwise(0.0)
 
 
-def nowcast(feeds: dict[str, DataFrame], month_change: DataFrame | None = None) -> DataFrame:
+def nowcast(feeds: dict[str | tuple[str, ...], DataFrame], month_change: DataFrame | None = None) -> DataFrame:
     """key, adjustment, the components (one decimal) and the signals behind them.
 
-    feeds: by the names in FEEDS, those that there are; a missing feed counts as an empty one. month_change: one row with
+    feeds: by the names in FEEDS, those that there are (see signals); a missing feed counts as an empty one. month_change: one row with
     change_mom_pct of the world food price index; none or null: no kick. Each component has its own cap; their sum, unrounded,
     is rounded to one decimal and held between -10 and 35.
     """

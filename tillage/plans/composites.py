@@ -7,14 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillage.functions.numeric import known, money, percent_change, round_half_up
+from tillage.functions.numeric import clamp, known, money, percent_change, round_half_up
 from tillage.operators import change, health, latest, nowcast, scenario, scores, trade
 from tillage.operators.reshape import in_order
 from tillage.operators.shares import partner_shares
 from tillage.plans.registry import Tables, query, rounded, summed
 from tillage.plans.rollups import LABEL_SQL
-from tillage.plans.series import conflict
-from tillage.plans.views import MONTHLY, PROFILES, PURCHASES, monthly, profiles, purchases, yearly
+from tillage.plans.views import MONTHLY, PROFILES, PURCHASES, monthly, profiles, purchases
 
 # --- nowcast ----------------------------------------------------------------------------------------------------------
 
@@ -24,46 +23,69 @@ def _key(column: str):
     return F.concat(F.when(F.col(column) % 25 == 0, "US-").otherwise("K-"), F.col(column).cast("string")).alias("key")
 
 
-def feeds(t: Tables) -> dict[str, DataFrame]:
-    """Feeds made up of customers' orders and users' events, a row per key each."""
-    status, price = F.col("o_orderstatus"), F.col("o_totalprice")
-    count = lambda cond: F.count_if(cond)
-    tier = F.substring("o_orderpriority", 1, 1)
-    staples = [e for k, s in enumerate(("wheat", "rice", "corn"), 1) for e in (
-        (money(F.when((tier == str(k)) & (status == "F"), price)) / 1000).alias(f"{s}_production_kt"), (money(F.when(tier == str(k), price)) / 1000).alias(f"{s}_consumption_kt"))]
-    o = t.orders.groupBy("o_custkey").agg(F.count("*").alias("n"), count(tier.isin("1", "2")).alias("hi"), count(status == "O").alias("no"), count(status == "P").alias("np"), count(price > 200000).alias("big"), *staples)
+STAPLES = ("wheat", "rice", "corn")
+
+
+def order_feeds(t: Tables) -> DataFrame:
+    """The feeds that are made up of customers' orders, a row per key: one pass, added up by status and year first."""
+    price, tier = F.col("o_totalprice").cast("decimal(12,2)"), F.substring("o_orderpriority", 1, 1)
+    cells = t.orders.groupBy("o_custkey", F.col("o_orderstatus").alias("status"), F.year("o_orderdate").alias("year")).agg(
+        F.count("*").alias("n"), F.count_if(tier.isin("1", "2")).alias("hi"), F.count_if(F.col("o_totalprice") > 200000).alias("big"), F.sum(price).alias("total"),
+        *(F.sum(F.when(tier == str(k), price)).alias(s) for k, s in enumerate(STAPLES, 1)),
+    )
+    of = lambda s: F.col("status") == s
+    year = F.struct("year", F.col("total").cast("double").alias("total"))
+    some = F.col("total").isNotNull()
+    o = cells.groupBy("o_custkey").agg(
+        F.sum("n").alias("n"), F.sum("hi").alias("hi"), F.sum("big").alias("big"), *(F.coalesce(F.sum(F.when(of(s), F.col("n"))), F.lit(0)).alias(f"n{s}") for s in "OP"),
+        *(e for s in STAPLES for e in ((F.sum(F.when(of("F"), F.col(s))).cast("double") / 1000).alias(f"{s}_production_kt"), (F.sum(s).cast("double") / 1000).alias(f"{s}_consumption_kt"))),
+        *(F.sort_array(F.collect_list(F.when(of(s) & some, year)), asc=False).alias(f"years{s}") for s in "FOP"),  # a year each
+    )
     part = lambda c, scale, places: round_half_up(F.col(c) * scale / F.col("n"), places)
-    key = _key("o_custkey")
-    fx = latest.nth_back(t.orders, ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")], "o_totalprice", 3)
-    yoy = change.last_change(yearly(t), ["o_custkey", "o_orderstatus"], "year", "total")
-    of = lambda s, where: yoy.where((F.col("o_orderstatus") == s) & F.expr(where))
-    country = fx.select("o_custkey", round_half_up(percent_change("latest", "back", above=None), 1).alias("fx_90d_change_pct"))
-    country = country.join(of("F", "o_custkey % 3 = 0").select("o_custkey", F.col("change_pct").alias("food_inflation_pct")), "o_custkey", "left")
-    days = t.events.groupBy("user_id", F.to_date("ts").alias("day")).agg(money("value").alias("total"), money(F.when(F.col("event_type") == "purchase", F.col("value"))).alias("bought"))
-    rain = change.rain_anomaly(days, ["user_id"], "day", "total", 3, 10)
-    warm = round_half_up(F.col("short_mean") - F.col("long_mean"), 2)
+    change_of = lambda s: round_half_up(percent_change(F.get(f"years{s}", F.lit(0))["total"], F.get(f"years{s}", F.lit(1))["total"]), 2)
+    third = F.col("o_custkey") % 3
+    return o.select(
+        _key("o_custkey"), part("nO", 100, 1).alias("fcs_pct"), part("hi", 100, 1).alias("phase3plus_pct"), part("big", 10, 1).alias("inform_risk"), round_half_up(F.col("nP") * 5 / F.col("n") - 2.5, 2).alias("rule_of_law"),
+        *(f"{s}_{m}" for s in STAPLES for m in ("production_kt", "consumption_kt")),
+        F.when(third == 0, change_of("F")).alias("food_inflation_pct"), F.when(third == 1, change_of("O")).alias("food_hicp_yoy_pct"), change_of("P").alias("food_cpi_yoy_pct"),
+    )
+
+
+def event_feeds(t: Tables) -> DataFrame:
+    """The feeds that are made up of users' events, a row per key: one pass, added up by day first."""
     anchor = t.events.agg(F.max("ts").alias("top"))
-    reports = t.events.where("event_type = 'signup'").crossJoin(F.broadcast(anchor)).where("ts >= top - interval 10 days")  # one row
-    user = _key("user_id")
-    views = t.events.where("event_type = 'view'").groupBy("user_id").agg((money("value") / F.count("*")).alias("mean"))
+    kind = lambda k: F.col("event_type") == k
+    since = lambda d: F.expr(f"ts >= top - interval {d} days")
+    cents, at = F.col("value").cast("decimal(12,2)"), F.when(F.col("value").isNotNull(), F.struct("ts", "event_id", "value"))
+    day = t.events.crossJoin(F.broadcast(anchor)).groupBy("user_id", F.to_date("ts").alias("day")).agg(  # one row
+        F.sum(cents).cast("double").alias("total"), F.sum(F.when(kind("purchase"), cents)).cast("double").alias("bought"), F.sum(F.when(kind("view"), cents)).alias("viewed"),
+        F.count_if(kind("view")).alias("views"), F.count_if(kind("click")).alias("clicks"), F.count_if(kind("error") & since(10)).alias("near"), F.count_if(kind("error") & since(25)).alias("errors"),
+        F.count_if(kind("signup") & since(10)).alias("signups"), F.min(at).alias("first"), F.max(at).alias("last"),
+    )
+    newest = lambda c: F.transform(F.sort_array(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("day", c))), asc=False), lambda x: x[c])
+    u = day.groupBy("user_id").agg(*(F.sum(c).alias(c) for c in ("viewed", "views", "clicks", "near", "errors", "signups")), F.min("first").alias("first"), F.max("last").alias("last"), newest("total").alias("totals"), newest("bought").alias("purchases"))  # a day each
+    rain, river = change.trailing_in("totals", 3, 10), change.trailing_in("purchases")
+    u = u.withColumns({"precip_anomaly_pct": change.rain_change(rain, 3, 10), "temp_anomaly_c": round_half_up(rain["short_mean"] - rain["long_mean"], 2), "rainy": rain["n"] > 0, "flow": change.flow_change(F.col("first.value"), F.col("last.value"))})
+    when = lambda condition, x: F.when(condition, x)
+    mean = F.col("viewed").cast("double") / F.col("views")
+    return u.select(
+        _key("user_id"), (F.col("rainy") | (F.col("errors") > 0)).alias("spine"),
+        when(F.col("errors") > 0, clamp(round_half_up(F.col("near") / 20.0 * 100.0, 1), high=100.0)).alias("intensity_score"), F.nullif("signups", F.lit(0)).alias("active_reports"),
+        "precip_anomaly_pct", "temp_anomaly_c",
+        when(F.col("rainy"), known(F.col("precip_anomaly_pct") < -50)).alias("drought_flag"), when(F.col("rainy"), known(F.col("temp_anomaly_c") > 3)).alias("heat_flag"), when(F.col("rainy"), known(F.col("precip_anomaly_pct") > 100)).alias("wet_flag"),
+        when(river["n"] >= 5, known(change.river_change(river) > 75.0)).alias("flood_flag"), when(F.col("clicks") > 0, F.col("clicks") > 2 * 8).alias("fire_flag"),
+        round_half_up(mean, 1).alias("pm25_latest"), (mean > 35).alias("pm25_flag"), when(F.col("first").isNotNull(), change.flow_label(F.col("flow"))).alias("flow_anomaly"),
+    )
+
+
+def feeds(t: Tables) -> dict[str | tuple[str, ...], DataFrame]:
+    """Feeds made up of customers' orders and users' events: two tables that hold several each, and the price of the newest orders."""
+    fx = latest.nth_back(t.orders, ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")], "o_totalprice", 3)
     return {
-        "hungermap": o.select(key, part("no", 100, 1).alias("fcs_pct")),
-        "ipc": o.select(key, part("hi", 100, 1).alias("phase3plus_pct")),
-        "inform": o.select(key, part("big", 10, 1).alias("inform_risk")),
-        "governance": o.select(key, round_half_up(F.col("np") * 5 / F.col("n") - 2.5, 2).alias("rule_of_law")),
-        "staples": o.select(key, *(f"{s}_{m}" for s in ("wheat", "rice", "corn") for m in ("production_kt", "consumption_kt"))),
-        "hungermap_country": country.select(key, "fx_90d_change_pct", "food_inflation_pct"),
-        "eurostat": of("O", "o_custkey % 3 = 1").select(key, F.col("change_pct").alias("food_hicp_yoy_pct")),
-        "faostat": of("P", "true").select(key, F.col("change_pct").alias("food_cpi_yoy_pct")),
-        "conflict": conflict(t).select(user, "intensity_score"),
-        "reports": reports.groupBy("user_id").agg(F.count("*").alias("active_reports")).select(user, "active_reports"),
-        "weather": rain.select(user, "anomaly_pct", warm.alias("temp_anomaly_c")).select(
-            "key", F.col("anomaly_pct").alias("precip_anomaly_pct"), "temp_anomaly_c", known(F.col("anomaly_pct") < -50).alias("drought_flag"), known(F.col("temp_anomaly_c") > 3).alias("heat_flag"), known(F.col("anomaly_pct") > 100).alias("wet_flag")),
-        "rivers": change.river_anomaly(days, ["user_id"], "day", "bought", least=5).select(user, "flood_flag"),
-        "fires": t.events.where("event_type = 'click'").groupBy("user_id").agg((F.count("*") > 2 * 8).alias("fire_flag")).select(user, "fire_flag"),
-        "air": views.select(user, round_half_up("mean", 1).alias("pm25_latest"), (F.col("mean") > 35).alias("pm25_flag")),
-        "us_water": change.first_to_last(t.events, ["user_id"], ["ts", "event_id"], "value").select(user, F.col("anomaly").alias("flow_anomaly")),
-    }
+        ("hungermap", "ipc", "inform", "governance", "staples", "hungermap_country", "eurostat", "faostat"): order_feeds(t),
+        "hungermap_country": fx.select(_key("o_custkey"), round_half_up(percent_change("latest", "back", above=None), 1).alias("fx_90d_change_pct")),
+        ("conflict", "reports", "weather", "rivers", "fires", "air", "us_water"): event_feeds(t),
+    }
 
 
 def adjustments(t: Tables) -> DataFrame:
