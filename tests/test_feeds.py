@@ -354,3 +354,71 @@ def test_sinks(spark, tmp_path):
     sinks.write_checked(many, good, str(tmp_path / "w"))
     with pytest.raises(ValueError, match="c"):
         sinks.write_checked(many, bad, str(tmp_path / "w"))
+
+
+def test_a_feed_that_fails_in_its_last_partition_stops_no_other(spark, tmp_path):
+    empty, at = table(spark, "id long"), datetime(2026, 5, 30)
+    late = lambda s: s.range(0, 1000, 1, 8).select(F.when(F.col("id") == 999, F.raise_error("late")).otherwise(F.col("id")).cast("long").alias("id"))
+    spark.range(3).write.parquet(str(tmp_path / "a"))
+    report = sinks.run_steps(spark, [("a", late, empty), ("b", lambda s: s.range(4), empty)], str(tmp_path), at)
+    assert [(r.feed, r.ok) for r in report.collect()] == [("a", False), ("b", True)]
+    assert spark.read.parquet(str(tmp_path / "a")).count() == 0 and spark.read.parquet(str(tmp_path / "b")).count() == 4
+    notes = {r.feed: r.notes for r in spark.read.parquet(str(tmp_path / "_meta")).collect()}
+    assert "late" in notes["a"] or "failed" in notes["a"]
+    assert not [p.name for p in tmp_path.iterdir() if p.name.startswith(("_new-", "_old-"))]
+    # a guarded writer leaves what was there
+    with pytest.raises(Exception, match="late"):
+        sinks.keep_better(late(spark), str(tmp_path / "b"))
+    assert spark.read.parquet(str(tmp_path / "b")).count() == 4
+    seen = []
+    sinks.write_checked(spark.range(7), lambda written: seen.append(written.count()) or table(spark, "check string, passed boolean", ("c", True)), str(tmp_path / "b"))
+    assert seen == [7] and spark.read.parquet(str(tmp_path / "b")).count() == 7
+
+
+def test_feeds_that_are_not_configured(spark):
+    empty = table(spark, "id long")
+    rows, note = sinks.gated("acled", {"KEY": " ", "EMAIL": "x"}, ["KEY", "EMAIL", "OTHER"], lambda: spark.range(2), empty)
+    assert rows.count() == 0 and note == "acled not configured: set KEY, OTHER"
+    rows, note = sinks.gated("acled", {"KEY": "k"}, ["KEY"], lambda: spark.range(2), empty)
+    assert rows.count() == 2 and note == ""
+
+
+def test_pages_by_offset():
+    def get(offset, size):
+        if offset == 2:
+            raise OSError("no")
+        return list(range(offset, min(offset + size, 7)))
+
+    assert list(landing.offset_pages(get, lambda: 7, 2)) == [[0, 1], [4, 5], [6]]
+    assert list(landing.offset_pages(get, lambda: 0, 2)) == []
+
+
+def test_workbooks_by_sheet_name_with_rich_text(spark, tmp_path):
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns}><sheets><sheet name="Notes" sheetId="1" r:id="rId1"/><sheet name="Monthly Prices" sheetId="2" r:id="rId2"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="rId1" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Target="/xl/worksheets/sheet2.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f'<sst {ns}><si><t>plain</t></si><si><r><rPr/><t xml:space="preserve">rich </t></r><r><t>text</t></r><rPh><t>hint</t></rPh></si></sst>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c></row></sheetData></worksheet>')
+        z.writestr("xl/worksheets/sheet2.xml", f'<worksheet {ns}><sheetData><row r="4"><c r="A4" t="s"><v>1</v></c><c r="B4"/><c r="AB4"><v>2.5</v></c></row><row r="5"><c r="C5" t="inlineStr"><is><t>in</t></is></c></row></sheetData></worksheet>')
+    cells = lambda *a: {(r.row, r.col, r.value) for r in landing.workbook_cells(spark, str(tmp_path / "b.xlsx"), *a).collect()}
+    assert cells("Monthly Prices") == {(4, 0, "rich text"), (4, 27, "2.5"), (5, 2, "in")} and cells() == {(1, 0, "plain")} and cells("none") == set()
+    assert landing.workbook_cells(spark, str(tmp_path / "none.xlsx")).count() == 0
+
+
+def test_records_with_braces_in_strings_comments_and_nesting(spark):
+    js = """const X = [{iso:'AAA', name:"a } {iso:'no'} \\"q\\"", /* {iso:'ZZZ', */ fdrs:1.5, // {iso:'YYY'}
+      trend:{years:[1,2], note:'x{'}, c:[1,-2,.5,], imports:['O\\'Neil','b',], region:`R`, }, {other:1, name:'skip'}, {"iso":"BBB", name:undefined, w:-3e1}];"""
+    out = by(landing.js_records(texts(spark, js)), "iso")
+    assert set(out) == {"AAA", "BBB"}
+    assert (out["AAA"]["name"], out["AAA"]["fdrs"], out["AAA"]["c"], out["AAA"]["imports"], out["AAA"]["region"]) == ("a } {iso:'no'} \"q\"", 1.5, [1.0, -2.0, 0.5], ["O'Neil", "b"], "R")
+    assert out["BBB"]["name"] is None and out["BBB"]["w"] == -30.0 and out["BBB"]["imports"] == []
+
+
+def test_company_files_are_told_apart_by_name(spark, tmp_path):
+    claim = lambda host: {"iso3": "BRA", "citation_url": f"https://{host}/x"}
+    for name, host in (("b", "second.org"), ("a", "first.org"), ("_x", "hidden.org")):
+        (tmp_path / f"{name}.json").write_text(json.dumps({"_meta": {"company": "C"}, "commodities": [{"name": "soy", "sourcing_countries": [claim(host)]}]}))
+    from tillage.operators import companies
+
+    assert {r.primary_citation for r in companies.rollup(landing.company_documents(spark, str(tmp_path))).collect()} == {"first.org"}

@@ -38,7 +38,7 @@ def test_rolling_intensity_is_what_the_events_give(spark):
 
 def test_upserts_keep_the_newest_and_can_run_again(spark, tmp_path):
     schema, root = "iso3 string, year int, value double", str(tmp_path / "t")
-    merge = s.upserts(root, ["iso3"], ["year", "value"], schema, keep=2)
+    merge = s.upserts(root, ["iso3"], ["year", "value"], schema)
     batch = lambda *r: spark.createDataFrame(list(r), schema)
     assert s.current(spark, root, schema).count() == 0
     merge(batch(("A", 2024, 1.0), ("B", 2024, 2.0)), 0)
@@ -46,5 +46,9 @@ def test_upserts_keep_the_newest_and_can_run_again(spark, tmp_path):
     merge(batch(("A", 2023, 9.0), ("B", 2025, 3.0), ("C", 2025, None)), 1)
     want = {("A", 2024, 1.0), ("B", 2025, 3.0), ("C", 2025, None)}
     assert {tuple(r) for r in s.current(spark, root, schema).collect()} == want
-    merge(batch(("A", 2030, 0.0)), 2)  # too few rows to replace a fuller table
+    merge(batch(("A", 2030, 0.0)), 2)  # however small, a batch adds to the table
+    want = {("A", 2030, 0.0), ("B", 2025, 3.0), ("C", 2025, None)}
     assert {tuple(r) for r in s.current(spark, root, schema).collect()} == want
+    merge(batch(), 3)
+    assert {tuple(r) for r in s.current(spark, root, schema).collect()} == want
+    assert sorted(p.name for p in (tmp_path / "t").iterdir()) == ["v000000002", "v000000003"]

@@ -15,14 +15,16 @@ DOCUMENT = f"_meta struct<{', '.join(c.strip().replace(' ', ':') for c in SCHEMA
 
 
 def claims(documents: DataFrame) -> DataFrame:
-    """A row for each claim: company, pos, commodity, iso3, country, role, share_pct, evidence_strength, evidence, citation_url, as_of, entity.
+    """A row for each claim: company, file, pos, commodity, iso3, country, role, share_pct, evidence_strength, evidence, citation_url, as_of, entity.
+
+    file: of the documents (null where they have none); claims stand in the order of file and pos.
 
     A claim without evidence strength takes its commodity's, else medium; without role origin; claims without iso3 are left out.
     """
-    per = documents.select(F.coalesce("_meta.company", F.lit("Unknown")).alias("company"), F.posexplode("commodities").alias("i", "c"))
-    rows = per.select("company", "i", F.coalesce("c.name", F.lit("Unknown")).alias("commodity"), F.coalesce("c.evidence_strength", F.lit("medium")).alias("usual"), F.posexplode("c.sourcing_countries").alias("j", "s"))
+    per = documents.select(F.coalesce("_meta.company", F.lit("Unknown")).alias("company"), (F.col("file") if "file" in documents.columns else F.lit(None).cast("string")).alias("file"), F.posexplode("commodities").alias("i", "c"))
+    rows = per.select("company", "file", "i", F.coalesce("c.name", F.lit("Unknown")).alias("commodity"), F.coalesce("c.evidence_strength", F.lit("medium")).alias("usual"), F.posexplode("c.sourcing_countries").alias("j", "s"))
     return rows.where("s.iso3 is not null and s.iso3 <> ''").select(
-        "company", (F.col("i") * 100_000 + F.col("j")).alias("pos"), "commodity", "s.iso3", "s.country", F.coalesce("s.role", F.lit("origin")).alias("role"), "s.share_pct",
+        "company", "file", (F.col("i") * 100_000 + F.col("j")).alias("pos"), "commodity", "s.iso3", "s.country", F.coalesce("s.role", F.lit("origin")).alias("role"), "s.share_pct",
         F.coalesce("s.evidence_strength", "usual").alias("evidence_strength"), "s.evidence", "s.citation_url", "s.as_of", "s.entity",
     )
 
@@ -34,7 +36,7 @@ def rollup(documents: DataFrame) -> DataFrame:
     """
     flat = claims(documents)
     per = flat.groupBy("company").agg(F.array_sort(F.collect_set("iso3")).alias("iso_set"), F.count("*").alias("n_claims"), F.bool_or(F.col("evidence_strength") == "strong").alias("strong"))
-    cited = most_frequent(flat.withColumn("host", url_host("citation_url")), ["company"], "host", F.col("pos")).select("company", F.col("host").alias("primary_citation"))
+    cited = most_frequent(flat.withColumn("host", url_host("citation_url")), ["company"], "host", F.struct("file", "pos")).select("company", F.col("host").alias("primary_citation"))
     facts = documents.select(
         F.coalesce("_meta.company", F.lit("Unknown")).alias("company"), F.col("_meta.ownership").alias("ownership"), F.col("_meta.headquarters").alias("hq"), F.col("_meta.fiscal_year_end").alias("fy_end"),
         F.col("_meta.latest_disclosure_year").alias("latest_disclosure"), F.col("_meta.last_updated").alias("last_updated"), F.coalesce("_meta.research_status", F.lit("scaffolded")).alias("research_status"),

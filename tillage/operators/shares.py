@@ -31,7 +31,7 @@ def concentration(shares: DataFrame, parent: list[str], top: int = 5) -> DataFra
 def most_frequent(rows: DataFrame, keys: list[str], value: str, order: Column) -> DataFrame:
     """keys, value, n: each key's most frequent known value; of equal ones the first seen by order."""
     counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"), F.min(order).alias("seen__"))
-    best = F.max_by(F.struct(value, "n"), F.struct("n", -F.col("seen__"))).alias("best__")
+    best = F.min_by(F.struct(value, "n"), F.struct(-F.col("n"), "seen__")).alias("best__")
     return (counted.groupBy(*keys) if keys else counted).agg(best).select(*keys, "best__.*")
 
 

@@ -22,9 +22,12 @@ from tillage.sources.landing import feature_properties, find_column, json_stat_c
 # --- fixed values -----------------------------------------------------------------------------------------------------
 
 #: Two-letter codes of the European statistics and their keys.
-EUROPE = dict(
-    x.split(":") for x in "AT:AUT BE:BEL BG:BGR CY:CYP CZ:CZE DE:DEU DK:DNK EE:EST EL:GRC ES:ESP FI:FIN FR:FRA HR:HRV HU:HUN IE:IRL IT:ITA LT:LTU LU:LUX LV:LVA MT:MLT NL:NLD PL:POL PT:PRT RO:ROU SE:SWE SI:SVN SK:SVK UK:GBR NO:NOR CH:CHE IS:ISL".split()
-)
+EUROPE = {
+    "AT": "AUT", "BE": "BEL", "BG": "BGR", "CY": "CYP", "CZ": "CZE", "DE": "DEU", "DK": "DNK", "EE": "EST",
+    "EL": "GRC", "ES": "ESP", "FI": "FIN", "FR": "FRA", "HR": "HRV", "HU": "HUN", "IE": "IRL", "IT": "ITA",
+    "LT": "LTU", "LU": "LUX", "LV": "LVA", "MT": "MLT", "NL": "NLD", "PL": "POL", "PT": "PRT", "RO": "ROU",
+    "SE": "SWE", "SI": "SVN", "SK": "SVK", "UK": "GBR", "NO": "NOR", "CH": "CHE", "IS": "ISL",
+}
 #: Items of the balance sheets, the element for calories, items and elements of the trade table, flags of missing values.
 CALORIE_ITEMS, CALORIES = {2901: "total", 2511: "wheat", 2807: "rice", 2514: "maize"}, 664
 TRADE_ITEMS, TRADE_NAMES = (1842, 1841), ("food, total", "agricultural products, total", "food", "agricultural products")

@@ -6,10 +6,14 @@ the declared columns, never an error, as the scheduled run must go on.
 
 from __future__ import annotations
 
+import functools
 import io
+import json
+import re
 import time
 import zipfile
 from collections.abc import Callable, Iterator
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -89,8 +93,6 @@ def land_zip(spark: SparkSession, path: str, folder: str, wanted: str = r"\.csv$
     A ZIP member is one stream, so an archive is one task's work, line by line; of a folder of archives each is a task and a file of its own,
     held whole while it is read. What comes after reads the folder in parallel.
     """
-    import re
-
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
@@ -129,11 +131,61 @@ def sheet_cells(spark: SparkSession, sheet: str, strings: str | None = None) ->
     cells = cells.select("row", at.alias("col"), F.col("c._t").alias("t"), F.coalesce("c.v", "c.is.t").alias("v"))
     if strings is None:
         return cells.select("row", "col", F.col("v").alias("value"))
-    shared = spark.read.format("xml").option("rowTag", "sst").schema("si array<struct<t:string>>").load(strings).select(F.posexplode("si").alias("k", "s")).select("k", F.col("s.t").alias("text"))
+    shared = spark.read.format("xml").option("rowTag", "sst").schema("si array<struct<t:string, r:array<struct<t:string>>>>").load(strings).select(F.posexplode("si").alias("k", "s"))
+    shared = shared.select("k", F.coalesce("s.t", F.array_join(F.col("s.r.t"), "")).alias("text"))
     out = cells.join(shared, (F.col("t") == "s") & (F.col("v").try_cast("int") == F.col("k")), "left")
     return out.select("row", "col", F.coalesce("text", "v").alias("value"))
 
 
+def workbook_cells(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
+    """path, row, col (from 0), value of a worksheet, by its name (none: the first), of a workbook or of each in a folder; unknown sheets give nothing.
+
+    A workbook is one task's work; its cells are read one by one. Shared and inline texts may be rich (of several runs).
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"]):
+                with zipfile.ZipFile(io.BytesIO(content)) as book:
+                    cells = list(_sheet(book, sheet))
+                yield pd.DataFrame([(name, *c) for c in cells], columns=["path", "row", "col", "value"])
+
+    schema = "path string, row int, col int, value string"
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, schema)
+
+
+def _sheet(book: zipfile.ZipFile, name: str | None) -> Iterator[tuple[int, int, str]]:
+    local = lambda e: e.tag.rpartition("}")[2]
+    under = lambda e, tag: [x for x in e.iter() if local(x) == tag]
+    # phonetic hints (rPh) stand beside the runs and are no part of the text
+    words = lambda e: "".join(t.text or "" for part in e if local(part) in ("t", "r") for t in ([part] if local(part) == "t" else under(part, "t")))
+    tree = lambda member: ElementTree.fromstring(book.read(member))
+    files = set(book.namelist())
+    listed = [(s.get("name"), next(v for k, v in s.attrib.items() if k.endswith("}id"))) for s in under(tree("xl/workbook.xml"), "sheet")]
+    ids = [i for n, i in listed if name is None or n == name]
+    targets = {r.get("Id"): r.get("Target") for r in under(tree("xl/_rels/workbook.xml.rels"), "Relationship")}
+    if not ids or ids[0] not in targets:
+        return
+    target = targets[ids[0]].lstrip("/")
+    shared = [words(si) for si in tree("xl/sharedStrings.xml") if local(si) == "si"] if "xl/sharedStrings.xml" in files else []
+    with book.open(target if target in files else f"xl/{target}") as member:
+        for _, e in ElementTree.iterparse(member):
+            if local(e) != "row":
+                continue
+            for c in (x for x in e if local(x) == "c"):
+                letters, number = re.fullmatch(r"([A-Z]+)(\d+)", c.get("r")).groups()
+                value = next((x.text for x in c if local(x) == "v"), None)
+                if c.get("t") == "s" and value is not None:
+                    value = shared[int(value)]
+                elif c.get("t") == "inlineStr":
+                    value = next((words(x) for x in c if local(x) == "is"), None)
+                if value is not None:
+                    yield int(number), functools.reduce(lambda n, x: n * 26 + ord(x) - 64, letters, 0) - 1, value
+            e.clear()
+
+
 def table_below(cells: DataFrame, header: dict[str, str], first_rows: int = 8) -> DataFrame:
     """Rows under the heading that one of the first rows holds; header: our name -> pattern of the heading, blanks and dashes taken out.
 
@@ -210,29 +262,64 @@ def year_mean(texts: DataFrame, value: str = "value") -> DataFrame:
     return texts.withColumn("mean", F.coalesce(F.when(~F.ltrim(inner).startswith("["), single), mean))
 
 
+_JS = re.compile(r"""(?P<text>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|`(?:[^`\\]|\\.)*`)|(?P<skip>//[^\n]*|/\*.*?\*/|\s+)|(?P<name>[A-Za-z_$][\w$]*)|(?P<number>-?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)|(?P<mark>.)""", re.DOTALL)
+_ESCAPE = re.compile(r"\\(u[0-9a-fA-F]{4}|x[0-9a-fA-F]{2}|\n|.)", re.DOTALL)
+_ESCAPED = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", "\n": ""}
+
+
+def object_literals(code: str, first: str) -> list[str]:
+    """The object literals of a script whose first key is so called, as JSON; strings, escapes, comments and nesting are told apart by their tokens."""
+    tokens = [(m.lastgroup, m.group()) for m in _JS.finditer(code) if m.lastgroup != "skip"]
+    unescaped = lambda t: _ESCAPE.sub(lambda m: chr(int(m[1][1:], 16)) if len(m[1]) > 1 else _ESCAPED.get(m[1], m[1]), t[1:-1])
+    found: list[str] = []
+    out: list[str] = []
+    depth = 0  # of brackets since the literal began; 0: outside of one
+    for k, (kind, t) in enumerate(tokens):
+        if not depth:
+            begins = t == "{" and k + 2 < len(tokens) and tokens[k + 1][1].strip("\"'") == first and tokens[k + 2][1] == ":"
+            out, depth = (["{"], 1) if begins else ([], 0)
+            continue
+        if kind == "text":
+            out.append(json.dumps(unescaped(t)))
+        elif kind == "number":
+            out.append(json.dumps(float(t)))
+        elif kind == "name":
+            key = k + 1 < len(tokens) and tokens[k + 1][1] == ":"
+            out.append(json.dumps(t) if key else t if t in ("true", "false", "null") else "null")
+        else:
+            depth += (t in "{[") - (t in "}]")
+            if t in "}]" and out[-1] == ",":
+                out.pop()
+            out.append(t)
+            if not depth:
+                found.append("".join(out))
+    return found
+
+
+RECORD = "iso string, name string, region string, fdrs double, f2030 double, w double, r double, m double, net double, fi double, c array<double>, supPct array<double>, imports array<string>, exports array<string>, exportDests array<string>, suppliers array<string>"
+
+
 def js_records(texts: DataFrame) -> DataFrame:
-    """A row for each country of a dashboard's object literals: iso, name, region, fdrs, f2030, w, r, m, net, fi, c, imports, exports, suppliers, supPct, exportDests.
+    """A row for each country of a dashboard's object literals, with the columns of RECORD; lists that are missing are empty, records without iso go.
 
-    Each record begins at its iso; numbers and lists are read by name. Comments are taken out first.
+    A script is one text, told apart by its tokens; what comes of it is parsed by Spark.
     """
-    code = F.regexp_replace("value", r"(?m)^\s*//[^\n]*$", "")
-    block = texts.select(F.explode(F.regexp_extract_all(code, F.lit(r"""(?s)(\{\s*iso\s*:\s*['"].*?)(?=\{\s*iso\s*:|\z)"""), F.lit(1))).alias("b"))
-    quoted = lambda n, group: F.regexp_extract("b", rf"""[{{,\s]{n}\s*:\s*(?:"((?:[^"\\]|\\.)*)"|'((?:[^'\\]|\\.)*)')""", group)
-    text = lambda n: F.nullif(F.concat(quoted(n, 1), quoted(n, 2)), F.lit(""))
-    number = lambda n: F.regexp_extract("b", rf"[{{,\s]{n}\s*:\s*(-?[0-9.]+)", 1).try_cast("double").alias(n)
-    inside = lambda n: F.regexp_extract("b", rf"[{{,\s]{n}\s*:\s*\[([^\]]*)\]", 1)
-    numbers = lambda n: F.transform(F.filter(F.split(inside(n), ","), lambda x: F.trim(x) != ""), lambda x: F.trim(x).try_cast("double")).alias(n)
-    texts_of = lambda n: F.regexp_extract_all(inside(n), F.lit(r"""["']([^"']*)["']"""), F.lit(1)).alias(n)
-    named = [text(n).alias(n) for n in ("iso", "name", "region")]
-    return block.select(*named, *(number(n) for n in ("fdrs", "f2030", "w", "r", "m", "net", "fi")), numbers("c"), numbers("supPct"), *(texts_of(n) for n in ("imports", "exports", "exportDests", "suppliers"))).where("iso is not null")
+
+    @F.pandas_udf("array<string>")
+    def literals(code: pd.Series) -> pd.Series:
+        return code.map(lambda c: object_literals(c or "", "iso"))
+
+    rows = texts.select(F.explode(literals("value")).alias("b")).select(F.from_json("b", RECORD).alias("v")).select("v.*")
+    lists = {c: F.coalesce(c, F.array().cast(kind)) for c, kind in rows.dtypes if kind.startswith("array")}
+    return rows.withColumns(lists).where("iso is not null")
 
 
 def company_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """The company files of a folder; names that begin with an underscore and files that can't be read are passed over."""
+    """The company files of a folder, with their names as file, by which "first" is told; names that begin with an underscore and files that can't be read are passed over."""
     from tillage.operators.companies import DOCUMENT
 
     found = spark.read.schema(f"{DOCUMENT}, _corrupt_record string").option("multiLine", True).option("pathGlobFilter", "[!_]*.json").json(folder)
-    return found.where("_meta is not null").drop("_corrupt_record")
+    return found.withColumn("file", F.col("_metadata.file_name")).where("_meta is not null").drop("_corrupt_record")
 
 
 def attempts(get: Callable[[], object], tries: int = 3, backoff: float = 2.0, patient: bool = False, sleep: Callable[[float], None] = time.sleep) -> object:
@@ -261,6 +348,17 @@ def pages(get: Callable[[int], list], size: int, most: int) -> Iterator[list]:
             return
 
 
+def offset_pages(get: Callable[[int, int], list], total: Callable[[], int], size: int = 1000) -> Iterator[list]:
+    """Pages of so many rows, from offset 0 to the total that is asked for first; a page that fails or is empty is passed over."""
+    for offset in range(0, total(), size):
+        try:
+            rows = get(offset, size)
+        except OSError:
+            continue
+        if rows:
+            yield rows
+
+
 def first_large(bodies: list[tuple[str, str]], least: int) -> tuple[str, str] | None:
     """The first (url, body) of some candidates whose body has so many characters."""
     return next(((u, b) for u, b in bodies if b and len(b) >= least), None)

@@ -1,7 +1,12 @@
-"""Writers of feed tables, with the guards that the scheduled run needs."""
+"""Writers of feed tables, with the guards that the scheduled run needs.
+
+What is written goes to a folder of its own first, is looked at there, and takes the old table's place by renaming: a run that fails
+half way leaves what was there.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -13,10 +18,49 @@ from tillage.sources.landing import exists
 META = "feed string, generated_at timestamp, source string, notes string, version string"
 
 
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def stage(rows: DataFrame, path: str) -> str:
+    """Writes rows as Parquet beside a path, under a name that readers of the folder pass over, and says where."""
+    parent, _, name = path.rstrip("/").rpartition("/")
+    place = f"{parent}/_new-{name}-{uuid.uuid4().hex[:12]}"
+    try:
+        rows.write.parquet(place)
+    except Exception:
+        discard(rows.sparkSession, place)
+        raise
+    return place
+
+
+def discard(spark: SparkSession, place: str) -> None:
+    fs, p = _path(spark, place)
+    fs.delete(p, True)
+
+
+def publish(spark: SparkSession, place: str, path: str) -> None:
+    """Puts what was staged in a path's place; the old table goes last, and comes back if the new one can't be moved."""
+    fs, new = _path(spark, place)
+    target, (_, old) = _path(spark, path)[1], _path(spark, place.replace("/_new-", "/_old-"))
+    fs.mkdirs(target.getParent())
+    had = fs.exists(target)
+    if had and not fs.rename(target, old):
+        raise OSError(f"can't move {path}")
+    if not fs.rename(new, target):
+        if had:
+            fs.rename(old, target)
+        raise OSError(f"can't move {place}")
+    if had:
+        fs.delete(old, True)
+
+
 def write_feed(rows: DataFrame, root: str, feed: str, source: str, notes: str, at: datetime, version: str = "1") -> None:
     """The feed's rows as Parquet under root/feed, and its row of root/_meta."""
-    rows.write.mode("overwrite").parquet(f"{root}/{feed}")
-    rows.sparkSession.createDataFrame([(feed, at, source, notes, version)], META).write.mode("overwrite").parquet(f"{root}/_meta/feed={feed}")
+    spark = rows.sparkSession
+    publish(spark, stage(rows, f"{root}/{feed}"), f"{root}/{feed}")
+    publish(spark, stage(spark.createDataFrame([(feed, at, source, notes, version)], META).coalesce(1), f"{root}/_meta/feed={feed}"), f"{root}/_meta/feed={feed}")
 
 
 def write_json(rows: DataFrame, path: str, key: str) -> None:
@@ -24,40 +68,59 @@ def write_json(rows: DataFrame, path: str, key: str) -> None:
     rows.select(F.to_json(F.struct(*rows.columns)).alias("value"), key).sort(key).select("value").write.mode("overwrite").text(path)
 
 
-def safely(feed: str, make: Callable[[], DataFrame], empty: DataFrame) -> tuple[DataFrame, str]:
-    """make()'s rows and an empty note; if it fails, the empty table and a note of the failure, so the run goes on."""
+def gated(feed: str, settings: dict[str, str | None], needed: list[str], make: Callable[[], DataFrame], empty: DataFrame) -> tuple[DataFrame, str]:
+    """make()'s rows and an empty note, or, where a setting that the feed needs is missing or blank, the empty table and a note that says so."""
+    missing = [n for n in needed if not (settings.get(n) or "").strip()]
+    return (empty, f"{feed} not configured: set {', '.join(missing)}") if missing else (make(), "")
+
+
+def safely(feed: str, write: Callable[[], None]) -> str:
+    """Runs a feed's making and writing, all of it, and gives an empty note; if it fails anywhere, a note of the failure, so the run goes on."""
     try:
-        rows = make()
-        rows.limit(1).count()
-        return rows, ""
+        write()
+        return ""
     except Exception as e:  # noqa: BLE001  a feed's failure of any kind must not stop the others
-        return empty, f"{feed} failed: {str(e).splitlines()[0][:200]}"
+        return f"{feed} failed: {(str(e).splitlines() or [type(e).__name__])[0][:200]}"
 
 
 def keep_better(rows: DataFrame, path: str, least: int = 5) -> bool:
-    """Writes rows to a path unless they are fewer than `least` and what is there has more; says whether it wrote."""
-    spark = rows.sparkSession
-    n = rows.limit(least).count()
+    """Writes rows to a path unless they are fewer than `least` and what is there has more; says whether it wrote. What is counted is what was written."""
+    spark, place = rows.sparkSession, stage(rows, path)
+    n = spark.read.schema(rows.schema).parquet(place).count()
     if n < least and exists(spark, path) and spark.read.parquet(path).limit(n + 1).count() > n:
+        discard(spark, place)
         return False
-    rows.write.mode("overwrite").parquet(path)
+    publish(spark, place, path)
     return True
 
 
-def write_checked(rows: DataFrame, report: DataFrame, path: str) -> None:
-    """Writes rows if every check of the report passed; else raises with the failed ones and leaves what is there."""
-    failed = [r["check"] for r in report.where(~F.col("passed")).select("check").limit(20).collect()]
-    if failed:
-        raise ValueError(f"not written, checks failed: {', '.join(failed)}")
-    rows.write.mode("overwrite").parquet(path)
+def write_checked(rows: DataFrame, report: DataFrame | Callable[[DataFrame], DataFrame], path: str) -> None:
+    """Writes rows if every check of the report passed; else raises with the failed ones and leaves what is there.
+
+    A report that is a function is given the rows as they were written, before they take the path's place.
+    """
+    spark, place = rows.sparkSession, stage(rows, path)
+    try:
+        found = report(spark.read.schema(rows.schema).parquet(place)) if callable(report) else report
+        failed = [r["check"] for r in found.where(~F.col("passed")).select("check").limit(20).collect()]
+        if failed:
+            raise ValueError(f"not written, checks failed: {', '.join(failed)}")
+    except Exception:
+        discard(spark, place)
+        raise
+    publish(spark, place, path)
 
 
 def run_steps(spark: SparkSession, steps: list[tuple[str, Callable[[SparkSession], DataFrame], DataFrame]], root: str, at: datetime, allowed: int = 4) -> DataFrame:
-    """Runs feeds in order, each guarded, writes each, and reports: feed, notes, ok. More than `allowed` failures raise after all have run."""
+    """Runs feeds in order, each guarded to its last partition, and reports: feed, notes, ok. More than `allowed` failures raise after all have run.
+
+    A feed that fails, early or late, is written as its empty table with the note of the failure.
+    """
     report = []
     for feed, make, empty in steps:
-        rows, note = safely(feed, lambda make=make: make(spark), empty)
-        write_feed(rows, root, feed, feed, note, at)
+        note = safely(feed, lambda feed=feed, make=make: write_feed(make(spark), root, feed, feed, "", at))
+        if note:
+            write_feed(empty, root, feed, feed, note, at)
         report.append((feed, note, not note))
     if sum(not ok for *_, ok in report) > allowed:
         raise RuntimeError("; ".join(note for _, note, ok in report if not ok))

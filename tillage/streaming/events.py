@@ -59,19 +59,22 @@ def _newest(spark: SparkSession, root: str) -> int | None:
     return max(done, default=None)
 
 
-def upserts(root: str, keys: list[str], order: list[str], schema: str, keep: int = 0) -> Callable[[DataFrame, int], None]:
+def upserts(root: str, keys: list[str], order: list[str], schema: str, versions: int = 2) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that merges each batch into a keyed table: of a key's rows the greatest by order stays.
 
-    Every batch writes a version of its own, named by the batch, so a batch that runs again after a failure writes the same.
-    A batch of fewer than `keep` rows leaves a larger table as it is.
+    Every batch writes a version of its own, named by the batch, so a batch that runs again after a failure writes the same; a small
+    batch loses no key, as the table is merged and not replaced. The newest `versions` stay, for readers that hold one; older ones go.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         before = current(spark, root, schema)
-        if keep and batch.limit(keep).count() < keep and before.limit(keep).count() >= keep:
-            return
         take = [c for c in before.columns if c not in keys]
         latest(before.unionByName(batch.select(before.columns)), keys, [F.col(o) for o in order], take).select(before.columns).write.mode("overwrite").parquet(f"{root}/v{number:09d}")
+        p = spark._jvm.org.apache.hadoop.fs.Path(root)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        held = sorted((s.getPath() for s in fs.listStatus(p) if s.getPath().getName().startswith("v")), key=lambda x: x.getName())
+        for old in [x for x in held if x.getName() <= f"v{number:09d}"][:-versions]:
+            fs.delete(old, True)
 
     return merge
