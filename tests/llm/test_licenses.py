@@ -41,3 +41,17 @@ def test_empty_digest_and_unknown_table(spark, documents):
     out = licenses.scan(documents([(1, None), (2, "MIT")]), none).collect()
     assert {(r.license, r.line_licenses) for r in out} == {(None, None)}
     assert {r.doc_id: r.digest for r in out}[1] == spark.range(1).select(F.sha2(F.lit(""), 256)).first()[0]
+
+
+def test_spellings_are_of_whole_words(spark, documents):
+    texts = ["The licence of the programme programme, sub-licence it", "the license of the program program sublicense it", "a programmer's favourite licencee", "a programr s favorite licensee"]
+    found = [r[0] for r in documents(list(enumerate(texts))).orderBy("doc_id").select(licenses.canonical("text")).collect()]
+    assert found[0] == found[1] and found[2] == "a programmer s favourite licencee" and found[3] == "a programr s favorite licensee"
+
+
+def test_every_known_text_is_found_and_texts_of_a_folder_too(spark, documents, tmp_path):
+    (tmp_path / "Own-1.0.txt").write_text("Anyone may use it.\n\nNobody is liable, whilst they do.")
+    known = licenses.known_licenses(spark).union(licenses.licenses_of(spark, str(tmp_path)))
+    rows = [(k, f"Copyright (c) 20{k:02d} Somebody\n\n{t.lower()}") for k, (_, t) in enumerate(licenses.KNOWN)] + [(100, "ANYONE may use it. Nobody is liable, while they do")]
+    out = {r.doc_id: r.license for r in licenses.scan(documents(rows), known).collect()}
+    assert all(out[k] == name for k, (name, _) in enumerate(licenses.KNOWN)) and out[100] == "Own-1.0"
