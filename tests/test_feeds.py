@@ -422,3 +422,10 @@ def test_company_files_are_told_apart_by_name(spark, tmp_path):
     from tillage.operators import companies
 
     assert {r.primary_citation for r in companies.rollup(landing.company_documents(spark, str(tmp_path))).collect()} == {"first.org"}
+
+
+def test_whole_texts_are_one_row_a_file(spark, tmp_path):
+    for k in range(2):
+        (tmp_path / f"{k}.json").write_text('[1,\n{"a":\n2}]\n')
+    assert [r.value for r in landing.whole_text(spark, str(tmp_path)).collect()] == ['[1,\n{"a":\n2}]\n'] * 2
+    assert landing.whole_text(spark, str(tmp_path / "none")).count() == 0

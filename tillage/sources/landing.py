@@ -207,7 +207,7 @@ def whole_text(spark: SparkSession, path: str) -> DataFrame:
     """A row for each file: path, value."""
     if not exists(spark, path):
         return spark.createDataFrame([], "path string, value string")
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
 def world_bank_rows(texts: DataFrame) -> DataFrame:
