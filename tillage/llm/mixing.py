@@ -12,7 +12,7 @@ from tillage.llm.common import WORD, Scratch, free_names
 #: Fraction of the golden ratio: slot n lies at the fraction of (n + 0.5) times this.
 GOLDEN = 0.6180339887498949
 #: Slots ranked together; rows of a source laid out together.
-RUN, PILE = 1 << 16, 4096
+RUN, PILE = 4096, 4096
 #: Words of a block at least, and blocks of a mix: its blocks grow with it, so its schedule does not.
 LEAST_WORDS, SLOTS = 64, 1 << 18
 
