@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 
-from tillage.llm.lsh_forest import Forest, nearest
+from tillage.llm.lsh_forest import Bands, Forest, nearest
 
 ROWS = "vec_id long, embedding array<float>, label int, score string, rank string, block string, v string"
 
@@ -92,6 +92,34 @@ def test_trees_climb_until_so_many_different_rows_are_found():
     assert all(300 <= len(rows) < 600 for rows in Forest(x, 32, 16, 3).candidates(x[:20], 300, 3))
 
 
+def looked_at(x, queries, k=20):
+    """The share of the rows that queries look at and of their k best that they find, in one block."""
+    ids, rows, hit = np.arange(len(x)), 0, 0
+    for q, (found, _) in zip(queries, Bands(x, 64, 20, 11).search(x[queries], ids, queries, k, int(0.55 * len(x)))):
+        s = x @ x[q]
+        s[q] = -np.inf
+        rows, hit = rows + len(found), hit + len(set(found.tolist()) & set(np.argsort(-s)[:k].tolist()))
+        assert q not in found and len(set(found.tolist())) == len(found)
+    return rows / len(x) / len(queries), hit / k / len(queries)
+
+
+def test_clustered_vectors_are_found_among_few_rows():
+    draw = np.random.default_rng(4)
+    x = draw.standard_normal((200, 64))[draw.integers(0, 200, 8000)] + 0.3 * draw.standard_normal((8000, 64))
+    few, found = looked_at(x, draw.choice(8000, 50, replace=False))
+    assert few < 0.4 and found >= 0.95
+    few, found = looked_at(draw.standard_normal((8000, 64)) * np.exp(draw.standard_normal((8000, 1))), draw.choice(8000, 50, replace=False))
+    assert few < 0.4 and found >= 0.95  # short rows can't be among the best
+
+
+def test_very_large_and_very_small_components(spark):
+    rows = [(i, [float(10.0 ** (i - 20)), float(10.0 ** (20 - i))]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    big = spark.createDataFrame([(i, [x * (1e-100 if i == 20 else 1e160) for x in v]) for i, v in rows], df.schema)
+    order = lambda t: [r.vec_id for r in nearest(t, t.where("vec_id = 20"), k=5).orderBy("rank").collect()]
+    assert order(df) == order(big) == [0, 1, 39, 2, 38]  # 1 and 39 tie, as do 2 and 38
+
+
 def test_inner_product_is_not_cosine(spark):
     df = frame(spark, [(0, [1.0, 1.0]), (1, [1.0, 1.1]), (2, [10.0, 0.0])])
     assert nearest(df, df.where("vec_id = 0"), k=1).collect()[0].vec_id == 2

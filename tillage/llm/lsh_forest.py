@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +25,8 @@ class Forest:
     For inner products, vectors get one more component that makes their lengths equal; a query's is 0.
     """
 
+    START = 256
+
     def __init__(self, vectors: np.ndarray, trees: int, bits: int, seed: int):
         norms = np.einsum("ij,ij->i", vectors, vectors)
         lifted = np.column_stack([vectors, np.sqrt(np.maximum(norms.max() - norms, 0))])
@@ -47,31 +51,43 @@ class Forest:
                 begin[level, :, t], end[level, :, t] = np.searchsorted(tree, low), np.searchsorted(tree, low + (1 << rest))
         return begin, end
 
-    def candidates(self, queries: np.ndarray, matches: int, least: int) -> list[np.ndarray]:
-        """Rows for each query. Its trees start at their longest prefix match and climb level by level, tree after tree, until their ranges hold
-        `matches` different rows; a range holds all rows of its prefix, so equal vectors come together. Under `least` different rows: all rows.
+    def climbs(self, queries: np.ndarray, matches: int, least: int) -> Iterator[Iterator[np.ndarray]]:
+        """For each query, the rows that its climb finds, level by level, each row once.
+
+        Its trees start together at the longest prefixes that give START rows, and climb two levels at a time, tree after tree, until their ranges
+        hold `matches` different rows; a range holds all rows of its prefix, so equal vectors come together. Under `least` different rows: all rows.
         """
         if matches >= self.n:
-            return [np.arange(self.n)] * len(queries)
+            yield from (iter([np.arange(self.n)]) for _ in queries)
+            return
         lifted = np.column_stack([queries, np.zeros(len(queries))])
         begin, end = self._ranges(np.column_stack([self._codes(lifted, p) for p in self.planes]))
-        size = (end - begin).sum(2, dtype=np.int64)
-        found, mark = [], np.zeros(self.n, bool)
         for q in range(len(queries)):
-            mark[:] = False
-            level = np.flatnonzero(size[:, q] >= matches)[-1]  # above it there are too few rows even if none is found twice
-            if level < self.bits:
-                for order, lo, hi in zip(self.order, begin[level + 1, q].tolist(), end[level + 1, q].tolist()):
-                    mark[order[lo:hi]] = True
-            while level >= 0 and np.count_nonzero(mark) < matches:
-                for order, lo, hi in zip(self.order, begin[level, q].tolist(), end[level, q].tolist()):
-                    mark[order[lo:hi]] = True
-                    if np.count_nonzero(mark) >= matches:
-                        break
-                level -= 1
-            rows = np.flatnonzero(mark)
-            found.append(rows if len(rows) >= least else np.arange(self.n))
-        return found
+            yield self._climb(begin[:, q], end[:, q], matches, least)
+
+    def _climb(self, begin: np.ndarray, end: np.ndarray, matches: int, least: int) -> Iterator[np.ndarray]:
+        level = np.flatnonzero((end - begin).sum(1, dtype=np.int64) >= min(self.START, self.n))[-1]
+        mark, seen = np.zeros(self.n, bool), 0
+        while level >= 0 and seen < matches:
+            before, sizes = mark.copy(), end[level] - begin[level]
+            spans = [order[lo:hi] for order, lo, hi in zip(self.order, begin[level].tolist(), end[level].tolist())]
+            whole = int(np.searchsorted(np.cumsum(sizes), matches - seen))  # so many ranges can't hold too many rows
+            if whole:
+                mark[np.concatenate(spans[:whole])] = True
+            seen = np.count_nonzero(mark)
+            for span in spans[whole:]:
+                if seen >= matches:
+                    break
+                mark[span] = True
+                seen = np.count_nonzero(mark)
+            yield np.flatnonzero(mark & ~before)
+            level -= 2 if level > 2 else 1
+        if seen < least:
+            yield np.flatnonzero(~mark)
+
+    def candidates(self, queries: np.ndarray, matches: int, least: int) -> list[np.ndarray]:
+        """Rows for each query: all that a climb to `matches` rows finds."""
+        return [np.sort(np.concatenate(list(climb))) for climb in self.climbs(queries, matches, least)]
 
 
 class Bands:
@@ -95,6 +111,7 @@ class Bands:
             self.length.append(top)
             at = to
         self.forests = [Forest(vectors[r], trees, bits, seed) for r in self.rows]
+        self.small = vectors.astype(np.float32)
 
     def shares(self, matches: int) -> list[int]:
         """How many rows of each band: in all `matches`; a band's share grows with its length, up to all of its rows."""
@@ -109,21 +126,46 @@ class Bands:
             take[full], open_ = sizes[full], open_ & ~full
         return np.ceil(take).astype(int).tolist()
 
-    def candidates(self, queries: np.ndarray, matches: int, least: int) -> list[np.ndarray]:
-        """Rows for each query, at least `matches` different ones; of a band no less than `least`, or all."""
-        each = [[r[c] for c in f.candidates(queries, m, least)] for f, r, m in zip(self.forests, self.rows, self.shares(matches))]
-        return [np.concatenate(parts) for parts in zip(*each)]
+    def search(self, queries: np.ndarray, ids: np.ndarray, asked: np.ndarray, k: int, matches: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query, the rows found and their inner products in single precision; rows of the query's own id are left out.
+
+        Bands come by length downward. A band is passed over if even its longest row, in the query's direction, would not be among the k best
+        so far. In a band the climb ends with its share of `matches`, or once as many rows as had brought the k best, 4 k at least, are followed by none that
+        changes them.
+        """
+        reach = np.sqrt(np.einsum("ij,ij->i", queries, queries))
+        slack = 1e-4 * self.length[0] * reach
+        best = np.full((len(queries), k), -np.inf)
+        found = [[(np.empty(0, int), np.empty(0, np.float32))] for _ in queries]
+        for forest, rows, top, share in zip(self.forests, self.rows, self.length, self.shares(matches)):
+            open_ = np.flatnonzero(best.min(1) <= top * reach + slack)
+            for i, climb in zip(open_, forest.climbs(queries[open_], share, k + 1)):
+                asks, seen, idle = queries[i].astype(np.float32), 0, 0
+                for new in climb:
+                    new = rows[new]
+                    new = new[ids[new] != asked[i]]
+                    rough = self.small[new] @ asks
+                    found[i].append((new, rough))
+                    better = rough[rough > best[i].min()]
+                    if len(better):
+                        best[i] = np.sort(np.concatenate([best[i], better]))[-k:]
+                        seen, idle = seen + idle + len(new), 0
+                        continue
+                    idle += len(new)
+                    if idle >= max(seen, 4 * k) and np.isfinite(best[i].min()):
+                        break
+        return [tuple(np.concatenate(part) for part in zip(*parts)) for parts in found]
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 64, bits: int = 20, share: float = 0.55, extra: int = 3000, block_rows: int = 8192, query_rows: int = 4096, seed: int = 11) -> DataFrame:
     """The k rows of vectors(vec_id, embedding) with the largest inner product to each of queries(vec_id, embedding).
 
     Vectors are dealt by a hash into blocks of about block_rows, each with its own forests over all its rows, one for rows of similar length; queries in groups of
-    query_rows meet every block, climb its trees until their ranges hold share times its rows and its part of `extra` more rows, all
-    different, most of them among the long ones (see Bands), and keep the k best of the rows found; then the k best of all blocks stay. Returned: query_id, rank from 1,
-    vec_id, score (in double precision on the original vectors), ties to the smaller vec_id. With the defaults a query looks at
-    about six tenths of a block: vectors without structure in 64 dimensions, where the nearest are hardly nearer than others,
-    take so many for a recall of 0.9; clustered vectors need far fewer.
+    query_rows meet every block, climb its trees until doubling the rows brings none of the k best any more, share times the block's rows and its part of
+    `extra` more at most, all different, most of them among the long ones (see Bands), and keep the k best of the rows found; then the k best of all
+    blocks stay. Returned: query_id, rank from 1, vec_id, score (in double precision on the original vectors), ties to the smaller vec_id. Vectors
+    without structure in 64 dimensions, where the nearest are hardly nearer than others, are climbed to about six tenths of a block for a recall
+    of 0.9; clustered ones to a small part.
 
     Defined cases: vectors null, zero, or holding null or non-finite components take no part on either side, nor do null vec_ids; only
     vectors of the query's length are compared; a query's own vec_id is no candidate; rows that repeat a vec_id with other vectors are
@@ -142,21 +184,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 64
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         x, q = np.stack(left["v"].to_numpy()).astype(np.float64), np.stack(right["v"].to_numpy()).astype(np.float64)
         ids, asks = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
-        forest, scale = Bands(x, trees, bits, seed), np.sqrt(np.einsum("ij,ij->i", x, x).max())
-        small, out = x.astype(np.float32), []
+        # Searched in units of the largest component, so that no square overflows.
+        unit = np.abs(x).max()
+        forest, asking, out = Bands(x / unit, trees, bits, seed), q / np.abs(q).max(axis=1, keepdims=True), []
         for lo in range(0, len(q), 256):
-            part = q[lo : lo + 256]
-            for i, rows in enumerate(forest.candidates(part, int(share * len(x) + extra / blocks), k + 1)):
-                rows = rows[ids[rows] != asks[lo + i]]
-                rough = small[rows] @ part[i].astype(np.float32)
+            part = slice(lo, lo + 256)
+            for i, (rows, rough) in enumerate(forest.search(asking[part], ids, asks[part], k, int(share * len(x) + extra / blocks)), lo):
                 take = min(k, len(rows))
                 if not take:
                     continue
                 edge = np.partition(rough, len(rough) - take)[len(rough) - take]
-                near = rows[~(rough < edge - 1e-4 * max(1.0, scale * np.sqrt(part[i] @ part[i])))]
-                exact = (x[near] * part[i]).sum(axis=1)
+                near = rows[rough >= edge - 1e-4 * forest.length[0] * np.sqrt(asking[i] @ asking[i])]
+                exact = (x[near] * q[i]).sum(axis=1)
                 best = np.lexsort((ids[near], -exact))[:take]
-                out.append((np.full(len(best), asks[lo + i]), ids[near][best], exact[best]))
+                out.append((np.full(len(best), asks[i]), ids[near][best], exact[best]))
         if not out:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         a, b, c = (np.concatenate(z) for z in zip(*out))
