@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,21 +50,27 @@ def _doubled(text: str) -> str:
     return f" {text.replace(' ', '  ')} "
 
 
-def _spelled(words: Column) -> Column:
-    """Equivalent spellings become one; blanks stand doubled meanwhile, so that each word has its own on either side."""
-    words = F.concat(F.lit(" "), F.replace(words, F.lit(" "), F.lit("  ")), F.lit(" "))
-    for right, other in SPELLINGS:
+def _replaced(words: Column, pairs: Iterable[tuple[str, str]]) -> Column:
+    """Equivalent spellings become one; blanks stand doubled meanwhile and line ends apart, so that each word has its own on either side."""
+    words = F.concat(F.lit(" "), F.replace(F.replace(words, F.lit(" "), F.lit("  ")), F.lit("\n"), F.lit(" \n ")), F.lit(" "))
+    for right, other in pairs:
         words = F.replace(words, F.lit(_doubled(other)), F.lit(_doubled(right)))
-    return F.trim(F.replace(words, F.lit("  "), F.lit(" ")))
+    return F.replace(words, F.lit("  "), F.lit(" "))
+
+
+def _spelled(stripped: Column) -> Column:
+    """Lines with equivalent spellings made one in each."""
+    return _replaced(stripped, SPELLINGS)
 
 
-def _flat(stripped: Column) -> Column:
-    return _spelled(F.trim(F.regexp_replace(stripped, r"[ \n]+", " ")))
+def _flat(spelled: Column) -> Column:
+    """Spelled lines as one; only spellings of several words may still stand across two of them."""
+    return F.trim(_replaced(F.trim(F.regexp_replace(spelled, r"[ \n]+", " ")), [pair for pair in SPELLINGS if " " in pair[1]]))
 
 
 def canonical(text: str | Column) -> Column:
     """Lines that state a copyright go; lower case; all but letters and digits becomes one space; equivalent spellings become one."""
-    return _flat(_stripped(text))
+    return _flat(_spelled(_stripped(text)))
 
 
 def digests(known: DataFrame) -> DataFrame:
@@ -92,8 +100,8 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "licenses")
     lines = F.transform(F.split("plain", "\n"), lambda x: F.trim(x))
-    keys = F.array_distinct(F.transform(F.filter(lines, lambda x: x != ""), lambda x: F.xxhash64(_spelled(x))))
-    rows = docs.select("doc_id", _stripped("text").alias("plain")).select("doc_id", F.sha2(_flat(F.col("plain")), 256).alias("digest"), keys.alias("keys"))
+    keys = F.array_distinct(F.transform(F.filter(lines, lambda x: x != ""), lambda x: F.xxhash64(x)))
+    rows = docs.select("doc_id", _spelled(_stripped("text")).alias("plain")).select("doc_id", F.sha2(_flat(F.col("plain")), 256).alias("digest"), keys.alias("keys"))
     rows = scratch.save(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
     stated = known.where(canonical("text") != "").select(F.xxhash64(canonical("text")).alias("key"), "license").distinct()
     stated = rows.select("row", F.explode("keys").alias("key")).join(stated, "key").groupBy("row").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("line_licenses"))
