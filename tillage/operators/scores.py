@@ -85,8 +85,10 @@ def percentiles(profiles: DataFrame, peers: int = 3) -> DataFrame:
     Scores are grouped first; each score's peers stand in its own group and in the `peers` groups before and after, of which
     the first few isos are enough. No pairs of countries are made, and the windows are over one row a score.
     """
-    first = F.slice(F.array_sort(F.collect_list("iso")), 1, peers + 1)
-    groups = profiles.groupBy("fdrs").agg(F.count("*").alias("m"), F.transform(first, lambda i: F.struct(F.col("fdrs").alias("at"), i.alias("peer"))).alias("firsts"))
+    place = F.row_number().over(Window.partitionBy("fdrs").orderBy("iso"))
+    few = profiles.where("iso is not null").select("fdrs", "iso", place.alias("place")).where(F.col("place") <= peers + 1)
+    firsts = few.groupBy(F.col("fdrs").alias("at")).agg(F.sort_array(F.collect_list(F.struct(F.col("fdrs").alias("at"), F.col("iso").alias("peer")))).alias("firsts"))
+    groups = profiles.groupBy("fdrs").agg(F.count("*").alias("m")).join(firsts, F.col("fdrs").eqNullSafe(F.col("at")), "left").drop("at")
     steps, every = Window.orderBy("fdrs"), Window.partitionBy()
     below = F.coalesce(F.sum("m").over(steps.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     around = [f("firsts", k).over(steps) for f in (F.lag, F.lead) for k in range(1, peers + 1)]
