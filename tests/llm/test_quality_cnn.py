@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tillage.llm import quality_cnn as q
@@ -85,6 +86,19 @@ def test_scores_do_not_depend_on_the_batch():
     assert list(q.scores(net, given[::-1])) == alone[::-1]
 
 
+@pytest.mark.parametrize("scale", [0.01, 1, 30, 500])
+def test_sums_under_filters_are_exact(scale):
+    net = q.new_net(8, np.random.default_rng(10))
+    net.filters *= np.float32(scale)
+    net = q.rounded(net)
+    chunks, _ = q.chunked(["".join(random.Random(11).choice("abc \xe9") for _ in range(4000))])
+    w = q.windows(net, chunks).reshape(-1, q.WIDTH * q.CHANNELS)
+    want = w.astype(np.float64) @ net.filters.astype(np.float64)
+    for order in (np.arange(w.shape[1]), np.arange(w.shape[1])[::-1], np.random.default_rng(12).permutation(w.shape[1])):
+        assert (np.cumsum(w[:500, order, None] * net.filters[order], axis=1, dtype=np.float32)[:, -1] == want[:500]).all()
+        assert (w[:, order] @ net.filters[order] == want).all()
+
+
 def plain_logit(net, text):
     """One window, one filter at a time."""
     data = text.encode()

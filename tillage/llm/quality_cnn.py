@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 #: Bytes of a chunk and what neighbours share; bytes under a filter, its step; channels of a byte, the last of which says "repeats".
 CHUNK, SHARED, WIDTH, STEP, CHANNELS, LAGS = 512, 32, 16, 4, 8, 32
 POSITIONS = (CHUNK - WIDTH) // STEP + 1
-#: Chunks that are multiplied at once; always so many, so that a chunk's values never depend on its company.
+#: Chunks that are multiplied at once.
 TILE = 64
+#: Whole numbers up to this are exact in single precision; weights are rounded to 2 ** -FINEST or coarser.
+EXACT, FINEST = 1 << 24, 12
 SCORES = "doc_id string, held_out boolean, score double, predicted int"
 
 
@@ -65,10 +67,8 @@ def pooled(net: Net, chunks: np.ndarray, keep: bool = False) -> tuple[np.ndarray
     """Each chunk's maxima of all filters, and where they stand."""
     tops, where = [], []
     for lo in range(0, len(chunks), TILE):
-        n = min(TILE, len(chunks) - lo)
-        tile = chunks[lo : lo + n] if n == TILE else np.concatenate([chunks[lo:], np.zeros((TILE - n, CHUNK), np.uint8)])
-        w = windows(net, tile)
-        y = (w.reshape(-1, WIDTH * CHANNELS) @ net.filters).reshape(TILE, POSITIONS, -1)[:n]
+        w = windows(net, chunks[lo : lo + TILE])
+        y = (w.reshape(-1, WIDTH * CHANNELS) @ net.filters).reshape(len(w), POSITIONS, -1)
         tops.append(y.max(1))
         if keep:
             where.append(y.argmax(1))
@@ -158,7 +158,21 @@ def train(texts: list[str], labels: np.ndarray, prior: float, filters: int = 32,
                 v += 0.01 * (g * g - v)
                 setattr(net, k, getattr(net, k) - (lr * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)).astype(np.float32))
     net.base = net.base + np.float32(np.log(prior / (1 - prior)))
-    return net
+    return rounded(net)
+
+
+def rounded(net: Net) -> Net:
+    """The net with weights so coarse that no sum under a filter is rounded in single precision.
+
+    Such sums are the same in any order, so a text's score depends neither on its batch nor on how a machine multiplies matrices. Embedding
+    and filters become multiples of 2 ** -bits, with as many bits as leave the largest possible sum, in units of 4 ** -bits, within EXACT.
+    """
+    for bits in range(FINEST, -1, -1):
+        embed, filters = (np.round(x * np.float32(2**bits)) / np.float32(2**bits) for x in (net.embed, net.filters))
+        widest = np.tile(np.append(np.abs(embed).max(0), 1).astype(np.float64), WIDTH)  # of what can stand under each place of a filter
+        if (widest @ np.abs(filters)).max() * 4**bits <= EXACT:
+            break
+    return replace(net, embed=embed, filters=filters)
 
 
 def held_out() -> F.Column:
