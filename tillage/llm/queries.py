@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillage.llm import compaction, decontam, licenses, lsh_forest, minhash, mixing, quality_cnn, secrets, sstable, urlfilter
+from tillage.llm import compaction, decontam, exact_dedup, licenses, lsh_forest, minhash, mixing, quality_cnn, secrets, sstable, urlfilter
 from tillage.llm.common import Scratch, table
 
 
@@ -51,7 +51,14 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_sstable, op3_lsh_forest, op4_quality_cnn, op5_mixing, op6_secrets, op7_decontamination, op8_compaction, op9_url_filter, op10_licenses)}
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.owners(table(spark, sf_dir, "documents"), keep="largest")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_minhash, op2_sstable, op3_lsh_forest, op4_quality_cnn, op5_mixing, op6_secrets, op7_decontamination, op8_compaction, op9_url_filter, op10_licenses, op12_exact_dedup)
+}
 
 #: op1's rows: all pairs of documents that share a shingle, counted, then components by recursion.
 _OP1 = r"""
@@ -73,4 +80,5 @@ ORACLES = {
     "op7_decontamination": decontam.ORACLE,
     "op8_compaction": "SELECT doc_id, md5(text) AS text_md5, lang, source, n_chars FROM documents",
     "op10_licenses": licenses.oracle(),
+    "op12_exact_dedup": exact_dedup.ORACLE,
 }
