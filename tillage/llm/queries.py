@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillage.llm import compaction, decontam, exact_dedup, licenses, lsh_forest, minhash, mixing, quality_cnn, secrets, sstable, urlfilter
+from tillage.llm import compaction, decontam, divergence, dual_tree, exact_dedup, licenses, lsh_forest, minhash, mixing, quality_cnn, secrets, sstable, urlfilter
 from tillage.llm.common import Scratch, table
 
 
@@ -51,13 +51,21 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.owners(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op13_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.clusters(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_minhash, op2_sstable, op3_lsh_forest, op4_quality_cnn, op5_mixing, op6_secrets, op7_decontamination, op8_compaction, op9_url_filter, op10_licenses, op12_exact_dedup)
+    for f in (op1_minhash, op2_sstable, op3_lsh_forest, op4_quality_cnn, op5_mixing, op6_secrets, op7_decontamination, op8_compaction, op9_url_filter, op10_licenses, op11_divergence, op12_exact_dedup, op13_dual_tree)
 }
 
 #: op1's rows: all pairs of documents that share a shingle, counted, then components by recursion.
@@ -80,5 +88,7 @@ ORACLES = {
     "op7_decontamination": decontam.ORACLE,
     "op8_compaction": "SELECT doc_id, md5(text) AS text_md5, lang, source, n_chars FROM documents",
     "op10_licenses": licenses.oracle(),
+    "op11_divergence": divergence.ORACLE,
     "op12_exact_dedup": exact_dedup.ORACLE,
+    "op13_dual_tree": dual_tree.oracle(),
 }
