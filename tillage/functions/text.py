@@ -58,3 +58,8 @@ def header_key(x: Column | str) -> Column:
 def trimmed_parts(x: Column | str, separator: str) -> Column:
     """Split at a plain separator, each part trimmed."""
     return F.transform(F.split(_col(x), "\\Q" + separator + "\\E"), lambda p: F.trim(p))
+
+
+def in_language(x: Column | str, language: str = "UNICODE") -> Column:
+    """A text that compares as people sort it: letters first, then accents, then small before capital; UNICODE or a language such as de or sv, with _CI or _AI to ignore case or accents."""
+    return F.collate(_col(x), language)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tillage.functions.bands import risk_colour, risk_label
 from tillage.functions.numeric import clamp, or_zero, round_half_up
+from tillage.functions.text import in_language
 from tillage.operators.reshape import weighted
 
 #: Weights of the six stored components, and of the seven of the later score.
@@ -68,8 +69,8 @@ def stats(profiles: DataFrame) -> DataFrame:
 
 
 def ranking(profiles: DataFrame) -> DataFrame:
-    """rank, iso, name, fdrs, label, colour by score downward, then name. The window is over one row a country."""
-    rank = F.row_number().over(Window.orderBy(F.desc("fdrs"), "name")).cast("long")
+    """rank, iso, name, fdrs, label, colour by score downward, then name as people sort it. The window is over one row a country."""
+    rank = F.row_number().over(Window.orderBy(F.desc("fdrs"), in_language("name"), "name")).cast("long")
     return profiles.select(rank.alias("rank"), "iso", "name", "fdrs", risk_label("fdrs").alias("label"), risk_colour("fdrs").alias("colour"))
 
 

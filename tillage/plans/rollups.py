@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tillage.functions.bands import RISK, risk_colour, risk_label
 from tillage.functions.numeric import known, money, percent_of, round_half_up
-from tillage.functions.text import url_host
+from tillage.functions.text import in_language, url_host
 from tillage.operators import scores, shares
+from tillage.operators.ordering import numbered
 from tillage.plans.registry import Tables, query, rounded, summed
 from tillage.plans.views import PROFILES, PURCHASES, profiles, purchases
 
@@ -137,13 +138,22 @@ def q_threshold_rank(t: Tables) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("total"), "user_id")).cast("long"))
 
 
-@query("""SELECT n_name, r_name, n_nationkey % 5 = 4 AS is_state, row_number() OVER (ORDER BY n_nationkey % 5 = 4, n_name) AS ord FROM nation JOIN region ON r_regionkey = n_regionkey""")
+@query("""SELECT n_name, r_name, n_nationkey % 5 = 4 AS is_state, row_number() OVER (ORDER BY n_nationkey % 5 = 4, n_name COLLATE en, n_name) AS ord FROM nation JOIN region ON r_regionkey = n_regionkey""")
 def q_name_sort(t: Tables) -> DataFrame:
-    """Countries before states, each by name; numbered over one row a nation."""
+    """Countries before states, each by name as people sort it; numbered over one row a nation."""
     from pyspark.sql import Window
 
     rows = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name", (F.col("n_nationkey") % 5 == 4).alias("is_state"))
-    return rows.withColumn("ord", F.row_number().over(Window.orderBy("is_state", "n_name")).cast("long"))
+    return rows.withColumn("ord", F.row_number().over(Window.orderBy("is_state", in_language("n_name"), "n_name")).cast("long"))
+
+
+@query("""WITH w AS (SELECT coalesce(lang, '') AS lang, unnest(regexp_extract_all(coalesce(text, ''), '\\p{L}+')) AS word FROM documents), c AS (SELECT lang, word, count(*) AS n FROM w GROUP BY ALL)
+SELECT lang, word, n, row_number() OVER (PARTITION BY lang ORDER BY word COLLATE en, word) AS ord FROM c""")
+def q_word_sort(t: Tables) -> DataFrame:
+    """The words of each language's documents in the order of a dictionary: accents and capitals tell only words apart that are spelled alike."""
+    word = F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\p{L}+"), F.lit(0))).alias("word")
+    words = t.documents.select(F.coalesce("lang", F.lit("")).alias("lang"), word).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    return numbered(words, [F.col("lang"), in_language("word"), F.col("word")], within=["lang"])
 
 
 @query(f"""WITH g AS (SELECT l_suppkey, {summed('l_extendedprice')} AS total, {summed("CASE WHEN p_type = 'ECONOMY' THEN l_extendedprice END")} AS e, {summed("CASE WHEN p_type = 'PROMO' THEN l_extendedprice END")} AS p,

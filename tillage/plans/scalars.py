@@ -12,6 +12,7 @@ from tillage.functions.text import first_link, severity, url_host
 from tillage.operators.reshape import mean_of
 from tillage.plans.registry import Tables, query, rounded
 from tillage.plans.rollups import SCORED, scored
+from tillage.sources import landing
 
 
 @query("SELECT n_nationkey, 'US-' || substr(n_name, 8) AS key FROM nation")
@@ -62,6 +63,26 @@ def q_json_props(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.from_json("props", "k bigint").getField("k").alias("k"))
 
 
+@query("""SELECT event_id, unnest(json_keys(props)) AS key, json_extract_string(props, '$.' || unnest(json_keys(props))) AS field FROM events WHERE json_type(props) = 'OBJECT'""")
+def q_json_fields(t: Tables) -> DataFrame:
+    """Every field of a JSON text, parsed once into a variant."""
+    return landing.fields(t.events.select("event_id", "props"), "props").select("event_id", "key", F.try_variant_get("field", "$", "string").alias("field"))
+
+
+@query(f"""WITH y AS (SELECT o_custkey, year(o_orderdate) AS year, round(o_totalprice / 100) AS v FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, year ORDER BY o_orderkey) = 1),
+m AS (SELECT o_custkey, CASE WHEN o_custkey % 5 = 4 THEN arg_max(v, year) ELSE CAST(sum(CAST(v AS DECIMAL(20,0))) AS DOUBLE) / count(*) END AS mean FROM y GROUP BY o_custkey)
+SELECT o_custkey, {rounded('mean', 3)} AS mean FROM m""")
+def q_json_shapes(t: Tables) -> DataFrame:
+    """Means over years of documents in five shapes, made of each customer's first order of every year: by year, by key and year, wrapped, records, and one value (the last)."""
+    first = F.min_by(F.floor(F.col("o_totalprice") / 100 + 0.5).cast("double"), "o_orderkey").alias("v")
+    years = t.orders.groupBy("o_custkey", F.year("o_orderdate").alias("year")).agg(first)
+    listed = F.sort_array(F.collect_list(F.struct(F.col("year").cast("string").alias("k"), "v")))
+    docs = years.groupBy("o_custkey").agg(F.map_from_entries(listed).alias("m"), F.transform(listed, lambda e: F.struct(e["k"].alias("year"), e["v"].alias("value"))).alias("r"), F.max_by("v", "year").alias("v"))
+    shapes = [F.to_json("m"), F.to_json(F.create_map(F.lit("ABC"), F.col("m"))), F.to_json(F.struct(F.create_map(F.lit("ABC"), F.col("m")).alias("data"))), F.to_json(F.struct(F.col("r").alias("data"))), F.to_json(F.struct(F.col("v").alias("value")))]
+    value = F.element_at(F.array(*shapes), F.pmod("o_custkey", F.lit(5)).cast("int") + 1)
+    return landing.year_mean(docs.select("o_custkey", value.alias("value"))).select("o_custkey", round_half_up("mean", 3).alias("mean"))
+
+
 @query("SELECT o_orderkey, " + "CASE " + " ".join(f"WHEN substr(o_orderpriority, 1, 1) = '{6 - k}' THEN '{v}'" for k, v in PHASES.items()) + " END AS phase FROM orders")
 def q_phase_label(t: Tables) -> DataFrame:
     """Priorities as phases, the most urgent the highest, by name."""

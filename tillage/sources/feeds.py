@@ -78,12 +78,12 @@ def codes(spark, pairs: dict) -> DataFrame:
 
 def hungermap(texts: DataFrame) -> DataFrame:
     """iso3, fcs_pct, fcs_people_total, ipc_phase3plus_pct, undernourishment_pct, alerts, country of a map document of any known shape."""
-    get = lambda p: F.get_json_object("props", f"$.{p}")
-    rows = feature_properties(texts).select(country_key(F.coalesce(F.nullif(get("iso3"), F.lit("")), get("adm0_code"))).alias("iso3"), "props").where("iso3 is not null")
+    get = lambda p, kind="string": F.try_variant_get("props", f"$.{p}", kind)
+    rows = feature_properties(texts).select(country_key(F.coalesce("key", F.nullif(get("iso3"), F.lit("")), get("adm0_code"))).alias("iso3"), "props").where("iso3 is not null")
     return rows.select(
         "iso3", round_half_up(get("fcs").try_cast("double") * 100, 2).alias("fcs_pct"), integer(get("fcs_people_total")).alias("fcs_people_total"),
         round_half_up(first_truthy(number(get("ipcPopulation")), number(get("ipc_phase3plus"))), 2).alias("ipc_phase3plus_pct"), round_half_up(number(get("undernourishment")), 2).alias("undernourishment_pct"),
-        F.coalesce(F.from_json(get("alerts"), "map<string,string>"), F.create_map().cast("map<string,string>")).alias("alerts"), F.coalesce(get("adm0_name"), get("name")).alias("country"),
+        F.coalesce(get("alerts", "map<string,string>"), F.create_map().cast("map<string,string>")).alias("alerts"), F.coalesce(get("adm0_name"), get("name")).alias("country"),
     )
 
 

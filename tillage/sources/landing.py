@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillage.functions.parse import country_key
@@ -228,38 +228,53 @@ def json_stat_cells(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return cells, rows, doc.select(F.explode("d.dimension.time.category.index").alias("col", "col_pos"))
 
 
+def _is(kind: str, v: Column | str) -> Column:
+    """Whether a variant is of a kind, by its own type: ARRAY, OBJECT, STRING; false for none."""
+    return F.coalesce(F.schema_of_variant(v).startswith(kind), F.lit(False))
+
+
 def feature_properties(texts: DataFrame) -> DataFrame:
-    """props: the properties of each feature, as JSON text, whichever way they are wrapped.
+    """key, props: the properties of each feature, as a variant, whichever way they are wrapped; each text is parsed once.
 
-    A list of features stands under body.features, features or at the top; or the document is a map by iso3, which then becomes
-    a property. Properties may be an object, a text that holds one, or the feature itself.
+    A list of features stands under body.features, features or at the top; or the document is a map by iso3, which is the key then (else null).
+    Properties may be an object, a text that holds one, or the feature itself. What is no object goes.
     """
-    path = lambda p: F.get_json_object("value", p)
-    listed = F.coalesce(F.from_json(path("$.body.features"), "array<string>"), F.from_json(path("$.features"), "array<string>"), F.when(F.ltrim("value").startswith("["), F.from_json("value", "array<string>")))
-    by_key = F.from_json("value", "map<string,string>")
-    some = F.filter(listed, lambda x: x.isNotNull())
-    lists = texts.withColumn("list", some)
-    flat = lists.where("size(list) > 0").select(F.explode("list").alias("f"))
-    props = F.coalesce(F.get_json_object("f", "$.properties"), F.col("f"))
-    maps = lists.where("coalesce(size(list), 0) <= 0 and ltrim(value) not like '[%'").select(F.explode(by_key).alias("k", "v")).where(country_key("k").isNotNull() & F.col("v").startswith("{"))
-    keyed = F.concat(F.lit('{"iso3":"'), F.col("k"), F.lit('",'), F.expr("substring(ltrim(v), 2)"))
-    return flat.select(props.alias("props")).union(maps.select(keyed.alias("props"))).where("props like '{%'")
+    at = F.try_variant_get
+    doc = texts.select(F.try_parse_json("value").alias("doc")).where("doc is not null")
+    doc = doc.withColumn("list", F.filter(F.coalesce(*(at("doc", p, "array<variant>") for p in ("$.body.features", "$.features", "$"))), lambda x: x.isNotNull() & ~F.is_variant_null(x)))
+    flat = doc.where("size(list) > 0").select(F.lit(None).cast("string").alias("key"), F.explode("list").alias("f"))
+    own = at("f", "$.properties", "variant")
+    flat = flat.select("key", F.when(own.isNull() | F.is_variant_null(own), F.col("f")).otherwise(own).alias("props"))
+    flat = flat.select("key", F.when(_is("STRING", "props"), F.try_parse_json(at("props", "$", "string"))).otherwise(F.col("props")).alias("props"))
+    maps = doc.where("coalesce(size(list), 0) <= 0").select(F.explode(at("doc", "$", "map<string,variant>")).alias("key", "props")).where(country_key("key").isNotNull())
+    return flat.union(maps).where(_is("OBJECT", "props"))
 
 
 def year_mean(texts: DataFrame, value: str = "value") -> DataFrame:
-    """texts with mean: the mean over years of a response in any of five shapes: years to values, by country, wrapped in data, records, one value."""
-    inner = F.coalesce(F.get_json_object(value, "$.data"), F.col(value))
-    records = F.from_json(inner, "array<struct<value:double, val:double, mean:double>>")
-    many = F.transform(records, lambda r: F.coalesce(r["value"], r["val"], r["mean"]))
-    flat = F.from_json(inner, "map<string,string>")
-    only = F.when(F.size(flat) == 1, F.map_values(flat)[0])
-    nested = F.when(only.startswith("{"), F.from_json(only, "map<string,string>"))
-    years = F.coalesce(nested, flat)
-    listed = F.transform(F.filter(F.map_entries(years), lambda e: e["key"].rlike(r"^\d{4}")), lambda e: e["value"].try_cast("double"))
-    single = F.coalesce(F.try_element_at(years, F.lit("value")).try_cast("double"), F.when(~only.startswith("{"), only.try_cast("double")))
-    known = F.filter(F.when(F.ltrim(inner).startswith("["), many).otherwise(listed), lambda x: x.isNotNull())
+    """texts with mean: the mean over years of a response in any of five shapes: years to values, by country, wrapped in data, records, one value.
+
+    The text is parsed once; each shape is a path of what came of it.
+    """
+    at = F.try_variant_get
+    number = lambda v: at(v, "$", "string").try_cast("double")
+    parsed = texts.withColumn("doc__", F.try_parse_json(value)).withColumn("data__", at("doc__", "$.data", "variant"))
+    parsed = parsed.withColumn("in__", F.when(F.col("data__").isNull() | F.is_variant_null("data__"), F.col("doc__")).otherwise(F.col("data__")))
+    parsed = parsed.withColumns({"list__": at("in__", "$", "array<variant>"), "map__": at("in__", "$", "map<string,variant>")})
+    parsed = parsed.withColumn("only__", F.when(F.size("map__") == 1, F.map_values("map__")[0]))
+    parsed = parsed.withColumn("years__", F.coalesce(at("only__", "$", "map<string,variant>"), F.col("map__")))
+    records = F.transform("list__", lambda r: F.coalesce(*(at(r, f"$.{k}", "string").try_cast("double") for k in ("value", "val", "mean"))))
+    listed = F.transform(F.filter(F.map_entries("years__"), lambda e: e["key"].rlike(r"^\d{4}")), lambda e: number(e["value"]))
+    single = F.coalesce(number(F.try_element_at("years__", F.lit("value"))), number(F.col("only__")))
+    known = F.filter(F.coalesce(records, listed), lambda x: x.isNotNull())
     mean = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known))
-    return texts.withColumn("mean", F.coalesce(F.when(~F.ltrim(inner).startswith("["), single), mean))
+    out = parsed.withColumn("mean", F.coalesce(F.when(F.col("list__").isNull(), single), mean))
+    return out.drop("doc__", "data__", "in__", "list__", "map__", "only__", "years__")
+
+
+def fields(texts: DataFrame, value: str = "value", name: str = "key", out: str = "field") -> DataFrame:
+    """texts with a row for each field of a JSON object: its name and its value as a variant; texts that hold no object give no row."""
+    doc = texts.withColumn("doc__", F.try_parse_json(value))
+    return doc.where(_is("OBJECT", "doc__")).select(*texts.columns, F.explode(F.try_variant_get("doc__", "$", "map<string,variant>")).alias(name, out))
 
 
 _JS = re.compile(r"""(?P<text>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|`(?:[^`\\]|\\.)*`)|(?P<skip>//[^\n]*|/\*.*?\*/|\s+)|(?P<name>[A-Za-z_$][\w$]*)|(?P<number>-?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)|(?P<mark>.)""", re.DOTALL)

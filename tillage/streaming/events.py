@@ -1,16 +1,13 @@
-"""Events as a stream: daily counts with late data, rolling scores from them, and a keyed table kept up to date."""
+"""Events as a stream: daily counts with late data, and scores over windows that slide."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import StructType
 
 from tillage.functions.numeric import clamp, money, round_half_up
-from tillage.operators.latest import latest
-from tillage.sources.landing import exists
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -20,6 +17,14 @@ def event_stream(spark: SparkSession, folder: str, files_per_batch: int = 64) ->
     return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "*.parquet").parquet(folder)
 
 
+def table_stream(spark: SparkSession, folder: str, table: str, schema: StructType | str, files_per_batch: int = 64) -> DataFrame:
+    """A Parquet table of a folder of tables, one file or a folder of files, as a stream of its files, the oldest first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{table}.parquet")
+    single = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isFile()
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    return reader.option("pathGlobFilter", f"{table}.parquet").parquet(folder) if single else reader.option("pathGlobFilter", "*.parquet").parquet(path.toString())
+
+
 def daily_counts(events: DataFrame, late: str = "1 hour", keys: tuple[str, ...] = ("user_id", "event_type")) -> DataFrame:
     """day, the keys, n, total: a row per day that is over; events that come again within the watermark count once, later ones are dropped.
 
@@ -38,43 +43,29 @@ def rolling_intensity(days: DataFrame, today: Column, kind: str = "error", basel
     return out.withColumn("intensity_score", clamp(round_half_up(F.col("events_last_30d") / baseline * 100.0, 1), high=100.0))
 
 
-def append_available(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Appends what is there now to a Parquet folder and ends; run on a schedule, each run takes up where the last one ended."""
-    return rows.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).outputMode("append").format("parquet").start(path)
-
-
-def current(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """The newest version of a table that upserts() keeps; empty before the first."""
-    n = _newest(spark, root)
-    return spark.createDataFrame([], schema) if n is None else spark.read.schema(schema).parquet(f"{root}/v{n:09d}")
-
+def sliding_intensity(events: DataFrame, kind: str = "error", short: int = 10, long: int = 25, baseline: float = 20.0, late: str = "1 hour") -> DataFrame:
+    """as_of, user_id, events_short, events_long, value_short, intensity_score: what a user had in the short and long stretch before each midnight that is over.
 
-def _newest(spark: SparkSession, root: str) -> int | None:
-    if not exists(spark, root):
-        return None
-    p = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(p)]
-    done = [int(n[1:]) for n in names if n.startswith("v") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/_SUCCESS"))]
-    return max(done, default=None)
+    Two states that watermarks bound, one upon the other: events come once and are counted by day, and a day goes into the `long` windows that hold it when it is over,
+    so no event does. A window comes out when its last day is over; midnights with nothing in the long stretch before give no row.
+    """
+    once = events.where(F.col("event_type") == kind).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    days = once.groupBy(F.window("ts", "1 day").alias("day"), "user_id").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(12,2)")).alias("v"))
+    placed = days.select("user_id", "n", "v", F.window_time("day").alias("at")).select("user_id", "n", "v", "at", F.window("at", f"{long} days", "1 day").alias("w"))
+    near = F.col("at") >= F.col("w.end") - F.expr(f"interval {short} days")
+    sums = {"events_short": F.sum(F.when(near, F.col("n")).otherwise(0)), "events_long": F.sum("n"), "value_short": F.coalesce(F.sum(F.when(near, F.col("v"))).cast("double"), F.lit(0.0))}
+    out = placed.groupBy("w", "user_id").agg(*(c.alias(name) for name, c in sums.items()))
+    out = out.select(F.col("w.end").cast("date").alias("as_of"), "user_id", *sums)
+    return out.withColumn("intensity_score", clamp(round_half_up(F.col("events_short") / baseline * 100.0, 1), high=100.0))
 
 
-def upserts(root: str, keys: list[str], order: list[str], schema: str, versions: int = 2) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that merges each batch into a keyed table: of a key's rows the greatest by order stays.
+def append_available(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Appends what is there now to a Parquet folder and ends; run on a schedule, each run takes up where the last one ended."""
+    return rows.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).outputMode("append").format("parquet").start(path)
 
-    Every batch writes a version of its own, named by the batch, so a batch that runs again after a failure writes the same; a small
-    batch loses no key, as the table is merged and not replaced. The newest `versions` stay, for readers that hold one; older ones go.
-    """
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = current(spark, root, schema)
-        take = [c for c in before.columns if c not in keys]
-        latest(before.unionByName(batch.select(before.columns)), keys, [F.col(o) for o in order], take).select(before.columns).write.mode("overwrite").parquet(f"{root}/v{number:09d}")
-        p = spark._jvm.org.apache.hadoop.fs.Path(root)
-        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        held = sorted((s.getPath() for s in fs.listStatus(p) if s.getPath().getName().startswith("v")), key=lambda x: x.getName())
-        for old in [x for x in held if x.getName() <= f"v{number:09d}"][:-versions]:
-            fs.delete(old, True)
-
-    return merge
+def finished(rows: DataFrame, folder: str) -> DataFrame:
+    """All that a stream gives of what is there now, written to a folder and read from it."""
+    spark = rows.sparkSession
+    append_available(rows, f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{folder}/rows")
