@@ -9,20 +9,25 @@ from operator import itemgetter
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import zstandard
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillage.llm.common import Scratch, Split, tasks
+from tillage.llm.common import Scratch, tasks
 
 #: A term is a run of letters A to Z and of characters beyond ASCII; A-Z are lower-cased, and all else becomes a space.
 _LETTERS = bytes(b if b >= 0x80 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
-#: Bytes of text in a block, and in a task before its blocks are closed; sources of a block that meets others; postings of a meeting, about.
-BLOCK, OPEN, SOURCES, POSTINGS = 4 << 20, 12 << 20, 256, 400_000
+#: Bytes of text in a block, and in a task before its blocks are closed; distinct terms of a block; sources of a block that meets others; postings of a meeting, about.
+BLOCK, OPEN, TERMS, SOURCES, POSTINGS = 8 << 20, 16 << 20, 400_000, 256, 400_000
+#: The terms of most blocks, at most so many of at most so many bytes, go to all tasks; the others go to the blocks that have them.
+COMMON, LONGEST = 100_000, 256
+#: Counts that a task gathers before they go out.
+GATHERED = 3_000_000
 ONE = 1_000_000_000
-#: Kinds of rows of the first pass: text of a source, and a term with how many documents have it here for the first time.
+#: Kinds of rows of the first pass: text of a source (compressed; n is its length), and a term with how many documents (n) have it here for the first time.
 TEXT, TERM = 0, 1
-_FIRST = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("lang", pa.string()), ("source", pa.string()), ("data", pa.binary()), ("n_docs", pa.int64())])
+_FIRST = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("lang", pa.string()), ("source", pa.string()), ("text", pa.binary()), ("term", pa.binary()), ("n", pa.int64())])
 _SECOND = pa.schema([("lang", pa.string()), ("source", pa.string()), ("number", pa.int64()), ("count", pa.int64())])
 
 
@@ -38,39 +43,37 @@ def pieces(text: bytes, size: int) -> Iterator[bytes]:
     yield text[at:]
 
 
+def _rows(schema: pa.Schema, rows: int, /, **columns) -> pa.RecordBatch:
+    """So many rows; what is no list or array stands in each, and columns that aren't given are null."""
+    full = lambda f: columns.get(f.name) if isinstance(columns.get(f.name), (list, np.ndarray)) else [columns.get(f.name)] * rows
+    return pa.RecordBatch.from_arrays([pa.array(full(f), f.type) for f in schema], schema=schema)
+
+
 class _Block:
     """Documents of one language: their texts by source, and for each term the documents that are counted here."""
 
     def __init__(self):
         self.texts, self.docs, self.size = {}, Counter(), 0
 
-    def rows(self, block: int, lang: str) -> Iterator[dict]:
+    def batches(self, block: int, lang: str) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
         for source, parts in self.texts.items():
-            yield {"kind": TEXT, "block": block, "lang": lang, "source": source, "data": b" ".join(parts)}
-        for term, n in self.docs.items():
-            yield {"kind": TERM, "block": block, "lang": lang, "data": term, "n_docs": n}
-
-
-def _batches(rows: Iterator[dict], schema: pa.Schema, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
-    for row in rows:
-        held.append(row)
-        size += 60 + len(row.get("data") or b"")
-        if size >= most:
-            yield pa.RecordBatch.from_pylist(held, schema)
-            held, size = [], 0
-    if held:
-        yield pa.RecordBatch.from_pylist(held, schema)
+            text = b" ".join(parts)
+            yield _rows(_FIRST, 1, kind=TEXT, block=block, lang=lang, source=source, text=[pack.compress(text)], n=len(text))
+        terms = sorted(self.docs)
+        for lo in range(0, len(terms), 50_000):
+            some = terms[lo : lo + 50_000]
+            yield _rows(_FIRST, len(some), kind=TERM, block=block, lang=lang, term=some, n=[self.docs[t] for t in some])
 
 
 def _first_pass(docs: DataFrame) -> DataFrame:
     """Blocks of bounded size, each with its texts and with every term that occurs in it; a document counts in the first block that has the term."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, open_, held = TaskContext.get().partitionId() << 32, {}, 0
         for batch in batches:
             for text, lang, source in zip(*(batch[c].to_pylist() for c in ("text", "lang", "source"))):
-                seen, parts = set(), list(pieces(text.translate(_LETTERS), BLOCK))
+                seen, parts = set(), list(pieces(text.translate(_LETTERS), BLOCK // 2))
                 for part in parts:
                     terms = set(part.split())
                     if not terms:
@@ -83,18 +86,18 @@ def _first_pass(docs: DataFrame) -> DataFrame:
                     block.texts.setdefault(source, []).append(part)
                     block.size += len(part)
                     held += len(part)
-                    if block.size >= BLOCK or held >= OPEN:
-                        for name in [lang] if held < OPEN else list(open_):
+                    if held >= OPEN or block.size >= BLOCK or len(block.docs) >= TERMS:
+                        for name in list(open_) if held >= OPEN else [lang]:
                             closed, number = open_.pop(name), number + 1
                             held -= closed.size
-                            yield from closed.rows(number, name)
+                            yield from closed.batches(number, name)
         for name, block in open_.items():
             number += 1
-            yield from block.rows(number, name)
+            yield from block.batches(number, name)
 
     named = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]
     given = docs.select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), *named)
-    return given.mapInArrow(lambda batches: _batches(rows(batches), _FIRST), "kind int, block long, lang string, source string, data binary, n_docs long")
+    return given.mapInArrow(run, "kind int, block long, lang string, source string, text binary, term binary, n long")
 
 
 def automaton(terms: list[str]) -> ahocorasick.Automaton:
@@ -106,34 +109,75 @@ def automaton(terms: list[str]) -> ahocorasick.Automaton:
     return found
 
 
-def occurrences(found: ahocorasick.Automaton, text: bytes) -> Counter:
-    """How often each term of an automaton stands in a text of terms and spaces; neighbours share a space."""
-    total = Counter()
-    for part in pieces(text, 1 << 20):
-        total.update(map(itemgetter(1), found.iter(f" {part.decode('utf-8', 'surrogateescape')} ")))
-    return total
+def occurrences(found: ahocorasick.Automaton, text: str) -> Counter:
+    """How often each term of an automaton stands in a text of terms and spaces that begins and ends with one; neighbours share a space."""
+    return Counter(map(itemgetter(1), found.iter(text)))
+
+
+def _text(data: bytes) -> str:
+    return data.decode("utf-8", "surrogateescape")
 
 
-def _second_pass(blocks: DataFrame) -> DataFrame:
-    """Counts of the kept terms by block and source: rows come block by block, the terms of a block before its texts."""
+class _Gathered:
+    """Counts by lang, source and term, added up in a task until they are many."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        at, terms, numbers, found = None, [], [], None
+    def __init__(self):
+        self.parts, self.size = {}, 0
+
+    def add(self, lang: str, source: str, numbers: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.setdefault((lang, source), []).append((numbers, counts))
+        self.size += len(numbers)
+
+    def batches(self, most: int) -> Iterator[pa.RecordBatch]:
+        if self.size <= most:
+            return
+        self.size = 0
+        for key, parts in self.parts.items():
+            numbers, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            counts = np.zeros(len(numbers), np.int64)
+            np.add.at(counts, at, np.concatenate([p[1] for p in parts]))
+            self.parts[key] = [(numbers, counts)]
+            self.size += len(numbers)
+        if self.size > most // 2:
+            for (lang, source), [(numbers, counts)] in self.parts.items():
+                for lo in range(0, len(numbers), 100_000):
+                    some = slice(lo, lo + 100_000)
+                    yield _rows(_SECOND, len(numbers[some]), lang=lang, source=source, number=numbers[some], count=counts[some])
+            self.parts, self.size = {}, 0
+
+
+def _second_pass(blocks: DataFrame, common: Broadcast) -> DataFrame:
+    """Counts of the kept terms by source: rows come block by block, the terms of a block that aren't common ones before its texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, terms, numbers, own, gathered, unpack = None, [], [], None, _Gathered(), zstandard.ZstdDecompressor()
+        of_lang: dict[str, tuple[ahocorasick.Automaton, np.ndarray]] = {}
         for batch in batches:
-            for block, kind, lang, source, data, number in zip(*(batch[c].to_pylist() for c in ("block", "kind", "lang", "source", "data", "number"))):
+            for block, kind, lang, source, text, term, number in zip(*(batch[c].to_pylist() for c in ("block", "kind", "lang", "source", "text", "term", "number"))):
                 if block != at:
-                    at, terms, numbers, found = block, [], [], None
+                    at, terms, numbers, own = block, [], [], None
                 if kind == TERM:
-                    terms.append(data.decode("utf-8", "surrogateescape"))
+                    terms.append(_text(term))
                     numbers.append(number)
                     continue
-                if found is None and terms:
-                    found = automaton(terms)
-                if found is not None:
-                    for k, n in occurrences(found, data).items():
-                        yield {"lang": lang, "source": source, "number": numbers[k], "count": n}
-
-    return blocks.mapInArrow(lambda batches: _batches(rows(batches), _SECOND), "lang string, source string, number long, count long")
+                if lang not in of_lang:
+                    if len(of_lang) >= 8:
+                        of_lang.pop(next(iter(of_lang)))
+                    listed = common.value.get(lang, [])
+                    of_lang[lang] = automaton([_text(t) for t, _ in listed]), np.array([n for _, n in listed], np.int64)
+                if own is None:
+                    own = automaton(terms), np.array(numbers, np.int64)
+                for part in pieces(unpack.decompress(text), 1 << 20):
+                    padded = f" {_text(part)} "
+                    for found, named in (of_lang[lang], own):
+                        if len(named):
+                            counted = occurrences(found, padded)
+                            gathered.add(lang, source, named[np.fromiter(counted.keys(), np.int64, len(counted))], np.fromiter(counted.values(), np.int64, len(counted)))
+                yield from gathered.batches(GATHERED)
+        yield from gathered.batches(GATHERED)
+        yield from gathered.batches(0)
+
+    return blocks.mapInArrow(run, "lang string, source string, number long, count long")
 
 
 def shares(counts: np.ndarray, total: np.ndarray | int) -> np.ndarray:
@@ -210,7 +254,9 @@ def _pairs(dealt: DataFrame) -> DataFrame:
         def done() -> Iterator[pa.RecordBatch]:
             if groups:
                 postings = {c: np.concatenate([p[c] for p in parts]) if parts else np.empty(0, np.int64) for c in ("term", "group", "count")}
-                yield from _batches(({"lang": at[0], "a": a, "b": b, "part": v} for a, b, v in _meeting(groups, postings, at[3] == 0)), _PAIRS)
+                rows = list(_meeting(groups, postings, at[3] == 0))
+                if rows:
+                    yield _rows(_PAIRS, len(rows), lang=at[0], **{c: list(x) for c, x in zip(("a", "b", "part"), zip(*rows))})
 
         for batch in batches:
             keys = list(zip(*(batch[c].to_pylist() for c in ("lang", "x", "y", "bucket"))))
@@ -237,6 +283,18 @@ def _exact_share(count: str, total: str) -> Column:
     return F.expr(f"1 + (CAST({ONE} AS DECIMAL(10,0)) * CAST({count} + 1 AS DECIMAL(20,0))) div CAST({total} AS DECIMAL(20,0))")
 
 
+def _common(kept: DataFrame) -> DataFrame:
+    """The terms of kept that stand in most blocks, COMMON at most; of those that stand in about as many as the last, none or all. So no other short term has many blocks."""
+    step = F.floor(F.log2("blocks") * 16).cast("int")
+    short = kept.where(F.length("term") <= LONGEST).withColumn("step", step)
+    room, least = COMMON, 1 << 20
+    for r in sorted(short.groupBy("step").agg(F.count("*").alias("n")).collect(), reverse=True):  # about a thousand steps at most
+        if r["n"] > room:
+            break
+        room, least = room - r["n"], r["step"]
+    return short.where(F.col("step") >= least).drop("step")
+
+
 def _groups(docs: DataFrame, kept: DataFrame, postings: DataFrame) -> DataFrame:
     """Each (lang, source), numbered within its lang: n occurrences, v terms kept, total = n + v, n_lang, and into how many blocks and buckets its lang is dealt."""
     names = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]
@@ -281,8 +339,8 @@ def audit(docs: DataFrame, least_docs: int = 3, top: int = 200) -> DataFrame:
     falling value, then by the item's bytes.
 
     First pass: documents become blocks of bounded size of one lang, with their distinct terms, and exact document frequencies are summed. Second
-    pass: each block gets the kept terms that occur in it, padded with spaces, as an automaton that counts occurrences in its texts; so
-    no task or broadcast holds a vocabulary. Pairs come from postings (term, source, count), dealt by term and by blocks of 256 sources, without
+    pass: occurrences of kept terms, padded with spaces, are counted by two automata: one of the 100,000 terms of most blocks, which all tasks
+    get, and one of each block's other kept terms, which go to the blocks that have them; so no task or broadcast holds the whole vocabulary. Pairs come from postings (term, source, count), dealt by term and by blocks of 256 sources, without
     a row for a term and pair: what a zero on one or both sides gives is added by distinct count. All numbers are whole.
 
     Defined cases: null text, lang and source are ''; groups without terms still give pairs; a lang without kept terms gives pairs of value 0; rows
@@ -291,19 +349,22 @@ def audit(docs: DataFrame, least_docs: int = 3, top: int = 200) -> DataFrame:
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "divergence")
-    first = scratch.save(_first_pass(docs), "blocks")
-    terms = first.where(F.col("kind") == TERM).select("block", "lang", F.col("data").alias("term"), "n_docs")
-    kept = terms.groupBy("lang", "term").agg(F.sum("n_docs").alias("n")).where(F.col("n") >= least_docs)
-    kept = scratch.save(kept.select("lang", "term", F.monotonically_increasing_id().alias("number")), "kept")
-    place = F.xxhash64("lang", "term").alias("place")
-    split = Split(terms.select(place), "place", "block")  # a term that all blocks have is dealt out
-    own = split.deal(terms.select("block", "lang", "term", place))
-    wanted = own.join(split.copy(kept.withColumn("place", place)), [*split.on, "lang", "term"])
-    texts = first.where(F.col("kind") == TEXT).select("block", "kind", "lang", "source", "data", F.lit(0).cast("long").alias("number"))
-    second = texts.unionByName(wanted.select("block", F.lit(TERM).alias("kind"), "lang", F.lit("").alias("source"), F.col("term").alias("data"), "number"))
-    size = texts.agg(F.sum(F.length("data"))).first()[0] or 0
-    second = second.repartition(tasks(spark, size, 16 * BLOCK), "block").sortWithinPartitions("block", F.col("kind").desc())
-    postings = scratch.save(_second_pass(second).groupBy("lang", "source", "number").agg(F.sum("count").alias("count")), "postings")
+    first = scratch.save(_first_pass(docs), "blocks", compression="zstd")
+    terms = first.where(F.col("kind") == TERM).select("block", "lang", "term", "n")
+    kept = terms.groupBy("lang", "term").agg(F.sum("n").alias("n"), F.count("*").alias("blocks")).where(F.col("n") >= least_docs)
+    kept = scratch.save(kept.select("lang", "term", "blocks", F.monotonically_increasing_id().alias("number")), "kept")
+    common = _common(kept)
+    listed: dict[str, list[tuple[bytes, int]]] = {}
+    for r in common.collect():  # COMMON rows at most
+        listed.setdefault(r.lang, []).append((bytes(r.term), r.number))
+    rest = terms.join(F.broadcast(common.select("lang", "term")), ["lang", "term"], "left_anti")  # COMMON rows at most
+    wanted = rest.select("block", "lang", "term").join(kept.join(F.broadcast(common.select("number")), "number", "left_anti"), ["lang", "term"])
+    texts = first.where(F.col("kind") == TEXT).select("block", "kind", "lang", "source", "text", F.lit(None).cast("binary").alias("term"), F.lit(0).cast("long").alias("number"))
+    second = texts.unionByName(wanted.select("block", F.lit(TERM).alias("kind"), "lang", F.lit("").alias("source"), F.lit(None).cast("binary").alias("text"), "term", "number"))
+    size = first.where(F.col("kind") == TEXT).agg(F.sum("n")).first()[0] or 0
+    second = second.repartition(tasks(spark, size, 64 << 20), "block").sortWithinPartitions("block", F.col("kind").desc())
+    postings = _second_pass(second, spark.sparkContext.broadcast(listed)).groupBy("lang", "source", "number").agg(F.sum("count").alias("count"))
+    postings = scratch.save(postings, "postings")
     groups = scratch.save(_groups(docs, kept, postings), "groups")
     scratch.drop("blocks")
     sums = _pairs(_dealt(postings, groups)).groupBy("lang", "a", "b").agg(F.sum("part").alias("value"))
