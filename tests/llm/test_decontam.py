@@ -53,8 +53,15 @@ def test_matches_all_pairs(spark, documents):
     df = documents(docs)
     assert got(decontam.contained(df, benchmark(spark, items))) == brute(docs, items)
     clean = decontam.clean(df, benchmark(spark, items))
-    held = {d for d, _ in brute(docs, items)}
-    assert clean.columns == df.columns and sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(d) for d, _ in docs if d not in held)
+    held = {n for n, _ in brute([(n, t) for n, (_, t) in enumerate(docs)], [(k, u) for k, (_, u) in enumerate(items)])}  # by row, whatever the ids
+    assert clean.columns == df.columns and sorted((str(r.doc_id), str(r.text)) for r in clean.collect()) == sorted((str(d), str(t)) for n, (d, t) in enumerate(docs) if n not in held)
+
+
+def test_clean_looks_at_rows_not_ids(spark, documents):
+    item = "the quick brown fox jumps over the lazy dog"
+    rows = [(None, f"so {item} again"), (None, "nothing of it"), (1, item), (1, "another text of that id"), (2, None), (3, f"{item} and {item}"), (4, "no id of this item is known here")]
+    clean = decontam.clean(documents(rows), benchmark(spark, [(7, item), (None, rows[6][1])]))
+    assert sorted((str(r.doc_id), str(r.text)) for r in clean.collect()) == sorted((str(d), str(t)) for d, t in (rows[1], rows[3], rows[4]))
 
 
 def test_empty_tables(spark, documents):

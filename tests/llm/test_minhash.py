@@ -76,6 +76,27 @@ def test_deduplicate_keeps_other_texts_of_an_id(documents):
     assert sorted((r.doc_id, r.text) for r in minhash.deduplicate(documents(rows)).collect()) == sorted(set(rows[:2]))
 
 
+def test_deduplicate_keeps_other_texts_of_an_id_that_goes(documents, rng):
+    near = "one text of six words here"
+    rows = [(1, near), (5, f"{near} too"), (5, "a wholly different text of that id")]
+    assert sorted((r.doc_id, r.text) for r in minhash.deduplicate(documents(rows), percent=50).collect()) == [rows[0], rows[2]]
+    # against all pairs, where ids repeat on all kinds of texts: of each group of (doc_id, text) the first stays
+    rows = []
+    for _ in range(12):
+        rows += [(rng.randrange(30), t) for t in variants(rng, prose(rng, 80), 6, 3)]
+    rows += [rows[0], rows[5], (None, rows[0][1]), (None, rows[0][1]), (3, None), (3, ""), (40, None)]
+    nodes = sorted({(i, t) for i, t in rows if i is not None and t})
+    groups = components_of({k: shingles_of(t, 5) for k, (_, t) in enumerate(nodes)}, similar(80))
+    assert len(set(groups.values())) < len(nodes)
+    want = sorted(nodes[c][0] for c in set(groups.values()))
+    out = minhash.deduplicate(documents(rows)).collect()
+    assert sorted(r.doc_id for r in out if r.doc_id is not None and r.text) == want
+    assert len([r for r in out if r.doc_id is None]) == 2 and sorted(r.doc_id for r in out if not r.text) == [3, 3, 40]
+    kept = {(r.doc_id, r.text) for r in out}
+    for c in set(groups.values()):
+        assert len([k for k, g in groups.items() if g == c and nodes[k] in kept]) == 1
+
+
 @pytest.mark.parametrize("together, hot_keys", [(1, 10**9), (4, 5), (10**9, 1)])
 def test_split_joins_are_left_joins(spark, monkeypatch, together, hot_keys):
     from tillage.llm import common

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillage.llm.common import Scratch
+from tillage.llm.common import Scratch, free_names
 
 
 def tokens(text: str = "text") -> Column:
@@ -42,6 +42,19 @@ def sketches(items: DataFrame, words: int, percent: int) -> DataFrame:
     return w.select("item", "n_item", "shingles", F.slice("hashes", 1, lacking + 1).alias("sketch"))
 
 
+def _pairs(own: DataFrame, items: DataFrame, words: int, percent: int) -> DataFrame:
+    """(key, item, n_item, n_shared) of own(key, text) whose text holds percent of the shingles of items(item, text)."""
+    scratch = Scratch(own.sparkSession, "decontam")
+    items = scratch.save(sketches(items, words, percent), "items")
+    wanted = items.select("item", F.explode("sketch").alias("h")).distinct()
+    probes = own.select("key", tokens().alias("w")).select("key", F.explode(hashed(F.col("w"), words)).alias("h"))
+    found = scratch.save(probes.join(wanted, "h").select("key", "item").distinct(), "candidates")
+    texts = own.join(found.select("key").distinct(), "key").select("key", tokens().alias("w")).select("key", spelled(F.col("w"), words).alias("held"))
+    pairs = texts.join(found, "key").join(items.select("item", "n_item", "shingles"), "item")
+    shared = F.size(F.array_intersect("shingles", "held"))
+    return pairs.select("key", "item", "n_item", shared.alias("n_shared")).where(f"100 * n_shared >= {percent} * n_item")
+
+
 def contained(docs: DataFrame, benchmark: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Which benchmark items documents hold: doc_id, item_id, n_item, n_shared, containment.
 
@@ -55,24 +68,22 @@ def contained(docs: DataFrame, benchmark: DataFrame, words: int = 5, percent: in
     item_ids are not reported; rows that repeat an id count as the one that holds or is held most; extra columns are ignored;
     empty tables give no rows.
     """
-    scratch = Scratch(docs.sparkSession, "decontam")
-    own = docs.where("doc_id is not null").select("doc_id", "text")
+    own = docs.where("doc_id is not null").select(F.col("doc_id").alias("key"), "text")
     items = benchmark.where("item_id is not null").select(F.col("item_id").alias("item"), "text").distinct()
-    items = scratch.save(sketches(items, words, percent), "items")
-    wanted = items.select("item", F.explode("sketch").alias("h")).distinct()
-    probes = own.select("doc_id", tokens().alias("w")).select("doc_id", F.explode(hashed(F.col("w"), words)).alias("h"))
-    found = scratch.save(probes.join(wanted, "h").select("doc_id", "item").distinct(), "candidates")
-    texts = own.join(found.select("doc_id").distinct(), "doc_id").select("doc_id", tokens().alias("w")).select("doc_id", spelled(F.col("w"), words).alias("held"))
-    pairs = texts.join(found, "doc_id").join(items.select("item", "n_item", "shingles"), "item")
-    shared = F.size(F.array_intersect("shingles", "held"))
-    pairs = pairs.select("doc_id", F.col("item").alias("item_id"), "n_item", shared.alias("n_shared")).where(f"100 * n_shared >= {percent} * n_item")
-    best = pairs.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("containment"), "n_item", "n_shared")).alias("best"))
-    return best.select("doc_id", "item_id", F.col("best.n_item").cast("long").alias("n_item"), F.col("best.n_shared").cast("long").alias("n_shared"), "best.containment")
+    pairs = _pairs(own, items, words, percent)
+    best = pairs.groupBy("key", "item").agg(F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("containment"), "n_item", "n_shared")).alias("best"))
+    return best.select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"), F.col("best.n_item").cast("long").alias("n_item"), F.col("best.n_shared").cast("long").alias("n_shared"), "best.containment")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns."""
-    return docs.join(contained(docs, benchmark, words, percent).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """The documents that hold no benchmark item, with all their columns, as contained() finds them.
+
+    A row goes by its text, so rows without doc_id, and other texts of one, are each judged by what they hold; items count with or without item_id.
+    """
+    key = free_names(docs.columns, "text_digest")[0]
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    held = _pairs(docs.select(digest.alias("key"), "text"), benchmark.select(digest.alias("item"), "text").distinct(), words, percent)
+    return docs.withColumn(key, digest).join(held.select(F.col("key").alias(key)).distinct(), key, "left_anti").select(docs.columns)
 
 
 #: DuckDB SQL of the query's rows: every shingle of every text against every item's.

@@ -230,28 +230,12 @@ def _vertices(usable: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame
     return scratch.save(reps.join(shared, "set_id", "left").select("set_id", "rep", F.coalesce("number", "vertex").alias("vertex")), "vertices"), several, True
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, bands: int = 20, rows: int = 6, slack: float = 0.15) -> DataFrame:
-    """Near-duplicate groups of documents(doc_id, text).
-
-    Words are runs of other than white space, A-Z lower-cased; a document's set holds its distinct shingles of so many words
-    (fewer words: the whole sequence as one). Documents are linked if 100 * intersection >= percent * union, always checked on
-    full sets. Returns for each row doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (doc_id = component_id).
-
-    Equal sets fold into one vertex. Vertices that share a band meet first with their bucket's hubs. In buckets
-    that then hold several components, the rows meet in blocks of bounded size. A first pass keeps those with a partner in
-    another component whose one-byte sketch agrees in nearly enough places (slack under the wanted similarity; a true link
-    misses that about once in a million); a second one has their whole sets and checks such pairs until the components there
-    are one or the pairs are used up.
-    A pair of similarity 0.85 shares none of 20 bands of 6 with probability 8e-5.
-    Buckets, hubs, sets and components that hold many rows are dealt to several tasks (see Split), and the tasks of the two passes
-    follow the number of rows that meet.
+def _graph(docs: DataFrame, scratch: Scratch, words: int, percent: int, bands: int, rows: int, slack: float, tied: bool) -> tuple[DataFrame, DataFrame, bool]:
+    """(doc_id, text_key, n_shingles, rep, vertex) of each row; (id, component) of linked vertices; whether a doc_id stands on several rows.
 
-    Defined cases: a null or empty text has an empty set and is its own component; a null doc_id is linked with nothing, its
-    component_id is null and it is kept; rows that repeat a doc_id are one node of the graph, linked by each of their texts, and come
-    out once each; extra columns are ignored; an empty table gives an empty result.
+    tied: rows of one doc_id are one node, and components are named by their smallest doc_id. Else each distinct set is a node of its own.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "minhash")
     feat = scratch.save(features(docs, words, bands, rows), "features")
     usable = feat.where("n_shingles > 0 and doc_id is not null")
     reps, several, repeated = _vertices(usable, scratch)
@@ -286,30 +270,59 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, bands: i
     more = _met(met.join(whole.hint("merge"), "id"), lambda g: pd.DataFrame(_spanning(g, percent, least), columns=["a", "b"]), "a long, b long", tasks(spark, met.count(), 2048))
     more = scratch.save(more, "across")
     links = links.union(more).distinct()
-    of = scratch.save(split_join(feat.select("doc_id", "n_shingles", "set_id"), reps, "set_id", "doc_id").drop("set_id"), "of")
-    if several is not None:  # a doc_id on rows of several sets ties their vertices together
+    of = scratch.save(split_join(feat.select("doc_id", "text_key", "n_shingles", "set_id"), reps, "set_id", "doc_id").drop("set_id"), "of")
+    if tied and several is not None:  # a doc_id on rows of several sets ties their vertices together
         tied = of.where("vertex is not null and doc_id is not null").join(several, "doc_id", "left_semi")
         first = tied.groupBy("doc_id").agg(F.min("vertex").alias("b"))
         links = links.union(tied.join(first, "doc_id").where("vertex <> b").select(F.col("vertex").alias("a"), "b").distinct())
     groups = connected_components(scratch.save(links, "links-1"), scratch, "cc-1")
-    if several is not None:  # components are named by their smallest doc_id
+    if tied and several is not None:  # components are named by their smallest doc_id
         names = of.groupBy("vertex").agg(F.min("rep").alias("rep")).join(groups.withColumnRenamed("id", "vertex"), "vertex").groupBy("component").agg(F.min("rep").alias("name"))
         groups = scratch.save(split_join(groups, names, "component", "id").select("id", F.col("name").alias("component")), "named")
     scratch.drop("members", "texts", "pairs", "meetings", "across", "nodes", "hubs", "met", "placed", "keys", "links-0", "links-1")
+    return of, groups, repeated
+
+def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, bands: int = 20, rows: int = 6, slack: float = 0.15) -> DataFrame:
+    """Near-duplicate groups of documents(doc_id, text).
+
+    Words are runs of other than white space, A-Z lower-cased; a document's set holds its distinct shingles of so many words
+    (fewer words: the whole sequence as one). Documents are linked if 100 * intersection >= percent * union, always checked on
+    full sets. Returns for each row doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (doc_id = component_id).
+
+    Equal sets fold into one vertex. Vertices that share a band meet first with their bucket's hubs. In buckets
+    that then hold several components, the rows meet in blocks of bounded size. A first pass keeps those with a partner in
+    another component whose one-byte sketch agrees in nearly enough places (slack under the wanted similarity; a true link
+    misses that about once in a million); a second one has their whole sets and checks such pairs until the components there
+    are one or the pairs are used up.
+    A pair of similarity 0.85 shares none of 20 bands of 6 with probability 8e-5.
+    Buckets, hubs, sets and components that hold many rows are dealt to several tasks (see Split), and the tasks of the two passes
+    follow the number of rows that meet.
+
+    Defined cases: a null or empty text has an empty set and is its own component; a null doc_id is linked with nothing, its
+    component_id is null and it is kept; rows that repeat a doc_id are one node of the graph, linked by each of their texts, and come
+    out once each; extra columns are ignored; an empty table gives an empty result.
+    """
+    of, groups, _ = _graph(docs, Scratch(docs.sparkSession, "minhash"), words, percent, bands, rows, slack, tied=True)
     out = split_join(of, groups.withColumnRenamed("id", "vertex"), "vertex", "doc_id")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.least(F.coalesce("component", "rep", "doc_id"), "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 30, rows: int = 5) -> DataFrame:
-    """One document of each near-duplicate group of documents, with all its columns; of rows that repeat both doc_id and text, one stays.
+def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 30, rows: int = 5, slack: float = 0.15) -> DataFrame:
+    """One document of each near-duplicate group of documents, with all its columns: the one of the smallest doc_id.
 
-    Other texts under a doc_id that stays are documents of their own and stay too. A pair of similarity 0.8 shares none of 30 bands
-    of 5 with probability 7e-6.
+    A document is a doc_id with a text: other texts under a doc_id are documents of their own, in groups of their own, whether it stays or goes;
+    of one doc_id's texts in a group one stays, and so does one of rows that repeat both. Rows without doc_id are linked with nothing and stay.
+    A pair of similarity 0.8 shares none of 30 bands of 5 with probability 7e-6.
     """
-    dropped = near_duplicates(docs, words, percent, bands, rows).where("not kept").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti")
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    of, groups, repeated = _graph(docs, Scratch(docs.sparkSession, "minhash"), words, percent, bands, rows, slack, tied=False)
+    placed = split_join(of.where("vertex is not null and doc_id is not null"), groups.withColumnRenamed("id", "vertex"), "vertex", "doc_id").withColumn("component", F.coalesce("component", "vertex"))
+    if not repeated:  # each component is named by its smallest doc_id
+        return docs.join(placed.where("doc_id <> component").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    placed = placed.select("doc_id", "text_key", "component")
+    stays = placed.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("stays"))
+    goes = split_join(placed, stays, "component", "doc_id").where(F.struct("doc_id", "text_key") != F.col("stays")).select(F.col("doc_id").alias("goes_id__"), F.col("text_key").alias("goes_key__")).distinct()
+    on = (F.col("doc_id").cast("long") == F.col("goes_id__")) & (F.xxhash64("text") == F.col("goes_key__"))
+    kept = docs.join(goes, on, "left_anti")
+    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns))
