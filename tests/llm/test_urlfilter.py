@@ -9,6 +9,7 @@ import time
 import pytest
 
 from tillage.llm import urlfilter as u
+from tillage.llm.common import Scratch
 
 CASES = [
     ("http://a.net/x", "a.net", "/x", "net/", "block"), ("https://Example.NET/en/page?q=1#f", "example.net", "/en/page", "example.net/en/", "allow"), ("http://www.example.net/en/", "www.example.net", "/en/", "example.net/en/", "allow"),
@@ -112,17 +113,28 @@ def test_words_are_learned_from_all_pages(spark):
     text = "<html><style>p{unseen:0}</style><p>Hot chat in Essex: roads &amp; downloads, <b>lucky</b> threads für payday loans fast</html>"
     rows = [(k, f"http://site{k}.info/royal/", text) for k in range(3)] + [(10, "http://mega-club.info/", "<p>Mega-club luckypoker"), (11, "http://luckypoker.info/", "luckypoker")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    counts = u.vocabulary(df)
+    counts = u.vocabulary(u.said(df), Scratch(spark, "test"))
     assert counts["roads"] == counts["royal"] == 3 and counts["mega"] == counts["club"] == counts["luckypoker"] == 1 and not {"unseen", "html", "style", "amp", "für", "in"} & set(counts)
     words = u.Words({w: n for w, n in counts.items() if w != "luckypoker"})
     for name, want in {"hotsexchat": "hot sex chat", "luckypoker": "lucky poker", "luckyads": "lucky ads", "paydayloansfast": "payday loans fast", "essex": "essex", "essexroads": "essex roads", "downloads": "downloads", "threads": "threads"}.items():
         assert u.segmented(name, words) == tuple(want.split()), name
 
 
+def test_long_pages_take_linear_time(spark):
+    openers = ["<!--", "<", "<script>", "<style ", "<a ", "</script", "<!", "&", "&a", "<p", "-->", "<script></style>", "<!-- -->", "a<b "]
+    rows = [(k, f"http://long{k}.info/", "before " + o * (1_000_000 // len(o)) + " after") for k, o in enumerate(openers)]
+    begun = time.monotonic()
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    assert len(u.judge(df).collect()) == len(rows) and time.monotonic() - begun < 60
+    text = lambda html: spark.createDataFrame([(html,)], "html string").select(u.page_text(spark.createDataFrame([(html,)], "html string"))).first()[0].split()
+    cases = {"<p>One<br>two</p>": "one two", "a<!-- x > y -->b": "a b", "a<!-- never closed <p>": "a", "1 < 2 and more": "1 < 2 and more", "<script>var t='</p>';</script>x": "x", "<STYLE>p{}</style >y": "y", "<script>no end": "", "x &amp; y&#39;z": "x y z", "a <b": "a"}
+    assert {h: text(h) for h in cases} == {h: w.split() for h, w in cases.items()}
+
+
 def test_the_bound_of_the_vocabulary_keeps_the_most_widespread(spark, monkeypatch):
     monkeypatch.setattr(u, "VOCABULARY", 2)
     df = spark.createDataFrame([(k, f"http://s{k}.info/", "alpha beta" + " gamma delta" * (k == 0)) for k in range(2)], "page_id long, url string, html string")
-    assert u.vocabulary(df) == {"alpha": 2, "beta": 2}
+    assert u.vocabulary(u.said(df), Scratch(spark, "test")) == {"alpha": 2, "beta": 2}
 
 
 def test_planted_hosts_are_blocked_and_clean_ones_are_not(spark):

@@ -21,7 +21,7 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 UNWANTED = tuple("ads adult bets betting casino crack drugs escort gambling jackpot keygen loans nude payday pills pharma poker porn sex slots spam torrent viagra warez xxx".split())
 #: Common words of web names, most common first, which the segmentation knows besides.
 COMMON = tuple("www blog news the of and to in for on with home page index site web shop store online info about world life art music game games tech data book books house health food travel school city car cars sport sports media photo video mail forum wiki docs help support cloud code open green blue red new best top my your we it is at by from all one day time work land park river east west north south free farm win cheap credit bonus track".split())
-BUCKETS = 1 << 15
+BUCKETS = 1 << 18
 #: Added to each count of each class.
 SMOOTH = 0.1
 
@@ -105,9 +105,12 @@ def segmented(name: str, words: Words = LISTED) -> tuple[str, ...]:
 
 
 def page_text(pages: DataFrame) -> Column:
-    """Lower-cased text of html, tags, scripts and styles taken out."""
-    html = F.col("html") if "html" in pages.columns else F.lit("")
-    return F.regexp_replace(F.lower(F.coalesce(html, F.lit(""))), r"(?s)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;", " ")
+    """Lower-cased text of html; tags, comments, scripts and styles are taken out, to the end of the page where they aren't closed.
+
+    An opener is never looked at twice, so the time is linear in the page.
+    """
+    html = F.col("html").cast("string") if "html" in pages.columns else F.lit("")
+    return F.regexp_replace(F.lower(F.coalesce(html, F.lit(""))), r"(?s)<(script|style)\b.*?(?:</\1\s*+>|\z)|<!--.*?(?:-->|\z)|<(?=[a-z/!?])[^>]*+(?:>|\z)|&#?\w++;", " ")
 
 
 def about_unwanted(text: Column) -> Column:
@@ -116,29 +119,33 @@ def about_unwanted(text: Column) -> Column:
     return (F.size(F.array_distinct(hits)) >= 2) & (F.size(hits) * DENSE >= F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+")))
 
 
-def vocabulary(pages: DataFrame) -> dict[str, int]:
-    """On how many hosts each word of the pages stands, for the VOCABULARY most widespread words.
+def said(pages: DataFrame) -> DataFrame:
+    """(host, path, about, words) of each row with a host: whether its text is about unwanted things, and the distinct words that its page speaks for.
 
     Words are whole runs of letters and digits that are three or more of a-z, from the text of html (tags, scripts and styles taken out), paths
     and labels of hosts with hyphens. A host does not speak for its own labels, so that its name on its pages makes it no word.
-    Of words that tie at the bound all are left out, so the driver and the tasks get no more.
     """
     host, path = parts(F.col("url"))
-    split = pages.select(host.alias("host"), F.lower(path).alias("path"), page_text(pages).alias("text")).withColumn("labels", F.split("host", r"\."))
+    split = pages.select(host.alias("host"), path.alias("path"), page_text(pages).alias("text")).where("host <> ''").withColumn("labels", F.split("host", r"\."))
     hyphens = F.filter("labels", lambda x: x.contains("-"))
-    found = F.split(F.concat_ws(" ", "text", "path", hyphens), r"[^\p{L}\p{N}]+")
+    found = F.split(F.concat_ws(" ", "text", F.lower("path"), hyphens), r"[^\p{L}\p{N}]+")
     found = F.array_except(F.array_distinct(F.filter(found, lambda w: w.rlike("^[a-z]{3,63}$"))), "labels")
-    spread = split.select("host", F.explode(found).alias("word")).distinct().groupBy("word").agg(F.count("*").alias("n"))
-    scratch = Scratch(pages.sparkSession, "urlfilter")
+    return split.select("host", "path", about_unwanted(F.col("text")).cast("int").alias("about"), found.alias("words"))
+
+
+def vocabulary(told: DataFrame, scratch: Scratch) -> dict[str, int]:
+    """On how many hosts each word of told(host, words) stands, for the VOCABULARY most widespread words.
+
+    Of words that tie at the bound all are left out, so the driver and the tasks get no more.
+    """
+    spread = told.select("host", F.explode("words").alias("word")).distinct().groupBy("word").agg(F.count("*").alias("n"))
     spread = scratch.save(spread, "words")
     room, least = VOCABULARY, None
     for r in sorted(spread.groupBy("n").agg(F.count("*").alias("words")).collect(), reverse=True):  # distinct counts: at most the root of twice their sum
         if r["words"] > room:
             break
         room, least = room - r["words"], r["n"]
-    found = {} if least is None else {r["word"]: r["n"] for r in spread.where(F.col("n") >= least).collect()}
-    scratch.drop("words")
-    return found
+    return {} if least is None else {r["word"]: r["n"] for r in spread.where(F.col("n") >= least).collect()}
 
 
 def host_words(host: str, words: Words = LISTED) -> list[str]:
@@ -164,16 +171,14 @@ def weak_label(tokens: list[str]) -> int:
     return int(any(t[2:] in UNWANTED for t in tokens if t.startswith("h:")))
 
 
-def learn(pages: DataFrame, counts: Broadcast) -> np.ndarray | None:
-    """Log odds by token bucket, and last the prior's: multinomial naive Bayes over the distinct urls of the whole table.
+def learn(told: DataFrame, counts: Broadcast) -> np.ndarray | None:
+    """Log odds by token bucket, and last the prior's: multinomial naive Bayes over the distinct urls of told(host, path, about).
 
     A url's class is to block if a page of it is about unwanted things (its text, not its url, says so) or if its host's name holds an
     unwanted word. counts holds what vocabulary() found. Token counts are gathered in BUCKETS fixed buckets, so what the driver gets
     has a bound. None for a table without hosts.
     """
-    host, path = parts(F.col("url"))
-    urls = pages.select(host.alias("host"), path.alias("path"), about_unwanted(page_text(pages)).cast("int").alias("about")).where("host <> ''")
-    urls = urls.groupBy("host", "path").agg(F.max("about").alias("about"))
+    urls = told.groupBy("host", "path").agg(F.max("about").alias("about"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = np.zeros((2, BUCKETS), np.int64)
@@ -213,8 +218,11 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     Defined cases: null urls and urls without :// have empty host and path, no rule, and are allowed; very long hosts and paths are
     used whole; null page_ids and repeated rows come out as they are; extra columns are ignored, and html may be missing; an empty table gives no rows.
     """
-    counts = pages.sparkSession.sparkContext.broadcast(vocabulary(pages))
-    odds = learn(pages, counts)
+    scratch = Scratch(pages.sparkSession, "urlfilter")
+    told = scratch.save(said(pages), "said")  # html is read once
+    counts = pages.sparkSession.sparkContext.broadcast(vocabulary(told, scratch))
+    odds = learn(told, counts)
+    scratch.drop("words", "said")
 
     @F.pandas_udf("log_odds double, host_words string")
     def scored(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
