@@ -7,6 +7,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
+from tillage.operators import health
 from tillage.sources import feeds, landing, sinks
 
 def today():
@@ -429,3 +430,86 @@ def test_whole_texts_are_one_row_a_file(spark, tmp_path):
         (tmp_path / f"{k}.json").write_text('[1,\n{"a":\n2}]\n')
     assert [r.value for r in landing.whole_text(spark, str(tmp_path)).collect()] == ['[1,\n{"a":\n2}]\n'] * 2
     assert landing.whole_text(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_an_envelope_is_read_as_it_was_written(spark, tmp_path):
+    at = datetime(2026, 5, 30, 1, 2, 3)
+    rows = spark.createDataFrame([(f"K{k:04d}" if k else 'q"\\é\n', k, None if k % 3 else float(k)) for k in range(500)], "iso3 string, n long, x double").repartition(9)
+    path = str(tmp_path / "sub" / "e.json")
+    for _ in range(2):  # the second takes the first one's place
+        sinks.write_envelope(rows, path, "iso3", "S", 'a "note"', at, "v2")
+    text = json.loads((tmp_path / "sub" / "e.json").read_text())
+    assert list(text) == ["_meta", "data"] and list(text["data"]) == sorted(text["data"], key=str.encode) and text["data"]["K0004"] == {"n": 4, "x": None} and len(text["data"]) == 500
+    doc = landing.envelope(spark, path, "map<string,struct<n:bigint,x:double>>")
+    assert sorted(map(str, landing.keyed_rows(doc).collect())) == sorted(map(str, rows.collect()))
+    assert doc.select("_meta.*").first() == (at, "S", 'a "note"', "v2")
+    sinks.write_envelope(rows.limit(0), str(tmp_path / "none.json"), "iso3", "S", "", at)
+    assert json.loads((tmp_path / "none.json").read_text())["data"] == {}
+    for odd in (rows.union(rows.limit(1)), rows.withColumn("iso3", F.lit(None).cast("string"))):
+        with pytest.raises(ValueError, match="iso3"):
+            sinks.write_envelope(odd, path, "iso3", "S", "", at)
+    assert len(json.loads((tmp_path / "sub" / "e.json").read_text())["data"]) == 500
+    assert [p.name for p in (tmp_path / "sub").iterdir() if not p.name.startswith(".")] == ["e.json"]
+
+
+def test_rules_are_told_by_the_one_pass_that_writes(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = spark.range(0, 1000, 1, 5).mapInArrow(count, "id long").withColumn("x", F.when(F.col("id") % 10 != 0, F.col("id").cast("double")))
+    rules = [health.rows_at_least(1000), health.known_at_least("x", 900), health.within("x", 0, 999), health.keys_present("id", [0, 5, 999]), health.no_rows("no id 7000", F.col("id") == 7000)]
+    report = sinks.write_watched(rows, rules, str(tmp_path / "t"))
+    assert [(r.found, r.passed) for r in report.collect()] == [(1000, True), (900, True), (0, True), (0, True), (0, True)] and read.value == 1000
+    bad = [health.rows_at_least(1001), health.keys_present("id", [5, 1000, 1001]), health.known_at_least("x", 1)]
+    with pytest.raises(ValueError, match="at least 1001 rows, 3 keys of id present$"):
+        sinks.write_watched(rows, bad, str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 1000 and [p.name for p in tmp_path.iterdir()] == ["t"]
+    read.value = 0
+    assert sinks.keep_better(rows, str(tmp_path / "t")) and read.value == 1000
+
+
+def test_a_writer_that_died_while_publishing_loses_nothing(spark, tmp_path):
+    path = tmp_path / "feed"
+    spark.range(7).write.parquet(str(path))
+    path.rename(tmp_path / "_old-feed-abc")  # between its two renames
+    (tmp_path / "_new-feed-abc").mkdir()
+    assert sinks.published(spark, str(path), "id long").count() == 7
+    path.rename(tmp_path / "_old-feed-abd")
+    assert not sinks.keep_better(spark.range(2), str(path)) and spark.read.parquet(str(path)).count() == 7
+    assert sinks.published(spark, str(tmp_path / "never"), "id long").count() == 0 and not sinks.recover(spark, str(path))
+
+
+def test_a_run_gates_guards_and_reports(spark, tmp_path):
+    empty, at, root = table(spark, "id long"), datetime(2026, 5, 30), str(tmp_path)
+    good = lambda n: lambda s: s.range(n)
+    fails = lambda s: s.read.parquet("/nowhere")
+    steps = lambda a, b, c: [sinks.Step("keyed", good(3), empty, needs=("KEY",)), sinks.Step("trade", a, empty, least=5), sinks.Step("food", b, empty, rules=(health.rows_at_least(150),)), ("plain", c, empty)]
+    run = lambda *s, **more: {r.feed: (r.notes, r.ok) for r in sinks.run_steps(spark, steps(*s), root, at, **more).collect()}
+    rows = lambda feed: spark.read.parquet(f"{root}/{feed}").count()
+    assert run(good(9), good(200), good(1)) == {"keyed": ("keyed not configured: set KEY", True), "trade": ("", True), "food": ("", True), "plain": ("", True)}
+    assert [rows(f) for f in ("keyed", "trade", "food", "plain")] == [0, 9, 200, 1]
+    again = run(good(2), good(10), fails, settings={"KEY": "k"})
+    assert again["keyed"] == ("", True) and "kept" in again["trade"][0] and again["trade"][1] and "at least 150 rows" in again["food"][0] and not again["food"][1] and not again["plain"][1]
+    assert [rows(f) for f in ("keyed", "trade", "food", "plain")] == [3, 9, 200, 0]
+    assert "kept" not in str(run(fails, fails, good(4))) and [rows(f) for f in ("trade", "food", "plain")] == [9, 200, 4]
+    notes = {r.feed: r.notes for r in spark.read.parquet(f"{root}/_meta").collect()}
+    assert "failed" in notes["food"] and notes["plain"] == ""
+
+
+def test_features_as_variants_are_parsed_once(spark):
+    square = [[[170, -10], [-170, -10], [-170, 10], [170, 10], [170, -10]]]
+    docs = [
+        {"features": [{"properties": {"name": "Line", "iso3": "FJI"}, "geometry": {"type": "Polygon", "coordinates": square}}, {"properties": '{"iso3": "KEN", "fcs": 0.5}'}, {"iso3": "UGA"}, None, 3]},
+        {"body": {"features": [{"properties": None, "iso3": "TZA"}]}}, [{"properties": {"adm0_code": "tza"}}], {"ETH": {"fcs": 1}, "NOTE": {}, "SOM": "x"}, "broken", None,
+    ]
+    found = landing.feature_properties(texts(spark, *docs))
+    get = lambda p: F.try_variant_get("props", f"$.{p}", "string")
+    assert sorted(map(str, (tuple(r) for r in found.select("key", F.coalesce(get("iso3"), get("adm0_code"))).collect()))) == sorted(map(str, [(None, "FJI"), (None, "KEN"), (None, "UGA"), (None, "TZA"), (None, "tza"), ("ETH", None)]))
+    assert [tuple(r) for r in feeds.places(texts(spark, *docs)).collect()] == [("Line", 0.0, 180.0)]
+    given = texts(spark, *docs)
+    for df, n in ((feeds.hungermap(given), 2), (feeds.places(given), 2), (landing.year_mean(given), 1), (landing.fields(given), 1)):  # a text that stands for properties is a text of its own
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == n

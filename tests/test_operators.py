@@ -335,3 +335,25 @@ def test_daily_summary_priorities(spark):
     assert out[0].subhead == "Today: 2 country nowcast moves · 1 IPC Phase 3+ crises · 3 environmental flags · 3 currency shocks."
     assert out[1].headline.startswith("4 countries in active IPC") and len(out[1].bullets) == 1
     assert out[2].headline.startswith("Quiet") and out[3].subhead == "All sources nominal." and out[3].bullets == []
+
+
+def test_polygon_centroid(spark):
+    from tillage.functions.geo import polygon_centroid
+
+    ring = lambda lon, lat, w, h: [[lon - w, lat - h], [lon + w, lat - h], [lon + w, lat + h], [lon - w, lat + h]]
+    octant = [[0.0, 0.0], [90.0, 0.0], [0.0, 90.0]]
+    cases = {
+        "octant": ([[octant]], (35.2644, 45.0)), "other way": ([[octant[::-1]]], (35.2644, 45.0)), "closed": ([[[*octant, octant[0]]]], (35.2644, 45.0)),
+        "date line": ([[ring(180.0, 0.0, 10.0, 5.0)]], (0.0, 180.0)), "written below": ([[[[170.0, -5.0], [-170.0, -5.0], [-170.0, 5.0], [170.0, 5.0]]]], (0.0, 180.0)),
+        "pole": ([[[[0.0, 80.0], [90.0, 80.0], [180.0, 80.0], [-90.0, 80.0]]]], (90.0, None)), "hole in the middle": ([[ring(20.0, 0.0, 9.0, 9.0), ring(20.0, 0.0, 3.0, 3.0)]], (0.0, 20.0)),
+        "hole to the east": ([[ring(20.0, 0.0, 4.0, 4.0), ring(22.0, 0.0, 2.0, 4.0)[::-1]]], (0.0, 18.0)), "two of one size": ([[ring(0.0, 0.0, 1.0, 1.0)], [ring(10.0, 0.0, 1.0, 1.0)]], (0.0, 5.0)),
+        "mostly the large": ([[ring(0.0, 0.0, 10.0, 10.0)], [ring(90.0, 0.0, 1.0, 1.0)]], (0.0, 0.58)), "a line": ([[[[0.0, 0.0], [10.0, 0.0]]]], (0.0, 5.0)), "a point": ([[[[7.0, 8.0]]]], (8.0, 7.0)), "nothing": ([], None), "no rings": ([[]], None), "empty ring": ([[[]]], None),
+    }
+    df = spark.createDataFrame([(k, v[0]) for k, v in cases.items()], "name string, p array<array<array<array<double>>>>")
+    for r in df.select("name", polygon_centroid(F.col("p")).alias("at")).collect():
+        want = cases[r.name][1]
+        assert (r.at is None) == (want is None), r.name
+        if want:
+            assert r.at.lat == pytest.approx(want[0], abs=0.01), r
+            assert want[1] is None or abs((r.at.lon - want[1] + 180) % 360 - 180) < 0.02, r
+    assert df.select(polygon_centroid(F.lit(None).cast("array<array<array<array<double>>>>")).alias("x")).first().x is None

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tillage.functions.dates import months_apart
@@ -108,6 +110,62 @@ def names_agree(name: str, rows: DataFrame, canonical: DataFrame, key: str, labe
     return checked(name, other, F.count("*"), F.col("found") == 0)
 
 
+class Rule(NamedTuple):
+    """What a table must keep: a count that one pass over its rows can add up, and its bounds (null: none)."""
+
+    check: str
+    found: Column
+    least: int | None = None
+    most: int | None = None
+
+    def passes(self, found: int) -> bool:
+        return (self.least is None or found >= self.least) and (self.most is None or found <= self.most)
+
+
+def rows_at_least(n: int) -> Rule:
+    return Rule(f"at least {n} rows", F.count("*"), least=n)
+
+
+def known_at_least(column: str, n: int) -> Rule:
+    return Rule(f"{column} known in at least {n} rows", F.count(column), least=n)
+
+
+def no_rows(what: str, bad: Column) -> Rule:
+    """No row may fulfil a condition; one that it can't be told of does not."""
+    return Rule(what, F.count_if(F.coalesce(bad, F.lit(False))), most=0)
+
+
+def within(column: str, low: float, high: float) -> Rule:
+    return no_rows(f"{column} within {low} and {high}", (F.col(column) < low) | (F.col(column) > high))
+
+
+def keys_present(column: str, required: list[str]) -> Rule:
+    """Every required key has a row; found says how many have none. Meant for a few keys: each is an aggregate of its own."""
+    missing = F.lit(0)
+    for key in required:
+        missing = missing + F.lit(1) - F.coalesce(F.max(F.when(F.col(column) == key, 1)), F.lit(0))
+    return Rule(f"{len(required)} keys of {column} present", missing, most=0)
+
+
+class Watched:
+    """Rows whose rules are told by the pass that writes them: write `rows`, then ask for `report()`. Nothing is read again."""
+
+    def __init__(self, rows: DataFrame, rules: list[Rule]):
+        self.rules, self.seen = rules, Observation()
+        self.rows = rows.observe(self.seen, F.count("*").alias("rows"), *(r.found.cast("long").alias(f"rule{k}") for k, r in enumerate(rules)))
+
+    def counts(self) -> list[int]:
+        return [int(self.seen.get[f"rule{k}"] or 0) for k in range(len(self.rules))]
+
+    def failed(self) -> list[str]:
+        return [r.check for r, n in zip(self.rules, self.counts()) if not r.passes(n)]
+
+    def report(self) -> DataFrame:
+        """check, found, passed: a row a rule."""
+        rows = [(r.check, n, r.passes(n)) for r, n in zip(self.rules, self.counts())]
+        return self.rows.sparkSession.createDataFrame(rows, "check string, found long, passed boolean")
+
+
 def gate(report: DataFrame, critical: int = 4) -> DataFrame:
     """One row: failures, and whether they stay under the number that fails a run."""
     return report.agg(F.count_if(~F.col("passed")).alias("failures")).withColumn("ok", F.col("failures") < critical)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillage.functions.bands import PHASES, phase_label
-from tillage.functions.geo import great_circle, opacity
+from tillage.functions.geo import great_circle, opacity, polygon_centroid
 from tillage.functions.numeric import by_unit, first_truthy, round_half_up
 from tillage.functions.text import first_link, severity, url_host
 from tillage.operators.reshape import mean_of
@@ -113,3 +113,22 @@ def q_great_circle(t: Tables) -> DataFrame:
     n = F.col("n_nationkey").cast("double")
     path = great_circle(n * 3 - 36, n * 7 - 80, F.lit(51.0), F.lit(5.0), 8)
     return t.nation.select("n_nationkey", F.explode(path).alias("p")).select("n_nationkey", "p.step", round_half_up("p.lat", 3).alias("lat"), round_half_up("p.lon", 3).alias("lon"))
+
+
+#: Each nation's rings: a four-cornered one that may cross the date line, and a hole in it, as (ring, point, lon, lat).
+_RINGS = """r AS (SELECT n_nationkey, CAST(n_nationkey * 15 - 175 AS DOUBLE) AS lon, CAST(n_nationkey * 5 - 60 AS DOUBLE) AS lat, CAST(8 + n_nationkey % 5 AS DOUBLE) AS w, CAST(4 + n_nationkey % 3 AS DOUBLE) AS h FROM nation),
+p AS (SELECT n_nationkey, ring, k, radians(lon + (CASE WHEN k IN (1, 2) THEN w ELSE -w END) * s + (1 - s)) AS l, radians(lat + (CASE WHEN k >= 2 THEN h ELSE -h END) * s) AS b FROM r, (VALUES (0, 1.0::DOUBLE), (1, 0.25::DOUBLE)) q(ring, s), range(0, 4) t(k))"""
+
+
+@query(f"""WITH {_RINGS}, u AS (SELECT *, cos(b) * cos(l) AS x, cos(b) * sin(l) AS y, sin(b) AS z FROM p),
+e AS (SELECT a.n_nationkey, a.ring, a.k, a.y * o.z - a.z * o.y AS x, a.z * o.x - a.x * o.z AS y, a.x * o.y - a.y * o.x AS z, a.x * o.x + a.y * o.y + a.z * o.z AS d FROM u a JOIN u o ON o.n_nationkey = a.n_nationkey AND o.ring = a.ring AND o.k = (a.k + 1) % 4),
+v AS (SELECT *, sqrt(x * x + y * y + z * z) AS m FROM e),
+s AS (SELECT n_nationkey, sum((CASE WHEN ring = 0 THEN 1 ELSE -1 END) * x * atan2(m, d) / m) AS x, sum((CASE WHEN ring = 0 THEN 1 ELSE -1 END) * y * atan2(m, d) / m) AS y, sum((CASE WHEN ring = 0 THEN 1 ELSE -1 END) * z * atan2(m, d) / m) AS z FROM v GROUP BY n_nationkey)
+SELECT n_nationkey, {rounded('degrees(atan2(z, sqrt(x * x + y * y)))', 3)} AS lat, {rounded('degrees(atan2(y, x))', 3)} AS lon FROM s""")
+def q_centroid(t: Tables) -> DataFrame:
+    """The middle of area of a polygon with a hole for each nation."""
+    lon, lat = (F.col("n_nationkey") * 15 - 175).cast("double"), (F.col("n_nationkey") * 5 - 60).cast("double")
+    w, h = (F.col("n_nationkey") % 5 + 8).cast("double"), (F.col("n_nationkey") % 3 + 4).cast("double")
+    ring = lambda s: F.array(*(F.array(lon + w * (a * s) + (1 - s), lat + h * (b * s)) for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1))))
+    at = polygon_centroid(F.array(F.array(ring(1.0), ring(0.25))))
+    return t.nation.select("n_nationkey", at.alias("at")).select("n_nationkey", round_half_up("at.lat", 3).alias("lat"), round_half_up("at.lon", 3).alias("lon"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillage.functions.bands import phase_label
+from tillage.functions.geo import polygon_centroid
 from tillage.functions.dates import period_label
 from tillage.functions.numeric import by_unit, clamp, first_truthy, known, percent_change, round_half_up
 from tillage.functions.parse import country_key, integer, iso_date, month_start, month_token, number
@@ -17,7 +18,7 @@ from tillage.functions.text import severity
 from tillage.operators import change, latest, resolve
 from tillage.operators.reshape import in_order, keyed, year_columns
 from tillage.operators.shares import partner_shares
-from tillage.sources.landing import feature_properties, find_column, json_stat_cells, table_below, world_bank_rows, year_mean
+from tillage.sources.landing import feature_properties, find_column, json_stat_cells, polygons, table_below, world_bank_rows, year_mean
 
 # --- fixed values -----------------------------------------------------------------------------------------------------
 
@@ -87,6 +88,13 @@ def hungermap(texts: DataFrame) -> DataFrame:
     )
 
 
+def places(texts: DataFrame) -> DataFrame:
+    """name, lat, lon: the middle of area of each feature of a map document, to four decimals; features without a name or area's place go."""
+    name = F.coalesce(*(F.try_variant_get("props", f"$.{k}", "string") for k in ("name", "NAME", "ADMIN", "admin")))
+    found = feature_properties(texts).select(name.alias("name"), polygon_centroid(polygons("geometry")).alias("at")).where("name is not null and at is not null")
+    return found.select("name", round_half_up("at.lat", 4).alias("lat"), round_half_up("at.lon", 4).alias("lon"))
+
+
 def hungermap_country(texts: DataFrame) -> DataFrame:
     """iso3, fx and inflation figures with their shock flags, wasting and stunting, of one document a country (iso3, value); rows that say nothing go."""
     doc = texts.select("iso3", F.coalesce(F.get_json_object("value", "$.body"), F.col("value")).alias("d"))

@@ -234,20 +234,34 @@ def _is(kind: str, v: Column | str) -> Column:
 
 
 def feature_properties(texts: DataFrame) -> DataFrame:
-    """key, props: the properties of each feature, as a variant, whichever way they are wrapped; each text is parsed once.
+    """key, props, geometry: the properties and geometry of each feature, as variants, whichever way they are wrapped; each text is parsed once.
 
     A list of features stands under body.features, features or at the top; or the document is a map by iso3, which is the key then (else null).
     Properties may be an object, a text that holds one, or the feature itself. What is no object goes.
     """
     at = F.try_variant_get
-    doc = texts.select(F.try_parse_json("value").alias("doc")).where("doc is not null")
-    doc = doc.withColumn("list", F.filter(F.coalesce(*(at("doc", p, "array<variant>") for p in ("$.body.features", "$.features", "$"))), lambda x: x.isNotNull() & ~F.is_variant_null(x)))
-    flat = doc.where("size(list) > 0").select(F.lit(None).cast("string").alias("key"), F.explode("list").alias("f"))
-    own = at("f", "$.properties", "variant")
-    flat = flat.select("key", F.when(own.isNull() | F.is_variant_null(own), F.col("f")).otherwise(own).alias("props"))
-    flat = flat.select("key", F.when(_is("STRING", "props"), F.try_parse_json(at("props", "$", "string"))).otherwise(F.col("props")).alias("props"))
-    maps = doc.where("coalesce(size(list), 0) <= 0").select(F.explode(at("doc", "$", "map<string,variant>")).alias("key", "props")).where(country_key("key").isNotNull())
-    return flat.union(maps).where(_is("OBJECT", "props"))
+    some = lambda v: v.isNotNull() & ~F.is_variant_null(v)
+    doc = texts.select(F.try_parse_json("value").alias("doc"))
+    listed = F.filter(F.coalesce(*(at("doc", p, "array<variant>") for p in ("$.body.features", "$.features", "$"))), some)
+
+    def feature(f: Column) -> Column:
+        own = F.when(some(at(f, "$.properties", "variant")), at(f, "$.properties", "variant")).otherwise(f)
+        props = F.when(_is("STRING", own), F.try_parse_json(at(own, "$", "string"))).otherwise(own)
+        return F.struct(F.lit(None).cast("string").alias("key"), props.alias("props"), at(f, "$.geometry", "variant").alias("geometry"))
+
+    keyed = F.transform(F.map_entries(at("doc", "$", "map<string,variant>")), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("props"), F.lit(None).cast("variant").alias("geometry")))
+    keyed = F.filter(keyed, lambda e: country_key(e["key"]).isNotNull())
+    # All of a text is told in one expression and an outer explode: a condition on what was parsed would be pushed below the parsing, and parse again.
+    found = doc.select(F.explode_outer(F.when(F.size(listed) > 0, F.transform(listed, feature)).otherwise(keyed)).alias("f"))
+    return found.select("f.*").where(_is("OBJECT", "props"))
+
+
+def polygons(geometry: Column | str) -> Column:
+    """array<polygon>, each of rings of points [lon, lat], of a Polygon or MultiPolygon; null for other geometries."""
+    at = F.try_variant_get
+    kind, ring = at(geometry, "$.type", "string"), "array<array<array<double>>>"
+    one = at(geometry, "$.coordinates", ring)
+    return F.when(kind == "MultiPolygon", at(geometry, "$.coordinates", f"array<{ring}>")).when((kind == "Polygon") & one.isNotNull(), F.array(one))
 
 
 def year_mean(texts: DataFrame, value: str = "value") -> DataFrame:
@@ -274,7 +288,7 @@ def year_mean(texts: DataFrame, value: str = "value") -> DataFrame:
 def fields(texts: DataFrame, value: str = "value", name: str = "key", out: str = "field") -> DataFrame:
     """texts with a row for each field of a JSON object: its name and its value as a variant; texts that hold no object give no row."""
     doc = texts.withColumn("doc__", F.try_parse_json(value))
-    return doc.where(_is("OBJECT", "doc__")).select(*texts.columns, F.explode(F.try_variant_get("doc__", "$", "map<string,variant>")).alias(name, out))
+    return doc.select(*texts.columns, F.explode_outer(F.try_variant_get("doc__", "$", "map<string,variant>")).alias(name, out)).where(F.col(name).isNotNull())
 
 
 _JS = re.compile(r"""(?P<text>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|`(?:[^`\\]|\\.)*`)|(?P<skip>//[^\n]*|/\*.*?\*/|\s+)|(?P<name>[A-Za-z_$][\w$]*)|(?P<number>-?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)|(?P<mark>.)""", re.DOTALL)
