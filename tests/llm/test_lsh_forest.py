@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pytest
 
 from tillage.llm.lsh_forest import Bands, Forest, nearest
 
@@ -44,7 +45,7 @@ def test_fewer_candidates_than_wanted_and_none(spark):
 
 def test_ties_go_to_the_smaller_id_across_blocks(spark):
     df = frame(spark, [(i, [1.0, 1.0]) for i in range(300)])
-    out = nearest(df, df.where("vec_id = 100"), k=5, block_rows=40, extra=100).orderBy("rank").collect()
+    out = nearest(df, df.where("vec_id = 100"), k=5, block_rows=40).orderBy("rank").collect()
     assert [r.vec_id for r in out] == [0, 1, 2, 3, 4]
 
 
@@ -87,6 +88,16 @@ def test_recall_on_vectors_of_unequal_length_and_with_a_third_equal(spark):
     assert recall(spark, (x * lengths).astype(np.float32)) >= 0.95
 
 
+@pytest.mark.parametrize("n", [500, 2000])
+def test_small_tables_are_searched_like_large_ones(spark, n):
+    draw = np.random.default_rng(n)
+    x = draw.standard_normal((n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert recall(spark, x.astype(np.float32), step=20) >= 0.93
+    found = Bands(x, 64, 20, 11).search(x[:50], np.arange(n), np.arange(50), 20, int(0.7 * n))
+    assert all(0.5 * n < len(rows) < 0.8 * n for rows, _ in found)  # through the forest, not all rows
+
+
 def test_trees_climb_until_so_many_different_rows_are_found():
     x = np.random.default_rng(2).standard_normal((600, 16))
     assert all(300 <= len(rows) < 600 for rows in Forest(x, 32, 16, 3).candidates(x[:20], 300, 3))
