@@ -150,6 +150,24 @@ def test_closest_name(spark):
     assert got == {"nigeria": ("exact", "NGA"), "Republic of Niger": ("partial", "NER"), "South Korea": ("alias", "KOR"), "the uk": ("partial", "GBR"), "Nig": ("partial", "NER"), "U": ("partial", "KOR")}
 
 
+def test_names_inside_texts(spark):
+    import random
+    import time
+
+    from tillage.operators.grams import grams, names_inside
+
+    rng = random.Random(4)
+    word = lambda k: "".join(rng.choice("abé😀 ") for _ in range(k))
+    texts = [(k, word(rng.randrange(0, 60))) for k in range(150)] + [(500, None), (501, ""), (502, "abab"), (502, "é"), (None, "abab")]
+    names = [word(rng.randrange(0, 7)) for _ in range(80)] + ["", None, "abab", "abab", "nowhere at all"]
+    got = names_inside(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame([(n,) for n in names], "name string"))
+    assert sorted(map(tuple, got.collect())) == sorted({(i, n) for i, t in texts for n in names if i is not None and t and n and n in t})
+    assert calc(spark, grams(F.lit("ababa"), 4)) == ["abab", "baba"] and calc(spark, grams(F.lit("aba"), 4)) == [] and calc(spark, grams(F.lit(""), 1)) in ([], [""])
+    long, begun = " ".join(str(k * 7919) for k in range(60_000)), time.monotonic()  # 500,000 characters
+    got = names_inside(spark.createDataFrame([(1, long + " needle here"), (2, long)], "id long, text string"), spark.createDataFrame([("needle",), ("7919",), ("absent",)], "name string"))
+    assert sorted(map(tuple, got.collect())) == [(1, "7919"), (1, "needle"), (2, "7919")] and time.monotonic() - begun < 60
+
+
 def test_reshape(spark):
     df = table(spark, "k int, `2020` double, `2021` double, other string", (1, 1.0, None, "x"))
     assert reshape.year_columns(df) == {2020: "2020", 2021: "2021"}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillage.operators.grams import names_inside
+
 
 def two_step(rows: DataFrame, first: DataFrame, second: DataFrame, first_on: Column, second_on: Column, out: str = "iso3") -> DataFrame:
     """rows with a key that the first lookup gives, or else the second; rows that neither knows go.
@@ -44,23 +46,11 @@ def overlay(layers: list[tuple[str, DataFrame]], keys: list[str], value: str, su
     return stacked.withColumn("order__", ordered).join(known, keys[0], "left_semi").groupBy(*keys).agg(best).select(*keys, "best__.*")
 
 
-def _cuts(text: str, lengths: str) -> Column:
-    """All parts of a text that have one of some lengths."""
-    size = F.length(text)
-
-    def cut(n: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(F.col(text), i, n))
-
-    return F.array_distinct(F.flatten(F.transform(F.filter(F.col(lengths), lambda n: n <= size), cut)))
-
-
 def closest_name(needles: DataFrame, names: DataFrame, aliases: DataFrame) -> DataFrame:
     """needle, how, name, key of the best match of each needle, in lower case and trimmed: the same name, an alias of a name, or a name that holds it or that it holds.
 
     needles(needle), names(name, key, ord), aliases(alias, name). Of equal matches the smallest ord wins. An empty needle matches
-    nothing. A text that holds another has it as one of its parts, so the third kind comes from equi-joins of the parts of either side,
-    of the lengths that the other side has, with the other side's whole texts: no pair meets that doesn't match, whatever the texts
-    begin with. Lengths are one row, no longer than the longest text.
+    nothing. The third kind comes from an index of grams, either way (see names_inside), so a long text costs its length.
     """
     low = lambda c: F.lower(F.trim(F.col(c)))
     asked = needles.select("needle", low("needle").alias("s")).where("s <> ''").distinct()
@@ -68,9 +58,9 @@ def closest_name(needles: DataFrame, names: DataFrame, aliases: DataFrame) -> Da
     exact = asked.join(known, F.col("s") == F.col("n")).select("needle", F.lit(1).alias("class"), "ord", "n", "key")
     other = aliases.select(low("alias").alias("a"), low("name").alias("n"))
     alias = asked.join(other, F.col("s") == F.col("a")).join(known, "n").select("needle", F.lit(2).alias("class"), "ord", "n", "key")
-    lengths = lambda df, c: F.broadcast(df.agg(F.collect_set(F.length(c)).alias("lengths")))  # noqa: E731  one row
-    held = asked.crossJoin(lengths(known, "n")).select("needle", F.explode(_cuts("s", "lengths")).alias("n")).join(known, "n")
-    holds = known.crossJoin(lengths(asked, "s")).select("ord", "n", "key", F.explode(_cuts("n", "lengths")).alias("s")).join(asked, "s")
+    texts = lambda df, c: df.select(F.col(c).alias("id"), F.col(c).alias("text")).distinct()
+    held = names_inside(texts(asked, "s"), known.select(F.col("n").alias("name"))).toDF("s", "n").join(asked, "s").join(known, "n")
+    holds = names_inside(texts(known, "n"), asked.select(F.col("s").alias("name"))).toDF("n", "s").join(asked, "s").join(known, "n")
     part = held.select("needle", "ord", "n", "key").union(holds.select("needle", "ord", "n", "key")).select("needle", F.lit(3).alias("class"), "ord", "n", "key")
     best = F.min_by(F.struct("class", "n", "key"), F.struct("class", "ord")).alias("best")
     found = exact.union(alias).union(part).groupBy("needle").agg(best)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tillage.functions.numeric import money, round_half_up
 from tillage.operators import resolve, scores, trade
+from tillage.operators.grams import names_inside
 from tillage.operators.reshape import in_order, zipped
 from tillage.plans.registry import Tables, query, rounded, summed
 from tillage.plans.views import NATION_YEARS, PROFILES, PURCHASES, nation_years, profiles, purchases
@@ -104,6 +105,16 @@ def q_fuzzy_match(t: Tables) -> DataFrame:
     return resolve.closest_name(t.supplier.select(needle.alias("needle")), names, aliases)
 
 
+@query("""WITH n AS (SELECT DISTINCT lower(w) AS name FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part UNION ALL SELECT p_name FROM part UNION ALL SELECT n_name FROM nation UNION ALL SELECT r_name FROM region) WHERE w <> '')
+SELECT DISTINCT doc_id, name FROM documents JOIN n ON contains(lower(text), name)""")
+def q_names_in_texts(t: Tables) -> DataFrame:
+    """Which names of parts, nations and regions, and words of part names, stand in each document, found by their rarest grams."""
+    words = t.part.select(F.explode(F.split("p_name", " ")).alias("name"))
+    names = words.union(t.part.select("p_name")).union(t.nation.select("n_name")).union(t.region.select("r_name"))
+    texts = t.documents.select(F.col("doc_id").alias("id"), F.lower("text").alias("text"))
+    return names_inside(texts, names.select(F.lower("name").alias("name"))).withColumnRenamed("id", "doc_id")
+
+
 @query("""WITH a AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS names, list(CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_totalprice END ORDER BY o_orderkey) AS w FROM orders GROUP BY o_custkey),
 z AS (SELECT o_custkey, unnest(range(1, len(names) + 1)) AS pos, names, w[1:3] AS w FROM a)
 SELECT o_custkey, pos, names[pos] AS name, coalesce(nullif(w[pos], 0), 20.0::DOUBLE) AS weight FROM z""")
