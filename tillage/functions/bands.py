@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Upper ends (included) and names of the risk bands, their colours, and the names of outlook phases.
 RISK = ((25, "Resilient"), (50, "Exposed"), (75, "Dependent"), (None, "Structurally Vulnerable"))
 RISK_COLOURS = ((25, "#6ba36b"), (50, "#c9a957"), (75, "#d27a3e"), (88, "#c44b3c"), (None, "#7a2922"))
+#: Our reading of the five bands that scenarios speak of, whose ends are not given: those of the colours; the last name is ours.
+FIVE = ((25, "Resilient"), (50, "Exposed"), (75, "Dependent"), (88, "Structurally Vulnerable"), (None, "Critical"))
 PHASES = {1: "Minimal (1)", 2: "Stressed (2)", 3: "Crisis (3)", 4: "Emergency (4)", 5: "Famine (5)"}
 #: Supplier concentration above which a tier is named.
 CONCENTRATION = ((60, "High concentration risk"), (30, "Moderate concentration"))
@@ -26,6 +28,10 @@ def risk_label(score: Column | str) -> Column:
     return banded(score, RISK)
 
 
+def five_bands(score: Column | str) -> Column:
+    return banded(score, FIVE)
+
+
 def risk_colour(score: Column | str) -> Column:
     return banded(score, RISK_COLOURS)
 

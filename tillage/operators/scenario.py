@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillage.functions.bands import risk_label
+from tillage.functions.bands import five_bands, risk_label
 from tillage.functions.numeric import or_zero, round_half_up
 
 #: Fixed values: (id, label, input, base, factors): the impact is the rounded base + input * factors, multiplied in that order.
@@ -57,6 +57,12 @@ def stressed(profiles: DataFrame, chosen: list[str] | None = None, scenarios=SCE
     return out.withColumn("crosses", risk_label("fdrs") != risk_label("new_score"))
 
 
+def band_moves(stress: DataFrame) -> DataFrame:
+    """before, after, countries, mean_delta (one decimal): how many countries a stress takes from each of the five bands to each."""
+    moves = stress.groupBy(five_bands("fdrs").alias("before"), five_bands("new_score").alias("after"))
+    return moves.agg(F.count("*").alias("countries"), round_half_up(F.sum(F.col("delta").cast("decimal(12,2)")).cast("double") / F.count("*"), 1).alias("mean_delta"))
+
+
 def most_affected(stress: DataFrame, n: int = 40) -> DataFrame:
     """The n countries of the largest delta, ties by name."""
     return stress.orderBy(F.desc("delta"), "name").limit(n)

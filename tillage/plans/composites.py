@@ -203,6 +203,23 @@ def q_scenario(t: Tables) -> DataFrame:
     return scenario.most_affected(scenario.stressed(profiles(t)))
 
 
+_FIVE = "CASE WHEN {0} <= 25 THEN 'Resilient' WHEN {0} <= 50 THEN 'Exposed' WHEN {0} <= 75 THEN 'Dependent' WHEN {0} <= 88 THEN 'Structurally Vulnerable' ELSE 'Critical' END"
+
+
+@query(f"WITH {PROFILES}, {_STRESS} SELECT {_FIVE.format('fdrs')} AS before, {_FIVE.format('new_score')} AS after, count(*) AS countries, {rounded(summed('delta') + ' / count(*)', 1)} AS mean_delta FROM stressed GROUP BY ALL")
+def q_scenario_bands(t: Tables) -> DataFrame:
+    """From which of five bands to which the scenarios together take countries."""
+    return scenario.band_moves(scenario.stressed(profiles(t)))
+
+
+@query(f"WITH {PROFILES} SELECT iso, {rounded('CASE WHEN customers % 3 = 0 THEN c[4] ELSE (customers % 90) * 0.6::DOUBLE + c[4] * (1 - 0.6::DOUBLE) END', 2)} AS climate, {rounded('CASE WHEN nf % 2 = 0 THEN c[5] ELSE (nf % 100) * 0.6::DOUBLE + c[5] * (1 - 0.6::DOUBLE) END', 2)} AS conflict FROM profiles JOIN (SELECT iso AS i, c[2] AS b, c[3] AS a FROM profiles) ON i = iso, LATERAL (SELECT CAST(b AS BIGINT) AS customers, CAST(a AS BIGINT) AS nf)")
+def q_blended(t: Tables) -> DataFrame:
+    """Two components of which three fifths are sourced where a source has them: sourced values are made of two others, every third and second unknown."""
+    c = lambda k: F.get("c", F.lit(k))
+    sourced = lambda k, by, of: F.when(c(k).cast("long") % by != 0, (c(k).cast("long") % of).cast("double"))
+    return profiles(t).select("iso", round_half_up(scores.blended(sourced(1, 3, 90), c(3)), 2).alias("climate"), round_half_up(scores.blended(sourced(2, 2, 100), c(4)), 2).alias("conflict"))
+
+
 @query(f"WITH {PROFILES} SELECT iso, s.scenario, s.impact FROM (SELECT iso, unnest([{', '.join(f'{{scenario: {chr(39)}{k}{chr(39)}, impact: {v}}}' for k, v in _IMPACTS.items())}]) AS s FROM profiles)")
 def q_scenario_impacts(t: Tables) -> DataFrame:
     """Every scenario's impact on every country."""
