@@ -513,3 +513,40 @@ def test_features_as_variants_are_parsed_once(spark):
     given = texts(spark, *docs)
     for df, n in ((feeds.hungermap(given), 2), (feeds.places(given), 2), (landing.year_mean(given), 1), (landing.fields(given), 1)):  # a text that stands for properties is a text of its own
         assert df._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == n
+
+
+def test_pages_are_tasks(spark, tmp_path):
+    from tillage.sources import paged
+
+    log = str(tmp_path / "tries")
+
+    def get(offset, size):
+        with open(log, "a") as f:
+            f.write(f"{offset}\n")
+        if offset == 20 or (offset == 10 and open(log).read().split().count("10") < 2):
+            raise OSError("no")
+        return [(k, f"r{k}") for k in range(offset, min(offset + size, 47))]
+
+    rows = lambda **more: paged.offset_rows(spark, get, lambda: 47, "id long, name string", 10, tries=2, backoff=0.01, **more)
+    df = rows()
+    assert df.rdd.getNumPartitions() == 5
+    assert sorted(r.id for r in df.collect()) == [k for k in range(47) if not 20 <= k < 30]
+    assert open(log).read().split().count("20") == 2 and open(log).read().split().count("10") == 2
+    with pytest.raises(Exception, match="no"):
+        rows(strict=True).collect()
+    assert paged.offset_rows(spark, get, lambda: 0, "id long, name string").collect() == []
+    numbered = paged.numbered_rows(spark, lambda k: [(k,)] * (3 if k < 3 else 1 if k == 3 else 0), "page long", 5)
+    assert sorted(r.page for r in numbered.collect()) == [1, 1, 1, 2, 2, 2, 3]
+
+
+def test_members_of_archives_are_tasks(spark, tmp_path):
+    from tillage.sources import paged
+
+    for k in range(2):
+        with zipfile.ZipFile(tmp_path / f"{k}.zip", "w") as z:
+            for m in ("a.csv", "b.csv", "notes.txt"):
+                z.writestr(m, "".join(f"{k},{m},é{n}\r\n" for n in range(3)).encode("latin-1"))
+    df = paged.member_lines(spark, str(tmp_path), encoding="latin-1")
+    assert df.rdd.getNumPartitions() == 4
+    assert sorted((r.archive[-5:], r.member, r.line, r.value) for r in df.collect()) == sorted((f"{k}.zip", m, n, f"{k},{m},é{n}") for k in range(2) for m in ("a.csv", "b.csv") for n in range(3))
+    assert paged.member_lines(spark, str(tmp_path / "0.zip"), "notes").count() == 3 and paged.member_lines(spark, str(tmp_path / "none.zip")).count() == 0

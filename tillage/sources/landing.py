@@ -91,8 +91,9 @@ def land_zip(spark: SparkSession, path: str, folder: str, wanted: str = r"\.csv$
     """Text lines of the first member whose name fits (else the first .csv) of a ZIP file, or of each in a folder, written to a folder and read from it.
 
     A ZIP member is one stream, so an archive is one task's work, line by line; of a folder of archives each is a task and a file of its own,
-    held whole while it is read. What comes after reads the folder in parallel.
+    held whole while it is read (member_lines of paged.py holds none, where tasks can open the archives). What comes after reads the folder in parallel.
     """
+
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
@@ -111,13 +112,9 @@ def land_zip(spark: SparkSession, path: str, folder: str, wanted: str = r"\.csv$
 
     if not exists(spark, path):
         return spark.createDataFrame([], "value string")
-    apart = "spark.sql.files.maxPartitionBytes"
-    before = spark.conf.get(apart)
-    spark.conf.set(apart, "1b")  # no two archives in a task, nor in a file
-    try:
-        spark.read.format("binaryFile").load(path).select("content").mapInPandas(lines, "value string").write.mode("overwrite").text(folder)
-    finally:
-        spark.conf.set(apart, before)
+    own = spark.newSession()  # its settings are seen by no other query
+    own.conf.set("spark.sql.files.maxPartitionBytes", "1b")  # no two archives in a task, nor in a file
+    own.read.format("binaryFile").load(path).select("content").mapInPandas(lines, "value string").write.mode("overwrite").text(folder)
     return spark.read.text(folder)
 
 
