@@ -113,3 +113,34 @@ def test_of_two_writers_one_wins(spark, documents):
     with pytest.raises(Py4JJavaError):
         store.commit(rows, 1)
     assert store.version() == 2 and store.read().count() == 1
+
+
+def test_an_append_that_loses_a_race_commits_on_the_version_that_won(spark, documents, monkeypatch):
+    root = Scratch(spark, "t-append-race").root
+    store, other = ShardStore(spark, root), ShardStore(spark, root)
+    store.append(documents([(1, "a")]))
+    listed, left = store._listed, [2, 3]
+
+    def late(runs):  # while this writer lists its run, others commit theirs
+        out = listed(runs)
+        while left:
+            other.append(documents([(left.pop(), "b")]))
+        return out
+
+    monkeypatch.setattr(store, "_listed", late)
+    assert store.append(documents([(4, "c")])) == 4
+    assert sorted(r.doc_id for r in store.read().collect()) == [1, 2, 3, 4] and store.manifest().select("run").distinct().count() == 4
+    assert sorted(r.doc_id for r in store.read(3).collect()) == [1, 2, 3]
+
+
+def test_a_commit_that_fails_without_a_race_raises(spark, documents, monkeypatch):
+    store = ShardStore(spark, Scratch(spark, "t-append-fails").root)
+    store.append(documents([(1, "a")]))
+
+    def broken(rows, base):
+        raise OSError("no space")
+
+    monkeypatch.setattr(store, "commit", broken)
+    with pytest.raises(OSError, match="no space"):
+        store.append(documents([(2, "b")]))
+    assert store.version() == 1 and store.read().count() == 1

@@ -20,8 +20,9 @@ class ShardStore:
     append() writes arrivals as a new run of small shards; compact() merges `fanout` or more runs of similar size (one tier: sizes
     within a factor of fanout) into one run of files of about target_bytes; both end by committing the next manifest version.
     A version is a folder of its own plus a marker file that holds the folder's name. The marker is written under another name and
-    renamed without overwriting: of two writers one wins, and a writer that dies leaves no half-made version. vacuum() removes what
-    the newest version no longer needs.
+    renamed without overwriting: of two writers one wins, and a writer that dies leaves no half-made version. An append that loses
+    commits again on the version that won; a merge that loses raises, and its run goes with vacuum(), which removes what the newest
+    version no longer needs.
     A run is listed by one row per shard; the driver sees one row per run. The columns of a store without runs are kept beside them.
     """
 
@@ -99,8 +100,18 @@ class ShardStore:
                     if not self.fs.rename(s.getPath(), hadoop_path(self.spark, f"{self.root}/data/{runs[-1]}")[1]):
                         raise OSError(f"can't move {s.getPath()}")
             self.fs.delete(hadoop_path(self.spark, folder)[1], True)
-        rows = self.manifest(base)
-        return self.commit(rows.union(self._listed(runs)) if runs else rows, base)
+        return self._add(self._listed(runs) if runs else None, base)
+
+    def _add(self, listed: DataFrame | None, base: int) -> int:
+        """Commits the manifest of version base with these rows more; where another writer has been first, that of the version then newest."""
+        while True:
+            try:
+                rows = self.manifest(base)
+                return self.commit(rows if listed is None else rows.union(listed), base)
+            except Exception:
+                if self.version() <= base:  # no race was lost
+                    raise
+                base = self.version()
 
     def compact(self) -> bool:
         """One merge of the lowest tier that holds `fanout` runs or more; False if none does."""
