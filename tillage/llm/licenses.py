@@ -37,6 +37,28 @@ KNOWN = (
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
 )
+#: sha256 of the canonical() whole texts of longer licences as published, and of those that have an appendix up to "END OF TERMS AND CONDITIONS".
+DIGESTS = (
+    ("Apache-2.0", "ef36af97727268b60fb709836c24580bed9887f649dba6f0fd9ef4b18232fd25"),
+    ("Apache-2.0", "119e2da0e9ec849d113a40405b338c1bbbd2ef9194c22bf2740fa4e195411c40"),
+    ("Artistic-1.0-Perl", "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2"),
+    ("CC0-1.0", "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e"),
+    ("GFDL-1.2", "5379e6f33e826ba185b23fd11a414555c2161fda481478babd1e73a3ae098a71"),
+    ("GFDL-1.3", "93d6108daecdddc5f284cf8f2512fb0d72f6e9ee12381feb9704ba194b00c3e6"),
+    ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-1.0", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"),
+    ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-2.0", "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34"),
+    ("GPL-3.0", "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68"),
+    ("GPL-3.0", "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636"),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.0", "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-2.1", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "26ba73e836ecb04fe87d5eca80ca27cff1afa2d7683455be1517bd23b8d27986"),
+    ("MPL-2.0", "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a"),
+)
 
 
 def _stripped(text: str | Column) -> Column:
@@ -78,6 +100,11 @@ def digests(known: DataFrame) -> DataFrame:
     return known.where(canonical("text") != "").groupBy(F.sha2(canonical("text"), 256).alias("digest")).agg(F.min("license").alias("license"))
 
 
+def known_digests(spark: SparkSession) -> DataFrame:
+    """(license, digest) of licences that are known by their canonical digest alone."""
+    return spark.createDataFrame(DIGESTS, "license string, digest string")
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(KNOWN, "license string, text string")
 
@@ -88,10 +115,11 @@ def licenses_of(spark: SparkSession, folder: str) -> DataFrame:
     return texts.select(F.regexp_extract("_metadata.file_name", r"^(.*?)(?:\.txt)?$", 1).alias("license"), F.col("value").alias("text"))
 
 
-def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, known: DataFrame, listed: DataFrame | None = None) -> DataFrame:
     """Which licence each row of documents(doc_id, text) is, and which it states on a line of its own.
 
-    doc_id; digest (sha256 of the canonical whole text); license (the known licence whose whole text has that digest, else null);
+    known has (license, text); listed, if given, has (license, digest) of further whole texts, which are no lines. Of two names of
+    one digest the first by alphabet counts. Returns doc_id; digest (sha256 of the canonical whole text); license (the known licence whose whole text has that digest, else null);
     line_licenses (sorted names of the known texts that are a line of the document, comma-joined, else null; lines meet by a
     64-bit digest of their canonical form). One pass over the texts; the joins move digests only.
 
@@ -105,7 +133,10 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     rows = scratch.save(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
     stated = known.where(canonical("text") != "").select(F.xxhash64(canonical("text")).alias("key"), "license").distinct()
     stated = rows.select("row", F.explode("keys").alias("key")).join(stated, "key").groupBy("row").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("line_licenses"))
-    return rows.select("row", "doc_id", "digest").join(digests(known), "digest", "left").join(stated, "row", "left").select("doc_id", "digest", "license", "line_licenses")
+    whole = digests(known)
+    if listed is not None:
+        whole = whole.unionByName(listed.select("digest", "license")).groupBy("digest").agg(F.min("license").alias("license"))
+    return rows.select("row", "doc_id", "digest").join(whole, "digest", "left").join(stated, "row", "left").select("doc_id", "digest", "license", "line_licenses")
 
 
 #: DuckDB SQL of the query's rows.
@@ -119,12 +150,13 @@ def oracle() -> str:
     strip = r"""regexp_replace(regexp_replace(lower(coalesce(text, '')), '(?m)^[^\p{L}\p{N}\n]*(?:copyright(?: \(c\)| ©|:)? *(?:\d|by\b|©|\(c\))|© *\d|\(c\) *\d|all rights reserved)[^\n]*$', '', 'g'), '[^\p{L}\p{N}\n]+', ' ', 'g')"""
     flat = spelled("trim(regexp_replace(plain, '[ \\n]+', ' ', 'g'))")
     values = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in KNOWN)
+    listed = ", ".join(f"('{name}', '{digest}')" for name, digest in DIGESTS)
     return f"""
 WITH known AS (SELECT license, {flat} AS canon FROM (SELECT license, {strip} AS plain FROM (VALUES {values}) AS v(license, text))),
 d AS (SELECT doc_id, row_number() OVER () AS rid, {strip} AS plain FROM documents),
 whole AS (SELECT doc_id, rid, sha256({flat}) AS digest FROM d),
 lines AS (SELECT DISTINCT rid, {spelled("trim(line)")} AS canon FROM (SELECT rid, unnest(string_split(plain, chr(10))) AS line FROM d) WHERE trim(line) <> ''),
 stated AS (SELECT rid, string_agg(DISTINCT license, ',' ORDER BY license) AS line_licenses FROM lines JOIN known USING (canon) GROUP BY rid),
-texts AS (SELECT sha256(canon) AS digest, min(license) AS license FROM known GROUP BY 1)
+texts AS (SELECT digest, min(license) AS license FROM (SELECT license, sha256(canon) AS digest FROM known UNION ALL SELECT * FROM (VALUES {listed}) AS g(license, digest)) GROUP BY 1)
 SELECT doc_id, digest, license, line_licenses FROM whole LEFT JOIN texts USING (digest) LEFT JOIN stated USING (rid)
 """

@@ -48,7 +48,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_licenses(spark), licenses.known_digests(spark))
 
 
 def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
