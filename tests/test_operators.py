@@ -168,6 +168,23 @@ def test_names_inside_texts(spark):
     assert sorted(map(tuple, got.collect())) == [(1, "7919"), (1, "needle"), (2, "7919")] and time.monotonic() - begun < 60
 
 
+@pytest.mark.parametrize("sent", [0, 32 << 20])
+def test_names_inside_look_at_a_word_once(spark, monkeypatch, sent):
+    from pathlib import Path
+
+    from tillage.operators import grams
+    from tillage.session import shared_folder
+
+    monkeypatch.setattr(grams, "SENT", sent)
+    written = lambda: set(Path(f"{shared_folder(spark).removeprefix('file:')}/tillage-{spark.sparkContext.applicationId}").glob("grams-*"))
+    texts, names = "alpha bolts  hotbolt cold  plates", ["bolt", "hot", "ts  h", "  ", "   ", " ", "d  plate", "old plate", "alpha bolts", "alpha  bolts", "zzzz bolt"]
+    before = written()
+    got = grams.names_inside(table(spark, "id long, text string", *((k, texts) for k in range(300))), table(spark, "name string", *((n,) for n in names)))
+    assert values(got) == sorted(((k, n) for k in range(300) for n in names if n in texts), key=str)
+    (folder,) = written() - before
+    assert spark.read.parquet(str(folder)).count() < 60  # a posting for a different word and gram, not for a text
+
+
 def test_reshape(spark):
     df = table(spark, "k int, `2020` double, `2021` double, other string", (1, 1.0, None, "x"))
     assert reshape.year_columns(df) == {2020: "2020", 2021: "2021"}
