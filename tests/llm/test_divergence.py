@@ -107,3 +107,21 @@ def test_shares_are_exact(rng):
 def test_empty_table(spark, table):
     df = divergence.audit(table([]))
     assert df.collect() == [] and dict(df.dtypes) == {"lang": "string", "source": "string", "part": "string", "item": "string", "value": "bigint", "rank": "int"}
+
+
+def test_a_block_has_each_term_once(spark, table):
+    import zstandard
+
+    df = table([(f"same words {k % 5} again and again", "en", f"s{k % 2}") for k in range(200)]).coalesce(1)
+    rows = [r for r in divergence._first_pass(df).collect() if r.kind != divergence.TERM]
+    unpack = lambda data: zstandard.ZstdDecompressor().decompress(bytes(data))
+    assert sorted(w for r in rows if r.kind == divergence.TEXT for w in unpack(r.text).split()) == [b"again", b"and", b"same", b"words"]
+    times = {r.source: np.frombuffer(unpack(r.times), np.int64).tolist() for r in rows if r.times is not None}
+    assert times == {"s0": [100, 100, 200, 100], "s1": [100, 100, 200, 100]}
+
+
+def test_shares_as_columns_are_exact(spark):
+    counts = [0, 1, 10**9, 8 * 10**9 - 1, 8 * 10**9, 8 * 10**9 + 1, 10**12, 10**15]
+    rows = spark.createDataFrame([(c, 3 * c + 7) for c in counts], "count long, total long")
+    got = rows.select(divergence._exact_share("count", "total").cast("long")).collect()
+    assert [r[0] for r in got] == [1 + 10**9 * (c + 1) // (3 * c + 7) for c in counts]

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain, count
 from operator import itemgetter
 
 import ahocorasick
@@ -25,9 +26,10 @@ COMMON, LONGEST = 100_000, 256
 #: Counts that a task gathers before they go out.
 GATHERED = 3_000_000
 ONE = 1_000_000_000
-#: Kinds of rows of the first pass: text of a source (compressed; n is its length), and a term with how many documents (n) have it here for the first time.
-TEXT, TERM = 0, 1
-_FIRST = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("lang", pa.string()), ("source", pa.string()), ("text", pa.binary()), ("term", pa.binary()), ("n", pa.int64())])
+#: Kinds of rows of the first pass: how often (times) a source has which of a block's terms (text; both packed, n is the length of its text here), a block's different terms as a packed text,
+#: and a term with how many documents (n) have it here for the first time.
+TIMES, TEXT, TERM = 0, 1, 2
+_FIRST = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("lang", pa.string()), ("source", pa.string()), ("text", pa.binary()), ("times", pa.binary()), ("term", pa.binary()), ("n", pa.int64())])
 _SECOND = pa.schema([("lang", pa.string()), ("source", pa.string()), ("number", pa.int64()), ("count", pa.int64())])
 
 
@@ -50,20 +52,35 @@ def _rows(schema: pa.Schema, rows: int, /, **columns) -> pa.RecordBatch:
 
 
 class _Block:
-    """Documents of one language: their texts by source, and for each term the documents that are counted here."""
+    """Documents of one language: their different terms by number, and the numbers of each part of a document, with its source."""
 
     def __init__(self):
-        self.texts, self.docs, self.size = {}, Counter(), 0
+        self.terms: dict[bytes, int] = defaultdict(count().__next__)
+        self.parts, self.sources, self.lengths, self.again, self.size = [], [], Counter(), [], 0
+
+    def add(self, source: str, part: bytes, terms: list[bytes]) -> None:
+        self.parts.append(np.fromiter(map(self.terms.__getitem__, terms), np.int32, len(terms)))
+        self.sources.append(source)
+        self.lengths[source] += len(part)
+        self.size += len(part)
 
     def batches(self, block: int, lang: str) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3)
-        for source, parts in self.texts.items():
-            text = b" ".join(parts)
-            yield _rows(_FIRST, 1, kind=TEXT, block=block, lang=lang, source=source, text=[pack.compress(text)], n=len(text))
-        terms = sorted(self.docs)
-        for lo in range(0, len(terms), 50_000):
+        pack, terms, many = zstandard.ZstdCompressor(level=3), list(self.terms), len(self.terms)
+        yield _rows(_FIRST, 1, kind=TEXT, block=block, lang=lang, source="", text=[pack.compress(b" ".join(terms))])
+        of, docs = {s: k for k, s in enumerate(self.lengths)}, -np.bincount(np.concatenate([np.empty(0, np.int32), *self.again]), minlength=many)
+        lengths, numbers = [len(p) for p in self.parts], np.concatenate(self.parts).astype(np.int64)
+        pairs = np.sort(np.repeat(np.arange(len(lengths)), lengths) * many + numbers)
+        docs += np.bincount(pairs[np.r_[True, pairs[1:] != pairs[:-1]]] % many, minlength=many)
+        found, times = np.unique(np.repeat([of[s] for s in self.sources], lengths) * many + numbers, return_counts=True)
+        marks = np.searchsorted(found, np.arange(len(of) + 1) * many)
+        for (source, k), lo, hi in zip(of.items(), marks, marks[1:]):
+            own = (found[lo:hi] - k * many).astype(np.int32)
+            yield _rows(_FIRST, 1, kind=TIMES, block=block, lang=lang, source=source, text=[pack.compress(own.tobytes())], times=[pack.compress(times[lo:hi].astype(np.int64).tobytes())], n=self.lengths[source])
+        docs = docs.tolist()
+        terms.sort()
+        for lo in range(0, many, 50_000):
             some = terms[lo : lo + 50_000]
-            yield _rows(_FIRST, len(some), kind=TERM, block=block, lang=lang, term=some, n=[self.docs[t] for t in some])
+            yield _rows(_FIRST, len(some), kind=TERM, block=block, lang=lang, term=some, n=[docs[self.terms[t]] for t in some])
 
 
 def _first_pass(docs: DataFrame) -> DataFrame:
@@ -75,18 +92,17 @@ def _first_pass(docs: DataFrame) -> DataFrame:
             for text, lang, source in zip(*(batch[c].to_pylist() for c in ("text", "lang", "source"))):
                 seen, parts = set(), list(pieces(text.translate(_LETTERS), BLOCK // 2))
                 for part in parts:
-                    terms = set(part.split())
+                    terms = part.split()
                     if not terms:
                         continue
                     block = open_.setdefault(lang, _Block())
-                    block.docs.update(terms - seen if seen else terms)
+                    block.add(source, part, terms)
                     if len(parts) > 1:
-                        block.docs.update(dict.fromkeys(terms & seen, 0))
-                        seen |= terms
-                    block.texts.setdefault(source, []).append(part)
-                    block.size += len(part)
+                        known = seen.intersection(terms)
+                        block.again.append(np.fromiter(map(block.terms.__getitem__, known), np.int32, len(known)))
+                        seen.update(terms)
                     held += len(part)
-                    if held >= OPEN or block.size >= BLOCK or len(block.docs) >= TERMS:
+                    if held >= OPEN or block.size >= BLOCK or len(block.terms) >= TERMS:
                         for name in list(open_) if held >= OPEN else [lang]:
                             closed, number = open_.pop(name), number + 1
                             held -= closed.size
@@ -97,7 +113,7 @@ def _first_pass(docs: DataFrame) -> DataFrame:
 
     named = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]
     given = docs.select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), *named)
-    return given.mapInArrow(run, "kind int, block long, lang string, source string, text binary, term binary, n long")
+    return given.mapInArrow(run, "kind int, block long, lang string, source string, text binary, times binary, term binary, n long")
 
 
 def automaton(terms: list[str]) -> ahocorasick.Automaton:
@@ -114,6 +130,13 @@ def occurrences(found: ahocorasick.Automaton, text: str) -> Counter:
     return Counter(map(itemgetter(1), found.iter(text)))
 
 
+def places(found: ahocorasick.Automaton, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The terms of an automaton in a text of different terms with one space around each, and which of the text's terms they are."""
+    flat = np.fromiter(chain.from_iterable(found.iter(text)), np.int64)
+    spaces = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
+    return flat[1::2], np.searchsorted(spaces, flat[0::2]) - 1  # a match ends at the space behind its term
+
+
 def _text(data: bytes) -> str:
     return data.decode("utf-8", "surrogateescape")
 
@@ -147,33 +170,39 @@ class _Gathered:
 
 
 def _second_pass(blocks: DataFrame, common: Broadcast) -> DataFrame:
-    """Counts of the kept terms by source: rows come block by block, the terms of a block that aren't common ones before its texts."""
+    """Counts of the kept terms by source: rows come block by block, its kept terms that aren't common ones first, then the text of its terms, then how often sources have these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, terms, numbers, own, gathered, unpack = None, [], [], None, _Gathered(), zstandard.ZstdDecompressor()
+        at, terms, numbers, kept, gathered, unpack = None, [], [], np.empty(0, np.int64), _Gathered(), zstandard.ZstdDecompressor()
         of_lang: dict[str, tuple[ahocorasick.Automaton, np.ndarray]] = {}
         for batch in batches:
-            for block, kind, lang, source, text, term, number in zip(*(batch[c].to_pylist() for c in ("block", "kind", "lang", "source", "text", "term", "number"))):
+            for block, kind, lang, source, text, times, term, number in zip(*(batch[c].to_pylist() for c in ("block", "kind", "lang", "source", "text", "times", "term", "number"))):
                 if block != at:
-                    at, terms, numbers, own = block, [], [], None
+                    at, terms, numbers = block, [], []
                 if kind == TERM:
                     terms.append(_text(term))
                     numbers.append(number)
                     continue
+                if kind == TIMES:
+                    held = kept[np.frombuffer(unpack.decompress(text), np.int32)]
+                    gathered.add(lang, source, held[held >= 0], np.frombuffer(unpack.decompress(times), np.int64)[held >= 0])
+                    yield from gathered.batches(GATHERED)
+                    continue
                 if lang not in of_lang:
                     if len(of_lang) >= 8:
                         of_lang.pop(next(iter(of_lang)))
                     listed = common.value.get(lang, [])
                     of_lang[lang] = automaton([_text(t) for t, _ in listed]), np.array([n for _, n in listed], np.int64)
-                if own is None:
-                    own = automaton(terms), np.array(numbers, np.int64)
+                own = automaton(terms), np.array(numbers, np.int64)
+                parts = []  # the numbers of the block's terms, -1 for those that aren't kept
                 for part in pieces(unpack.decompress(text), 1 << 20):
-                    padded = f" {_text(part)} "
+                    padded = f" {_text(part.strip())} "
+                    parts.append(np.full(padded.count(" ") - 1, -1, np.int64))
                     for found, named in (of_lang[lang], own):
                         if len(named):
-                            counted = occurrences(found, padded)
-                            gathered.add(lang, source, named[np.fromiter(counted.keys(), np.int64, len(counted))], np.fromiter(counted.values(), np.int64, len(counted)))
-                yield from gathered.batches(GATHERED)
+                            which, place = places(found, padded)
+                            parts[-1][place] = named[which]
+                kept = np.concatenate(parts)
         yield from gathered.batches(GATHERED)
         yield from gathered.batches(0)
 
@@ -279,8 +308,8 @@ def _pairs(dealt: DataFrame) -> DataFrame:
 
 
 def _exact_share(count: str, total: str) -> Column:
-    """shares() as a Column."""
-    return F.expr(f"1 + (CAST({ONE} AS DECIMAL(10,0)) * CAST({count} + 1 AS DECIMAL(20,0))) div CAST({total} AS DECIMAL(20,0))")
+    """shares() as a Column; products beyond a long are decimals."""
+    return F.expr(f"1 + CASE WHEN {count} < {8 * ONE} THEN {ONE}L * ({count} + 1) div {total} ELSE (CAST({ONE} AS DECIMAL(10,0)) * CAST({count} + 1 AS DECIMAL(20,0))) div CAST({total} AS DECIMAL(20,0)) END")
 
 
 def _common(kept: DataFrame) -> DataFrame:
@@ -339,7 +368,7 @@ def audit(docs: DataFrame, least_docs: int = 3, top: int = 200) -> DataFrame:
     falling value, then by the item's bytes.
 
     First pass: documents become blocks of bounded size of one lang, with their distinct terms, and exact document frequencies are summed. Second
-    pass: occurrences of kept terms, padded with spaces, are counted by two automata: one of the 100,000 terms of most blocks, which all tasks
+    pass: the different terms of a block, padded with spaces, are met by two automata of kept terms, and each source's counts there go by these: one of the 100,000 terms of most blocks, which all tasks
     get, and one of each block's other kept terms, which go to the blocks that have them; so no task or broadcast holds the whole vocabulary. Pairs come from postings (term, source, count), dealt by term and by blocks of 256 sources, without
     a row for a term and pair: what a zero on one or both sides gives is added by distinct count. All numbers are whole.
 
@@ -359,9 +388,9 @@ def audit(docs: DataFrame, least_docs: int = 3, top: int = 200) -> DataFrame:
         listed.setdefault(r.lang, []).append((bytes(r.term), r.number))
     rest = terms.join(F.broadcast(common.select("lang", "term")), ["lang", "term"], "left_anti")  # COMMON rows at most
     wanted = rest.select("block", "lang", "term").join(kept.join(F.broadcast(common.select("number")), "number", "left_anti"), ["lang", "term"])
-    texts = first.where(F.col("kind") == TEXT).select("block", "kind", "lang", "source", "text", F.lit(None).cast("binary").alias("term"), F.lit(0).cast("long").alias("number"))
-    second = texts.unionByName(wanted.select("block", F.lit(TERM).alias("kind"), "lang", F.lit("").alias("source"), F.lit(None).cast("binary").alias("text"), "term", "number"))
-    size = first.where(F.col("kind") == TEXT).agg(F.sum("n")).first()[0] or 0
+    texts = first.where(F.col("kind") != TERM).select("block", "kind", "lang", "source", "text", "times", F.lit(None).cast("binary").alias("term"), F.lit(0).cast("long").alias("number"))
+    second = texts.unionByName(wanted.select("block", F.lit(TERM).alias("kind"), "lang", F.lit("").alias("source"), F.lit(None).cast("binary").alias("text"), F.lit(None).cast("binary").alias("times"), "term", "number"))
+    size = first.where(F.col("kind") == TIMES).agg(F.sum("n")).first()[0] or 0
     second = second.repartition(tasks(spark, size, 64 << 20), "block").sortWithinPartitions("block", F.col("kind").desc())
     postings = _second_pass(second, spark.sparkContext.broadcast(listed)).groupBy("lang", "source", "number").agg(F.sum("count").alias("count"))
     postings = scratch.save(postings, "postings")
